@@ -1,0 +1 @@
+"""Scalar text and codec functions as column expressions."""

@@ -1,0 +1 @@
+"""The index and the query modes."""

@@ -1,0 +1 @@
+"""Query languages, parsed to plain data."""

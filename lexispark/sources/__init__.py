@@ -1,0 +1 @@
+"""Document sources."""

@@ -1,0 +1 @@
+"""Streaming: none. An index is built in batch from a fixed set of documents."""
