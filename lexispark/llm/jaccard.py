@@ -305,8 +305,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SH
     rows = sets.select("doc_id", "n_shingles", "node", "twin")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     first = some.groupBy("node", "twin").agg(F.min("doc_id").alias("first")).join(linked.select("node", "root"), "node", "left")
-    root = F.coalesce("root", "node").alias("root")
-    least = first.groupBy(root).agg(F.min("first").alias("component"))
-    whole = scratch.save(first.select("node", "twin", root).join(least, "root").select("node", "twin", "component"), "classes")
+    # A written table, so that Spark can split the join of a very large component's nodes.
+    first = scratch.save(first.select("node", "twin", "first", F.coalesce("root", "node").alias("root")), "firsts")
+    least = scratch.save(first.groupBy("root").agg(F.min("first").alias("component")), "least")
+    whole = scratch.save(first.join(least, "root").select("node", "twin", "component"), "classes")
     out = rows.join(whole, ["node", "twin"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"))

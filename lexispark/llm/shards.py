@@ -163,7 +163,7 @@ def put_file(path: str, write: Callable) -> None:
 
 
 #: Rows up to which a table of ids may be sent to every executor (16 bytes a row).
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 1_000_000
 
 
 def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -171,5 +171,5 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     df must be cheap to count, such as a written table.
     """
-    n = df.limit(SMALL_ROWS + 1).count() if rows is None else rows
+    n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= SMALL_ROWS else df

@@ -1,9 +1,11 @@
 """Substring deduplication over sliding spans of consecutive sentences.
 
 A sentence ends after a word that ends in `.`, `!` or `?`, at a line break, and at the end of
-the text. Spans are all shortest runs of consecutive sentences, from every sentence forwards
-and from every sentence backwards, that have three sentences and MIN_WORDS words or else
-LONG_WORDS words. Spans with the same words (A-Z lower-cased, any white space between) are
+the text. One of more than LONG_SENTENCE words is cut further, after words that end in `,`, `;`
+or `:` and after those whose hash ends in four zero bits, so that a passage within a long
+sentence is found too; its parts count as sentences. Spans are all shortest runs of consecutive sentences, from every sentence forwards
+and from every sentence backwards, that have three sentences and MIN_WORDS words, two and
+twice as many, or else LONG_WORDS words. Spans with the same words (A-Z lower-cased, any white space between) are
 joined across the corpus by hash; the first by (doc_id, place) stays, and every sentence
 covered by another one is removed. Since the run lengths depend on the words alone, a
 repeated passage gives the same spans wherever it stands, up to its first and last sentence.
@@ -29,15 +31,17 @@ from pyspark.sql import functions as F
 from .shards import Packer, Scratch, deal, if_small, n_shards, unpack
 from .textblock import LOWER, U64, TextBlock, blocks, mix, powers, runs
 
-SENTENCES, MIN_WORDS, LONG_WORDS = 3, 12, 50
+SENTENCES, MIN_WORDS, LONG_WORDS, LONG_SENTENCE = 3, 12, 50, 30
 NO_ID = np.int64(2**63 - 1)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+_COMMA = np.zeros(256, bool)
+_COMMA[list(b",;:")] = True
 _TYPES = ["<u8", "<i8", "<u4", "<u4", "<u1"]
 
 
 def sentences(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, word after the last, and text of each sentence."""
+    """First word, word after the last, and text of each sentence. The block must be lower-cased."""
     n = len(block.start)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -46,6 +50,10 @@ def sentences(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[:-1] |= (block.doc[1:] != block.doc[:-1]) | (lines[block.start[1:]] > lines[block.end[:-1]])
     last[-1] = True
     to = np.flatnonzero(last) + 1
+    size = np.diff(to, prepend=0)
+    if size.max() > LONG_SENTENCE:
+        last |= np.repeat(size > LONG_SENTENCE, size) & (_COMMA[block.buf[block.end - 1]] | (block.word_hash() & U64(15) == 0))
+        to = np.flatnonzero(last) + 1
     at = np.concatenate([[0], to[:-1]])
     return at, to, block.doc[at]
 
@@ -57,8 +65,10 @@ def spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not n:
         return (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
     i = np.arange(n)
-    last = np.minimum(np.maximum(i + SENTENCES - 1, np.searchsorted(to, at + MIN_WORDS)), np.searchsorted(to, at + LONG_WORDS))
-    first = np.maximum(np.minimum(i - SENTENCES + 1, np.searchsorted(at, to - MIN_WORDS, side="right") - 1), np.searchsorted(at, to - LONG_WORDS, side="right") - 1)
+    last, first = np.full(n, n), np.full(n, -1)
+    for m, words in ((SENTENCES, MIN_WORDS), (SENTENCES - 1, 2 * MIN_WORDS), (1, LONG_WORDS)):
+        last = np.minimum(last, np.maximum(i + m - 1, np.searchsorted(to, at + words)))
+        first = np.maximum(first, np.minimum(i - m + 1, np.searchsorted(at, to - words, side="right") - 1))
     f, b = last < n, first >= 0
     a, z = np.concatenate([i[f], first[b]]), np.concatenate([last[f], i[b]])
     same = doc[a] == doc[z]
@@ -145,7 +155,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     joined = docs.join(cut, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))) == F.col("_id"), "left").drop("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in blocks(batches):
+        for batch, block in blocks(batches, table=LOWER):
             at, _, doc = sentences(block)
             begin = np.searchsorted(doc, np.arange(block.n + 1))
             firsts, lasts = batch.column("_first"), batch.column("_last")
@@ -156,10 +166,10 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                 edge = np.concatenate([block.start[at[begin[i] : begin[i + 1]]], [block.off[i + 1]]])
                 pieces, here = [], block.off[i]
                 for a, z in zip(firsts[i].as_py(), lasts[i].as_py(), strict=True):
-                    pieces.append(block.buf[here : edge[a]])
+                    pieces.append(block.raw[here : edge[a]])
                     here = edge[z + 1]
                     removed[i] += z + 1 - a
-                pieces.append(block.buf[here : block.off[i + 1]])
+                pieces.append(block.raw[here : block.off[i + 1]])
                 texts[i] = "" if removed[i] == begin[i + 1] - begin[i] else np.concatenate(pieces).tobytes().decode("utf-8")
             cols = [c if name != "text" or texts is None else pa.array(texts, c.type) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("_first", "_last")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(begin)), pa.array(removed)], names=[x for x in batch.schema.names if x not in ("_first", "_last")] + ["_sentences", "_removed"])

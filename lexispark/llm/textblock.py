@@ -66,7 +66,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextBlock:
-    """buf: bytes of all texts, put through `table` if given; off: where each text starts and ends; start, end, doc: of each word."""
+    """raw: bytes of all texts; buf: the same put through `table`, if given; off: where each text starts and ends; start, end, doc: of each word."""
 
     def __init__(self, texts: pa.Array, table: np.ndarray | None = None):
         arr = texts.cast(pa.large_string()).fill_null("")
@@ -77,6 +77,7 @@ class TextBlock:
         off = np.frombuffer(bufs[1], np.int64, count=arr.offset + self.n + 1)[arr.offset :] if self.n else np.zeros(1, np.int64)
         raw = np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]] if bufs[2] is not None and self.n else np.zeros(0, np.uint8)
         self.off = off - off[0]
+        self.raw = raw
         self.buf = raw if table is None else table[raw]
         word = ~SPACE[self.buf]
         size = len(self.buf)
