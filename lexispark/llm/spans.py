@@ -1,11 +1,11 @@
 """Substring deduplication over sliding spans of consecutive sentences.
 
 A sentence ends after a word that ends in `.`, `!` or `?`, at a line break, and at the end of
-the text. One of more than LONG_SENTENCE words is cut further, after words that end in `,`, `;`
-or `:` and after those whose hash ends in four zero bits, so that a passage within a long
-sentence is found too; its parts count as sentences. Spans are all shortest runs of consecutive sentences, from every sentence forwards
+the text. Its clauses, which end in `,`, `;` or `:` or after a word whose hash ends in five zero bits, are
+taken as sentences of their own, since a passage is often cut out in the middle of one: these
+ends, too, depend on the words alone. Spans are all shortest runs of consecutive sentences, from every sentence forwards
 and from every sentence backwards, that have three sentences and MIN_WORDS words, two and
-twice as many, or else LONG_WORDS words. Spans with the same words (A-Z lower-cased, any white space between) are
+PAIR_WORDS words, or else LONG_WORDS words. Spans with the same words (A-Z lower-cased, any white space between) are
 joined across the corpus by hash; the first by (doc_id, place) stays, and every sentence
 covered by another one is removed. Since the run lengths depend on the words alone, a
 repeated passage gives the same spans wherever it stands, up to its first and last sentence.
@@ -31,12 +31,10 @@ from pyspark.sql import functions as F
 from .shards import Packer, Scratch, deal, if_small, n_shards, unpack
 from .textblock import LOWER, U64, TextBlock, blocks, mix, powers, runs
 
-SENTENCES, MIN_WORDS, LONG_WORDS, LONG_SENTENCE = 3, 12, 50, 30
+SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 18, 50
 NO_ID = np.int64(2**63 - 1)
 _STOP = np.zeros(256, bool)
-_STOP[list(b".!?")] = True
-_COMMA = np.zeros(256, bool)
-_COMMA[list(b",;:")] = True
+_STOP[list(b".!?,;:")] = True
 _TYPES = ["<u8", "<i8", "<u4", "<u4", "<u1"]
 
 
@@ -46,14 +44,10 @@ def sentences(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     lines = np.concatenate([[0], np.cumsum(block.buf == 10)])
-    last = _STOP[block.buf[block.end - 1]]
+    last = _STOP[block.buf[block.end - 1]] | (block.word_hash() & U64(31) == 0)
     last[:-1] |= (block.doc[1:] != block.doc[:-1]) | (lines[block.start[1:]] > lines[block.end[:-1]])
     last[-1] = True
     to = np.flatnonzero(last) + 1
-    size = np.diff(to, prepend=0)
-    if size.max() > LONG_SENTENCE:
-        last |= np.repeat(size > LONG_SENTENCE, size) & (_COMMA[block.buf[block.end - 1]] | (block.word_hash() & U64(15) == 0))
-        to = np.flatnonzero(last) + 1
     at = np.concatenate([[0], to[:-1]])
     return at, to, block.doc[at]
 
@@ -66,7 +60,7 @@ def spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
     i = np.arange(n)
     last, first = np.full(n, n), np.full(n, -1)
-    for m, words in ((SENTENCES, MIN_WORDS), (SENTENCES - 1, 2 * MIN_WORDS), (1, LONG_WORDS)):
+    for m, words in ((SENTENCES, MIN_WORDS), (SENTENCES - 1, PAIR_WORDS), (1, LONG_WORDS)):
         last = np.minimum(last, np.maximum(i + m - 1, np.searchsorted(to, at + words)))
         first = np.maximum(first, np.minimum(i - m + 1, np.searchsorted(at, to - words, side="right") - 1))
     f, b = last < n, first >= 0
