@@ -101,7 +101,7 @@ def parse(page: str) -> list[tuple[Path, str, int, bool]]:
                 at = len(page) if end < 0 else end + 3
             continue
         tag = tag.lower()
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in ("script", "style", "noscript"):
             broke = True
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
@@ -116,7 +116,6 @@ def parse(page: str) -> list[tuple[Path, str, int, bool]]:
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            broke = broke or tag not in ("script", "style", "noscript")
             continue
         if tag not in _INLINE:
             ends = _ENDS.get(tag)

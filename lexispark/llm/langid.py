@@ -137,6 +137,9 @@ def train(docs: DataFrame, scratch: Scratch, max_docs_per_lang: int = MAX_DOCS_P
     for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, np.float32).astype(np.float64)
     langs = sorted(total)
+    if not langs:
+        scratch.drop("langid_sample")
+        return Model([], *[np.zeros((0, 0))] * 4)
     code = codewords(len(langs))
     p = np.array([total[x] for x in langs]).reshape(len(langs), 2, SIZE) + SMOOTH / 100
     p /= p.sum(2, keepdims=True)

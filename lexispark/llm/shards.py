@@ -162,6 +162,14 @@ def put_file(path: str, write: Callable) -> None:
     os.replace(part, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or it with underscores in front, such that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Rows up to which a table of ids may be sent to every executor (16 bytes a row).
 SMALL_ROWS = 1_000_000
 

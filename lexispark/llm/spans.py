@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shards import Packer, Scratch, deal, if_small, n_shards, unpack
+from .shards import Packer, Scratch, deal, free_name, if_small, n_shards, unpack
 from .textblock import LOWER, U64, TextBlock, blocks, mix, powers, runs
 
 SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 18, 50
@@ -143,16 +144,23 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(deal(found, n).mapInArrow(merge, "doc_id long, first array<long>, last array<long>"), "repeats")
 
 
+def added(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns with the numbers of sentences and of removed ones: _sentences and _removed, if they are free."""
+    return free_name(docs, "_sentences"), free_name(docs, "_removed")
+
+
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the found sentences taken out of text, and the columns _sentences and _removed."""
-    cut = if_small(found.select(F.col("doc_id").alias("_id"), F.col("first").alias("_first"), F.col("last").alias("_last")))
-    joined = docs.join(cut, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))) == F.col("_id"), "left").drop("_id")
+    """docs with the found sentences taken out of text, and how many it had and lost as the columns that added() names."""
+    key, first, last = (free_name(docs, x) for x in ("_id", "_first", "_last"))
+    cut = if_small(found.select(F.col("doc_id").alias(key), F.col("first").alias(first), F.col("last").alias(last)))
+    joined = docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NO_ID))) == F.col(key), "left").drop(key)
+    n_name, gone_name = added(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches, table=LOWER):
             at, _, doc = sentences(block)
             begin = np.searchsorted(doc, np.arange(block.n + 1))
-            firsts, lasts = batch.column("_first"), batch.column("_last")
+            firsts, lasts = batch.column(first), batch.column(last)
             removed = np.zeros(block.n, np.int64)
             texts = None
             for i in np.flatnonzero(np.asarray(firsts.is_valid())):
@@ -165,8 +173,8 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                     removed[i] += z + 1 - a
                 pieces.append(block.raw[here : block.off[i + 1]])
                 texts[i] = "" if removed[i] == begin[i + 1] - begin[i] else np.concatenate(pieces).tobytes().decode("utf-8")
-            cols = [c if name != "text" or texts is None else pa.array(texts, c.type) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("_first", "_last")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(begin)), pa.array(removed)], names=[x for x in batch.schema.names if x not in ("_first", "_last")] + ["_sentences", "_removed"])
+            cols = [c if name != "text" or texts is None else pa.array(texts, c.type) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in (first, last)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(begin)), pa.array(removed)], names=[x for x in batch.schema.names if x not in ("_first", "_last")] + [n_name, gone_name])
 
-    schema = docs.schema.add("_sentences", "long").add("_removed", "long")
+    schema = StructType([*docs.schema.fields, StructField(n_name, LongType()), StructField(gone_name, LongType())])
     return joined.mapInArrow(run, schema)
