@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences of repeated spans; a document that had sentences and has none left goes."""
-    out = spans.remove(docs, spans.repeats(docs, Scratch(spark))).where("_removed = 0 or _removed < _sentences")
-    n_chars = [F.when(F.col("_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    had, lost = map(F.col, spans.added(docs))
+    out = spans.remove(docs, spans.repeats(docs, Scratch(spark))).where((lost == 0) | (lost < had))
+    n_chars = [F.when(lost > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
     return out.select(*(n_chars[0] if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
