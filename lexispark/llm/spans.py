@@ -174,7 +174,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                 pieces.append(block.raw[here : block.off[i + 1]])
                 texts[i] = "" if removed[i] == begin[i + 1] - begin[i] else np.concatenate(pieces).tobytes().decode("utf-8")
             cols = [c if name != "text" or texts is None else pa.array(texts, c.type) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in (first, last)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(begin)), pa.array(removed)], names=[x for x in batch.schema.names if x not in ("_first", "_last")] + [n_name, gone_name])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(begin)), pa.array(removed)], names=[x for x in batch.schema.names if x not in (first, last)] + [n_name, gone_name])
 
     schema = StructType([*docs.schema.fields, StructField(n_name, LongType()), StructField(gone_name, LongType())])
     return joined.mapInArrow(run, schema)

@@ -395,6 +395,7 @@ def test_spans(spark):
     docs = frame(spark, texts, ids)
     out = spans.remove(docs, spans.repeats(docs, Scratch(spark)))
     assert out.columns == [*docs.columns, "_sentences", "_removed"]
+    assert {(r.lang, r.score, r._id, r._first) for r in out.collect()} == {("en", 9.9, "x", 7)}
     text_of = dict(zip(ids, texts, strict=True))
     assert any(gone.values())
     for r in out.collect():
