@@ -63,30 +63,54 @@ def _first_of_runs(cut: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(cut) - 1), np.diff(cut))
 
 
+def distinct_meetings(h: np.ndarray, doc: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry of each hash and document, sorted by both; the greatest met stays."""
+    order = np.lexsort((met, doc, h))
+    h, doc, met = h[order], doc[order], met[order]
+    last = np.ones(len(h), bool)
+    last[:-1] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[last], doc[last], met[last]
+
+
+def _meet_here(h: np.ndarray, doc: np.ndarray, met: np.ndarray) -> list[np.ndarray]:
+    """What a task knows of its documents already. Of documents with the same hash the first alone is sent by it, with
+    met = 1 if there are others; each of the others has one entry with 1 + its number of such hashes, dealt by document.
+    So a shingle of very many documents costs one entry a task."""
+    h, doc, met = distinct_meetings(h, doc, met)
+    cut = runs(h)
+    many, head = np.diff(cut), np.zeros(len(h), bool)
+    head[cut[:-1]] = True
+    if len(h):
+        met = (np.repeat(many, many) > 1).astype(np.uint32)
+    ids, times = np.unique(doc[~head], return_counts=True)
+    return [np.concatenate([h[head], mix(ids.view(U64))]), np.concatenate([doc[head], ids]), np.concatenate([met[head], times + 1])]
+
+
 def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, met): in how many of its smallest shingles a document meets another; those that meet none are absent."""
     n = n_shards(docs.sparkSession)
 
+    types = ["<u8:5", "<i8", "<u4"]  # of a hash within its shard five bytes do: a chance match only lets a document on
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(n, ["<u8:5", "<i8"], limit=3_000_000)  # of a hash within its shard five bytes do: a chance match only lets a document on
+        packer = Packer(n, types, limit=3_000_000, fold=_meet_here)
         for batch, block in blocks(batches, table=LOWER):
             doc, h = shingle_sets(block, k)
             cut = np.searchsorted(doc, np.arange(block.n + 1))
             size = np.diff(cut)
             some = np.arange(len(doc)) - cut[doc] < (size - need(size, percent) + spare(size, percent))[doc]
-            yield from packer.add(h[some], batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)[doc[some]])
+            h = h[some]
+            yield from packer.add(h, batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)[doc[some]], np.zeros(len(h), np.uint32))
         yield from packer.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, doc = unpack(batches, ["<u8:5", "<i8"])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc = h[new], doc[new]
-        many = np.diff(runs(h)) if len(h) else np.zeros(0, np.int64)
-        doc, met = np.unique(doc[np.repeat(many, many) > 1], return_counts=True)
+        h, doc, met = unpack(batches, types)
         packer = Packer(n, ["<i8", "<u4"], limit=1 << 60, shard_of=lambda a: _shard(a, n))
+        known = met > 1
+        list(packer.add(doc[known], met[known] - 1))
+        h, doc, met = distinct_meetings(h[~known], doc[~known], met[~known])
+        many = np.diff(runs(h)) if len(h) else np.zeros(0, np.int64)
+        doc, met = np.unique(doc[(np.repeat(many, many) > 1) | (met == 1)], return_counts=True)
         list(packer.add(doc, met))
         yield from packer.flush()
 
@@ -96,7 +120,7 @@ def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
         yield from table({"_id": ids, "_met": np.bincount(back, met, len(ids)).astype(np.int64)})
 
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    sent = deal(known.mapInArrow(send, Packer.schema(2)), n)
+    sent = deal(known.mapInArrow(send, Packer.schema(3)), n)
     return deal(sent.mapInArrow(meet, Packer.schema(2)), n).mapInArrow(total, "_id long, _met long")
 
 

@@ -343,6 +343,14 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components(ids, texts)
 
 
+def test_meetings_known_in_a_task():
+    h = np.array([7, 7, 7, 9, 9, 4, 4], np.uint64)
+    doc = np.array([2, 5, 5, 5, 2, 8, 8])
+    key, ids, met = jaccard._meet_here(h, doc, np.zeros(7, np.uint32))
+    assert sorted(zip(ids.tolist(), met.tolist(), strict=True)) == [(2, 1), (2, 1), (5, 3), (8, 0)]
+    assert sorted(key[:3].tolist()) == [4, 7, 9]
+
+
 def test_near_duplicates_empty_and_repeated_rows(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     rows = jaccard.near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", "other"], [3, 3, 5])).collect()
