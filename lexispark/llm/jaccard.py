@@ -12,6 +12,8 @@ taken where texts meet:
 3. The sets that meet at a prefix shingle have their smallest member as pivot. Regions are
    the sets around a pivot; a set stands in the region of each pivot it meets, so every
    linked pair is together in one.
+   Heavy shingles, found beforehand, are counted and led apart in 2 and 3: every task knows their
+   list, whose length is bounded by their share, so none of them is gathered in one task.
 4. A region is joined exactly. If it is large, distances to the pivot are taken first, in
    parallel: sets within the threshold are linked to the pivot, and by the triangle
    inequality only sets in the window around those beyond it are replicated into smaller
@@ -36,11 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .knlm import fold_sums
 from .shards import Packer, Scratch, deal, if_small, n_shards, table, unpack
 from .textblock import LOWER, U64, blocks, mix, runs, shingle_sets
 
 #: Sets that one region, or a block of one, has at most.
 REGION = 2048
+#: A shingle with 1 / HEAVY of all entries or more is heavy; at most 2 * HEAVY are listed (16 bytes each), none with fewer than LEAST_HEAVY entries.
+HEAVY, LEAST_HEAVY = 100_000, 64
 SHINGLE = 5
 SIMILARITY = 75
 
@@ -144,10 +149,66 @@ def shingle_table(docs: DataFrame, met: DataFrame, k: int, percent: int) -> Data
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, twin long, shingles binary")
 
 
-def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
+def heavy_shingles(sets: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The heavy shingles, sorted, and a weight of each, which takes the place of its frequency.
+
+    A task reports, of each million entries, the shingles that are at least half as frequent there as a heavy one. So a
+    heavy shingle is reported for more than half of its entries, and of those reported for so many there are at most 2 * HEAVY.
+    """
+    n, share = n_shards(sets.sparkSession), 2 * HEAVY
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, total = Packer(n, ["<u8", "<u8"], fold=fold_sums), 0
+        parts: list[np.ndarray] = []
+        size, seen = 0, set()
+
+        def report() -> Iterator[pa.RecordBatch]:
+            if parts:
+                h, times = np.unique(np.concatenate(parts), return_counts=True)
+                some = times >= max(2, size // share)
+                yield from packer.add(h[some], times[some])
+
+        for b in batches:
+            for node, data in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                parts.append(np.frombuffer(data.as_buffer(), "<u8"))
+                size += len(parts[-1])
+                total += len(parts[-1])
+                if size >= 1_000_000:
+                    yield from report()
+                    parts, size = [], 0
+                    seen.clear()
+        yield from report()
+        list(packer.add(np.array([2**64 - 1], np.uint64), np.array([total])))
+        yield from packer.flush()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, times = fold_sums(*unpack(batches, ["<u8", "<u8"]))
+        yield from table({"h": h.view(np.int64), "times": times.astype(np.int64)})
+
+    found = scratch.save(deal(sets.where("shingles is not null").select("node", "shingles").mapInArrow(send, Packer.schema(2)), n).mapInArrow(add_up, "h long, times long"), "reported")
+    total = found.where("h = -1").agg(F.sum("times")).first()[0] or 0
+    rows = found.where((F.col("h") != -1) & (F.col("times") >= max(LEAST_HEAVY, total // share))).collect()
+    h, times = np.array([r.h for r in rows], np.int64).view(U64), np.array([r.times for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], times[order]
+
+
+def place_in(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each h among the sorted keys, -1 if absent."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
+
+
+def shared_sets(sets: DataFrame, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, n, shared, prefix): of each node its size, its shingles that other nodes have, rarest first, and how many of them are in its prefix."""
     n = n_shards(sets.sparkSession)
-    types = ["<u8", "<i8", "<u4"]
+    types, found_types = ["<u8", "<i8", "<u4"], ["<i8", "<u8", "<u4", "<u4"]
+    keys, weights = heavy
 
     def fold(h: np.ndarray, node: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((node, h))
@@ -161,22 +222,40 @@ def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             for node, data in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
                 h = np.frombuffer(data.as_buffer(), "<u8")
-                yield from packer.add(h, np.full(len(h), node), np.full(len(h), len(h)))
+                rest = h[place_in(keys, h) < 0]
+                yield from packer.add(rest, np.full(len(rest), node), np.full(len(rest), len(h)))
         yield from packer.flush()
 
+    def send_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(n, found_types, fold=once, shard_of=lambda a: _shard(a, n))
+        for b in batches:
+            for node, data in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
+                h = np.frombuffer(data.as_buffer(), "<u8")
+                at = place_in(keys, h)
+                at = at[at >= 0]
+                yield from packer.add(np.full(len(at), node), keys[at], np.full(len(at), len(h)), weights[at])
+        yield from packer.flush()
+
+    def once(node: np.ndarray, h: np.ndarray, size: np.ndarray, df: np.ndarray) -> list[np.ndarray]:
+        """By node and frequency, each shingle of a node once."""
+        order = np.lexsort((h, df, node))
+        node, h, size, df = node[order], h[order], size[order], df[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        return [node[new], h[new], size[new], df[new]]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, node, size = fold(*unpack(batches, types))
         df = np.diff(runs(h)) if len(h) else np.zeros(0, np.int64)
         df = np.repeat(df, df)
         two = df > 1
-        packer = Packer(n, ["<i8", "<u8", "<u4", "<u4"], limit=1 << 60, shard_of=lambda a: _shard(a, n))
+        packer = Packer(n, found_types, limit=1 << 60, shard_of=lambda a: _shard(a, n))
         list(packer.add(node[two], h[two], size[two], df[two]))
         yield from packer.flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, h, size, df = unpack(batches, ["<i8", "<u8", "<u4", "<u4"])
-        order = np.lexsort((h, df, node))
-        node, h, size = node[order], h[order], size[order].astype(np.int64)
+        node, h, size, _ = once(*unpack(batches, found_types))
+        size = size.astype(np.int64)
         cut = runs(node)
         n_shared, size = np.diff(cut), size[cut[:-1]] if len(node) else np.zeros(0, np.int64)
         least = need(size, percent)
@@ -185,23 +264,52 @@ def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
             g = good[s : s + 2000]
             yield pa.RecordBatch.from_arrays([pa.array(node[cut[g]]), pa.array(size[g]), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in g], pa.binary()), pa.array(n_shared[g] - least[g] + 1)], names=["node", "n", "shared", "prefix"])
 
-    sent = deal(sets.where("shingles is not null").select("node", "shingles").mapInArrow(send, Packer.schema(3)), n)
-    return deal(sent.mapInArrow(count, Packer.schema(4)), n).mapInArrow(gather, "node long, n long, shared binary, prefix long")
+    some = sets.where("shingles is not null").select("node", "shingles")
+    found = deal(some.mapInArrow(send, Packer.schema(3)), n).mapInArrow(count, Packer.schema(4))
+    if len(keys):
+        found = found.unionAll(some.mapInArrow(send_heavy, Packer.schema(4)))
+    return deal(found, n).mapInArrow(gather, "node long, n long, shared binary, prefix long")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
+def regions(nodes: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(pivot, node): each node and the pivots it meets in its prefix; every pivot is in its own region."""
     n = n_shards(nodes.sparkSession)
     types = ["<u8", "<i8", "<u4"]
+    keys = heavy[0]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(n, types)
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for b in batches:
             for node, size, data, k in zip(*(b.column(c).to_pylist() for c in ("node", "n", "shared", "prefix")), strict=True):
-                h = np.frombuffer(data, "<u8", count=k)
-                yield from packer.add(h, np.full(k, node), np.full(k, size))
+                yield node, size, np.frombuffer(data, "<u8", count=k)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(n, types)
+        for node, size, h in prefixes(batches):
+            h = h[place_in(keys, h) < 0]
+            yield from packer.add(h, np.full(len(h), node), np.full(len(h), size))
         yield from packer.flush()
 
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each heavy shingle the smallest set in whose prefix it is, among those of a task."""
+        least = np.full(len(keys), 2**63 - 1), np.full(len(keys), 2**63 - 1)
+        for node, size, h in prefixes(batches):
+            at = place_in(keys, h)
+            at = at[at >= 0]
+            at = at[(size < least[0][at]) | ((size == least[0][at]) & (node < least[1][at]))]
+            least[0][at], least[1][at] = size, node
+        at = np.flatnonzero(least[0] < 2**63 - 1)
+        yield from table({"at": at, "n": least[0][at], "node": least[1][at]})
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = [[], []]
+        for node, _, h in prefixes(batches):
+            at = place_in(keys, h)
+            mine = np.unique(pivots[at[at >= 0]])
+            out[0].append(mine)
+            out[1].append(np.full(len(mine), node))
+        if out[0]:
+            yield from table({"pivot": np.concatenate(out[0]), "node": np.concatenate(out[1])})
+
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, node, size = unpack(batches, types)
         order = np.lexsort((node, size, h))
@@ -214,7 +322,13 @@ def regions(nodes: DataFrame) -> DataFrame:
         yield from table({"pivot": both[0], "node": both[1]})
 
     sent = deal(nodes.mapInArrow(send, Packer.schema(3)), n)
-    return sent.mapInArrow(lead, "pivot long, node long").distinct()
+    pairs = sent.mapInArrow(lead, "pivot long, node long")
+    if len(keys):
+        pivots = np.zeros(len(keys), np.int64)
+        for r in nodes.mapInArrow(smallest, "at long, n long, node long").groupBy("at").agg(F.min(F.struct("n", "node")).alias("first")).collect():
+            pivots[r["at"]] = r["first"].node
+        pairs = pairs.unionAll(nodes.mapInArrow(follow, "pivot long, node long"))
+    return pairs.distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -263,11 +377,11 @@ def join_region(node: np.ndarray, size: np.ndarray, sets: list[np.ndarray], perc
     return node[moved], node[top[moved]]
 
 
-def links(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between nodes, enough to join what the threshold links."""
     spark = nodes.sparkSession
     n = n_shards(spark)
-    region = scratch.save(regions(nodes), "regions")
+    region = scratch.save(regions(nodes, heavy), "regions")
     sizes = region.groupBy("pivot").agg(F.count("*").alias("members"))
     large = scratch.save(sizes.where(F.col("members") > REGION), "large")
     sets = nodes.select("node", "n", "shared")
@@ -323,9 +437,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SH
     docs = docs.select("doc_id", "text")
     met = scratch.save(candidates(docs, k, percent), "met")
     sets = scratch.save(shingle_table(docs, met, k, percent), "sets")
-    nodes = scratch.save(shared_sets(sets, percent), "nodes")
-    linked = scratch.save(components(links(nodes, scratch, percent), scratch), "linked")
-    scratch.drop("met", "nodes", "regions", "large", "far")
+    heavy = heavy_shingles(sets, scratch)
+    nodes = scratch.save(shared_sets(sets, percent, heavy), "nodes")
+    linked = scratch.save(components(links(nodes, scratch, percent, heavy), scratch), "linked")
+    scratch.drop("met", "reported", "nodes", "regions", "large", "far")
     rows = sets.select("doc_id", "n_shingles", "node", "twin")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     first = some.groupBy("node", "twin").agg(F.min("doc_id").alias("first")).join(linked.select("node", "root"), "node", "left")

@@ -330,9 +330,10 @@ def edited(rng, text, k):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("region", [2048, 6])
-def test_near_duplicates(spark, monkeypatch, region):
+@pytest.mark.parametrize(("region", "heavy"), [(2048, 64), (6, 64), (2048, 3), (6, 3)])
+def test_near_duplicates(spark, monkeypatch, region, heavy):
     monkeypatch.setattr(jaccard, "REGION", region)
+    monkeypatch.setattr(jaccard, "LEAST_HEAVY", heavy)
     rng = random.Random(8)
     base = [sentences_of(rng, rng.randint(2, 30)) for _ in range(12)]
     passage = sentences_of(rng, 4)
