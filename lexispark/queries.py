@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import codec, text
+from .operators import gaps
 from .operators.index import Index, tokenize
 from .operators.search import Searcher
 from .sources.library import from_table, ranked
@@ -83,9 +83,9 @@ def doc_registry(spark, sf_dir):
     return ranked(corpus(spark, sf_dir).select("name"), "name", "rank")
 
 
-@query("SELECT doc_id, 'doc' || doc_id AS name FROM documents WHERE doc_id IN (3, 7, 11)")
+@query("SELECT doc_id, 'doc' || doc_id AS name FROM documents")
 def doc_name(spark, sf_dir):
-    return index(spark, sf_dir).docs.where(F.col("doc_id").isin(3, 7, 11)).select("doc_id", "name")
+    return index(spark, sf_dir).docs.select("doc_id", "name")
 
 
 # Text functions
@@ -131,9 +131,9 @@ def postings_tf(spark, sf_dir):
     return index(spark, sf_dir).postings.select("term", "doc_id", "tf")
 
 
-@query(sql("SELECT term, doc_id, array_to_string(positions, ' ') AS places FROM postings WHERE term LIKE 'th%'"))
+@query(sql("SELECT term, doc_id, array_to_string(positions, ' ') AS places FROM postings"))
 def positional_postings(spark, sf_dir):
-    return index(spark, sf_dir).postings.where(F.col("term").startswith("th")).select("term", "doc_id", joined("positions", "places"))
+    return index(spark, sf_dir).postings.select("term", "doc_id", joined("positions", "places"))
 
 
 @query(sql("SELECT doc_id, count(*) AS distinct_terms, CAST(sum(tf) AS BIGINT) AS total, CAST(max(tf) AS INTEGER) AS top FROM postings GROUP BY doc_id"))
@@ -189,12 +189,11 @@ def suffix_terms(spark, sf_dir):
 
 # Codecs
 
-_GAPS = "g AS (SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM postings WHERE starts_with(term, 'th'))"
+_GAPS = "g AS (SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM postings)"
 
 
 def _doc_gaps(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return index(spark, sf_dir).postings.where(F.col("term").startswith("th")).select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(w)).alias("gap"))
+    return gaps.encode(index(spark, sf_dir).postings)
 
 
 @query(sql("SELECT term, doc_id, gap FROM g", _GAPS))
@@ -212,16 +211,17 @@ def pos_gaps(spark, sf_dir):
 
 @query(sql("SELECT term, doc_id, CAST(sum(gap) OVER (PARTITION BY term ORDER BY doc_id) AS BIGINT) AS decoded FROM g", _GAPS))
 def gap_decode(spark, sf_dir):
-    w = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _doc_gaps(spark, sf_dir).select("term", "doc_id", F.sum("gap").over(w).alias("decoded"))
+    return gaps.decode(_doc_gaps(spark, sf_dir))
 
 
 _SIZE = "CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END"
-_NUMBERS = "n AS (SELECT DISTINCT CAST(doc_id * doc_id * 97 AS BIGINT) AS n FROM documents WHERE doc_id < 4000)"
+# Numbers of one to five bytes: a cube below 2 ** 35 from every id.
+_NUMBERS = "n AS (SELECT DISTINCT CAST(k * k * k AS BIGINT) AS n FROM (SELECT doc_id % 3251 AS k FROM documents))"
 
 
 def _numbers(spark, sf_dir) -> DataFrame:
-    return corpus(spark, sf_dir).where("doc_id < 4000").select((F.col("doc_id") * F.col("doc_id") * 97).alias("n")).distinct()
+    k = F.col("doc_id") % 3251
+    return corpus(spark, sf_dir).select((k * k * k).alias("n")).distinct()
 
 
 @query(f"WITH {_NUMBERS} SELECT n, {_SIZE} AS bytes FROM n")
@@ -262,8 +262,9 @@ def _search(name: str, mode: str, q: str, where: str, more: str = "") -> None:
     query(oracle, name)(lambda spark, sf_dir: getattr(Searcher(index(spark, sf_dir)), mode)(q))
 
 
-def _count(name: str, mode: str, q: str) -> None:
-    query("SELECT CAST(0 AS BIGINT) AS n", name)(lambda spark, sf_dir: getattr(Searcher(index(spark, sf_dir)), mode)(q).agg(F.count("*").alias("n")))
+def _count(name: str, mode: str, q: str, where: str = "SELECT doc_id FROM docs WHERE false") -> None:
+    """Without `where`, the query's grammar alone makes it empty."""
+    query(sql(f"SELECT count(*) AS n FROM docs WHERE doc_id IN ({where})"), name)(lambda spark, sf_dir: getattr(Searcher(index(spark, sf_dir)), mode)(q).agg(F.count("*").alias("n")))
 
 
 _search("boolean_and", "boolean", "the AND of", f"{_has('the')} INTERSECT {_has('of')}")
@@ -271,8 +272,8 @@ _search("boolean_or", "boolean", "la OR der", f"{_has('la')} UNION {_has('der')}
 _search("boolean_not", "boolean", "the AND NOT of", f"{_has('the')} EXCEPT {_has('of')}")
 _search("boolean_dnf", "boolean", "the AND of OR de AND NOT la", f"({_has('the')} INTERSECT {_has('of')}) UNION ({_has('de')} EXCEPT {_has('la')})")
 _count("boolean_not_only", "boolean", "NOT the")
-_count("boolean_unknown", "boolean", "the AND absentword")
-_count("boolean_glued", "boolean", "the of")
+_count("boolean_unknown", "boolean", "the AND absentword", f"{_has('the')} INTERSECT {_has('absentword')}")
+_count("boolean_glued", "boolean", "the of", _has("theof"))
 _search("boolean_inword_operator", "boolean", "thORde", f"{_has('th')} UNION {_has('de')}")
 
 
@@ -283,10 +284,10 @@ def _pair(a: str, b: str, k: int) -> str:
 _search("positional_pair", "positional", "the /2 of", _pair("the", "of", 2))
 _search("positional_chain", "positional", "the /1 of /3 and", f"{_pair('the', 'of', 1)} UNION {_pair('of', 'and', 3)}")
 _search("positional_wide", "positional", "la /20 de", _pair("la", "de", 20))
-_count("positional_zero", "positional", "the /0 of")
+_count("positional_zero", "positional", "the /0 of", _pair("the", "of", 0))
 _search("positional_self", "positional", "der /0 der", _has("der"))
 _count("positional_single", "positional", "the")
-_count("positional_unknown", "positional", "the /1 absentword")
+_count("positional_unknown", "positional", "the /1 absentword", _pair("the", "absentword", 1))
 
 _TH, _AN_ING, _VER = "starts_with(term, 'th')", "starts_with(term, 'an') AND ends_with(term, 'ing')", "starts_with(term, 'ver')"
 _search("joker_prefix", "joker", "than*", _ids("starts_with(term, 'than')"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexispark import CacheError, Index, IndexNotBuiltError, Searcher
 from lexispark.functions import codec, text
 from lexispark.functions.stem import normalize
+from lexispark.operators import gaps
 
 FILES = {
     "test1.txt": "pen pineapple \napple pen\t\nunusuallylongwordaddedintentionally\n\npen pineapple apple pen unusuallylongwordaddedintentionally",
@@ -158,3 +159,13 @@ def test_boolean_by_semi_joins(spark, index):
     by_joins = has("for").join(has("word"), "doc_id", "left_semi").join(has("fall"), "doc_id", "left_anti")
     got = Searcher(index).boolean("for AND word AND NOT fell").select("doc_id")
     assert sorted(got.collect()) == sorted(by_joins.collect())
+
+
+@pytest.mark.parametrize("bits", [1, 3, 20])
+def test_gaps_across_blocks(spark, monkeypatch, bits):
+    monkeypatch.setattr(gaps, "BLOCK", bits)
+    ids = {"a": [0, 1, 2, 9, 40, 41], "b": [17], "c": list(range(5, 60, 7))}
+    postings = spark.createDataFrame([(t, i) for t, x in ids.items() for i in x], "term string, doc_id long")
+    found = gaps.encode(postings)
+    assert sorted(tuple(r) for r in found.collect()) == [(t, i, i - p) for t, x in ids.items() for p, i in zip([0, *x], x, strict=False)]
+    assert sorted(tuple(r) for r in gaps.decode(found).collect()) == [(t, i, i) for t, x in ids.items() for i in x]
