@@ -1,11 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. A block is reported for a template if it holds CONTAINMENT of
-the template's distinct words. The words of the templates get one global order, rarest in the
-corpus first; a block that meets the threshold has a word of the template's prefix (all but
-so many of the last words), so only blocks with such a word are candidates. Length and
-position filters (words of the block, words of the template after the common one) drop most of
-those before the overlap is counted. Templates are a fixed list of bounded size.
+A template is found in a text if a block holds CONTAINMENT of the template's distinct words.
+Blocks are the lines of the text and, since notices are wrapped, all runs of consecutive words
+of the template's length by CONTAINMENT, whatever line breaks and comment signs stand between.
+A text that has such a block meets the threshold as a whole. The words of the templates get one
+global order, rarest in the corpus first; a text that meets the threshold has a word of the
+template's prefix (all but so many of the last words), so only texts with such a word are
+candidates. Length and position filters (words of the text, words of the template after the
+common one) drop most of those before the overlap is counted; the blocks are looked at in what
+is left. Templates are a fixed list of bounded size.
 
 Beside it stand the fixed phrases, counted at word positions over the whole text.
 
@@ -13,7 +16,7 @@ Everything runs as DataFrame expressions. Words are runs of letters and digits,
 characters beyond ASCII included, A-Z lower-cased.
 
 Defined cases: a null or empty text has no words, no labels and score 0. A template that
-several blocks hold gives its label once; the score is the best share. Repeated rows each get their own row (they are told
+several blocks hold gives its label once; the score is the best share of a block. Repeated rows each get their own row (they are told
 apart by nothing else, so equal rows get equal results). Only doc_id and text are read.
 """
 
@@ -52,11 +55,14 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _template_words() -> list[tuple[int, str, list[str]]]:
+    return [(t, label, list(dict.fromkeys(words))) for t, label, words in _templates()]
+
+
+def _templates() -> list[tuple[int, str, list[str]]]:
     out = []
     for label, texts in TEMPLATES.items():
         for text in texts:
-            words = dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split())
-            out.append((len(out), label, list(words)))
+            out.append((len(out), label, "".join(c if c.isalnum() else " " for c in text.lower()).split()))
     return out
 
 
@@ -65,19 +71,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), lambda w: w != "")
 
 
-def blocks_of(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, text_key, block, words): lines of texts with a template's word; repeated texts of an id are one."""
+def texts_of(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, text_key, text, words): texts with a template's word, and their distinct words."""
     some = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(sorted(words))))
-    lines = some.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    return lines.withColumn("words", F.array_distinct(words_of(F.col("line")))).drop("line")
+    return some.select("doc_id", F.xxhash64("text").alias("text_key"), "text", _once(F.array_distinct(words_of(F.col("text")))).alias("words"))
+
+
+def _once(c: Column) -> Column:
+    """The same value, computed once: no filter above moves below it with the expression in the column's place."""
+    return F.explode(F.array(c))
 
 
 def template_matches(docs: DataFrame, containment: int = CONTAINMENT) -> DataFrame:
-    """(doc_id, text_key, template, label, share, block) of every block that holds enough of a template."""
+    """(doc_id, text_key, template, label, share) of every text with a block that holds enough of a template."""
     spark = docs.sparkSession
     templates = _template_words()
     vocabulary = sorted({w for _, _, words in templates for w in words})
     need = {t: -(-containment * len(words) // 100) for t, _, words in templates}
+    run = {t: -(-100 * len(words) // containment) for t, _, words in _templates()}
     # The numbers of texts that hold the templates' words give the global order.
     marks = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("w"))
     df = {r.w: r.n for r in marks.groupBy("w").agg(F.count("*").alias("n")).collect()}
@@ -86,18 +97,25 @@ def template_matches(docs: DataFrame, containment: int = CONTAINMENT) -> DataFra
     prefix, whole = [], []
     for t, label, words in templates:
         words = sorted(words, key=rank.__getitem__)
-        whole.append((t, label, words, len(words), need[t]))
+        whole.append((t, label, words, len(words), need[t], run[t]))
         prefix += [(w, t, i) for i, w in enumerate(words[: len(words) - need[t] + 1])]
     seeds = F.broadcast(spark.createDataFrame(prefix, "w string, template int, place int"))
-    whole = F.broadcast(spark.createDataFrame(whole, "template int, label string, template_words array<string>, size int, need int"))
-    found = blocks_of(docs, sorted({w for w, _, _ in prefix}))
+    whole = F.broadcast(spark.createDataFrame(whole, "template int, label string, template_words array<string>, size int, need int, run int"))
+    # Of a text's words, those of templates are all that the filters need.
+    found = texts_of(docs, sorted({w for w, _, _ in prefix})).withColumn("n", F.size("words")).withColumn("words", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
     hits = found.select("*", F.explode(F.array_intersect("words", F.array(*map(F.lit, sorted({w for w, _, _ in prefix}))))).alias("w")).join(seeds, "w").join(whole, "template")
-    hits = hits.where(F.size("words") >= F.col("need")).where(F.col("size") - F.col("place") >= F.col("need"))
-    # Of several prefix words in a block, the first alone leads to the check.
+    hits = hits.where(F.col("n") >= F.col("need")).where(F.col("size") - F.col("place") >= F.col("need"))
+    # Of several prefix words in a text, the first alone leads to the check.
     hits = hits.where(~F.exists(F.slice("template_words", 1, F.col("place")), lambda w: F.array_contains("words", w)))
-    common = F.size(F.array_intersect("words", "template_words"))
-    hits = hits.withColumn("common", common).where("common >= need")
-    return hits.select("doc_id", "text_key", "template", "label", (F.col("common") / F.col("size")).alias("share"), "block")
+    hits = hits.where(F.size(F.array_intersect("words", "template_words")) >= F.col("need"))
+    common = lambda words: F.size(F.array_intersect(words, F.col("template_words")))
+    lines = F.transform(F.split("text", "\n"), lambda line: common(words_of(line)))
+    hits = hits.select("*", _once(words_of(F.col("text"))).alias("all"))
+    # A run may as well start at its first word of the template.
+    starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains("template_words", F.get("all", i - 1)))
+    runs = F.transform(starts, lambda i: common(F.slice("all", i, F.col("run"))))
+    hits = hits.select("*", _once(F.greatest(F.array_max(lines), F.array_max(runs))).alias("common")).where("common >= need")
+    return hits.select("doc_id", "text_key", "template", "label", (F.col("common") / F.col("size")).alias("share"))
 
 
 def scan(docs: DataFrame, containment: int = CONTAINMENT) -> DataFrame:

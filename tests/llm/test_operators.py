@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -292,6 +293,20 @@ def test_licenses(spark):
     assert sorted(((r.doc_id, *(r[c] for c in cols)) for r in rows), key=str) == sorted(((i, *plain_licenses(t)) for i, t in zip(ids, texts, strict=True)), key=str)
 
 
+def test_licenses_wrapped(spark):
+    notices = [(label, x) for label, texts in licenses.TEMPLATES.items() for x in texts]
+    pad = "Some words of another kind stand before and after it. " * 3
+    wrap = lambda x, width: textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False)
+    cases = [(label, x, width, sign) for label, x in notices for width in (40, 72, 80, 100) for sign in ("", "# ", " * ")]
+    texts = ["\n".join(sign + line for line in [pad, *wrap(x, width), pad]) for _, x, width, sign in cases]
+    # Neither all words far apart nor too few of them together are a notice.
+    words = notices[1][1].split()
+    texts += [("\n" + pad).join(words), "\n".join(wrap(" ".join(words[:18]), 72))]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.scan(frame(spark, texts)).collect()}
+    assert [(x, got[i]) for i, x in enumerate(cases) if x[0] not in got[i][0] or got[i][1] != 1] == []
+    assert got[len(cases)] == got[len(cases) + 1] == ([""], 0)
+
+
 # 7 Near duplicates
 
 
