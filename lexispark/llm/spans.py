@@ -14,8 +14,9 @@ Each task sends only its first occurrence of a span, so a very common passage co
 a task.
 
 Defined cases: null and empty texts have no sentences and stay as they are. Rows with the same
-doc_id are the same document: a repeated row is treated like its twin, so neither removes the
-other. Rows with a null doc_id count as one document after all others. A text that nothing is removed from stays the same byte for byte;
+doc_id and the same text are the same document: a repeated row is treated like its twin, so neither removes the
+other. Rows with the same doc_id and different texts are documents of their own, in the order of a hash of their texts.
+Rows with a null doc_id come after all others. A text that nothing is removed from stays the same byte for byte;
 one that loses all its sentences becomes empty. Other columns pass through, whatever their names.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -36,7 +37,8 @@ SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 18, 50
 NO_ID = np.int64(2**63 - 1)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?,;:")] = True
-_TYPES = ["<u8", "<i8", "<u4", "<u4", "<u1"]
+#: Hash of the span, doc_id, hash of the text, first and last sentence, whether it is known to be a repeat.
+_TYPES = ["<u8", "<i8", "<i8", "<u4", "<u4", "<u1"]
 
 
 def sentences(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,24 +83,33 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _fold(key: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, done: np.ndarray) -> list[np.ndarray]:
+def row_key(docs: DataFrame) -> Column:
+    """Tells apart the texts of rows with the same doc_id."""
+    return F.xxhash64(docs["text"])
+
+
+def _dealt(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return mix(doc.view(U64) ^ mix(row.view(U64)))
+
+
+def _fold(key: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, done: np.ndarray) -> list[np.ndarray]:
     """Keeps the first place of each hash; the others are known to be repeats (done = 1, dealt by document)."""
-    order = np.lexsort((first, doc, key))
-    key, doc, first, last = (x[order] for x in (key, doc, first, last))
-    again = later(key, doc, first)
-    key = np.where(again, mix(doc.view(U64)), key)
-    return [key, doc, first, last, again.astype(np.uint8)]
+    order = np.lexsort((first, row, doc, key))
+    key, doc, row, first, last = (x[order] for x in (key, doc, row, first, last))
+    again = later(key, doc, row, first)
+    key = np.where(again, _dealt(doc, row), key)
+    return [key, doc, row, first, last, again.astype(np.uint8)]
 
 
-def later(key: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+def later(key: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of sorted entries, those at another place than the first of their key."""
     cut = runs(key)
     head = np.repeat(cut[:-1], np.diff(cut))
-    return (doc != doc[head]) | (first != first[head])
+    return (doc != doc[head]) | (row != row[head]) | (first != first[head])
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, first, last): the sentence ranges of each document to remove, merged; a written table."""
+    """(doc_id, row, first, last): the sentence ranges of each document to remove, merged; a written table."""
     n = n_shards(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,42 +117,44 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for batch, block in blocks(batches, table=LOWER):
             h, doc, a, z = spans(block)
             base = np.searchsorted(sentences(block)[2], np.arange(block.n))[doc]
-            yield from packer.add(h, _ids(batch)[doc], a - base, z - base, np.zeros(len(h), np.uint8))
+            yield from packer.add(h, _ids(batch)[doc], batch.column("row").to_numpy()[doc], a - base, z - base, np.zeros(len(h), np.uint8))
         yield from packer.flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, first, last, done = unpack(batches, _TYPES)
-        packer = Packer(n, _TYPES[1:4], limit=1 << 60, shard_of=lambda a: (mix(a[0].view(U64)) >> U64(33)) % U64(n))
+        key, doc, row, first, last, done = unpack(batches, _TYPES)
+        packer = Packer(n, _TYPES[1:5], limit=1 << 60, shard_of=lambda a: (_dealt(a[0], a[1]) >> U64(33)) % U64(n))
         known, new = done == 1, done == 0
-        list(packer.add(doc[known], first[known], last[known]))
-        key, doc, first, last = (x[new] for x in (key, doc, first, last))
-        order = np.lexsort((first, doc, key))
-        key, doc, first, last = (x[order] for x in (key, doc, first, last))
-        again = later(key, doc, first)
-        list(packer.add(doc[again], first[again], last[again]))
+        list(packer.add(doc[known], row[known], first[known], last[known]))
+        key, doc, row, first, last = (x[new] for x in (key, doc, row, first, last))
+        order = np.lexsort((first, row, doc, key))
+        key, doc, row, first, last = (x[order] for x in (key, doc, row, first, last))
+        again = later(key, doc, row, first)
+        list(packer.add(doc[again], row[again], first[again], last[again]))
         yield from packer.flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, first, last = unpack(batches, _TYPES[1:4])
+        doc, row, first, last = unpack(batches, _TYPES[1:5])
         if not len(doc):
             return
-        order = np.lexsort((first, doc))
-        doc, first, last = doc[order], first[order].astype(np.int64), last[order].astype(np.int64)
-        lift = np.repeat(np.arange(len(runs(doc)) - 1), np.diff(runs(doc))) << 33
+        order = np.lexsort((first, row, doc))
+        doc, row, first, last = doc[order], row[order], first[order].astype(np.int64), last[order].astype(np.int64)
+        no = np.zeros(len(doc), np.int64)
+        no[1:] = np.cumsum((doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+        lift = no << 33
         reach = np.maximum.accumulate(last + lift)
         new = np.ones(len(doc), bool)
         new[1:] = first[1:] + lift[1:] > reach[:-1] + 1
         at = np.flatnonzero(new)
         end = reach[np.concatenate([at[1:], [len(doc)]]) - 1] - lift[at]
-        cut = runs(doc[at])
-        ids = doc[at][cut[:-1]]
+        cut = runs(no[at])
+        ids, rows = doc[at][cut[:-1]], row[at][cut[:-1]]
         off = pa.array(cut.astype(np.int32))
         for s in range(0, len(ids), 20_000):
             o = off.slice(s, min(20_000, len(ids) - s) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 20_000]), pa.ListArray.from_arrays(o, pa.array(first[at])), pa.ListArray.from_arrays(o, pa.array(end))], names=["doc_id", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 20_000]), pa.array(rows[s : s + 20_000]), pa.ListArray.from_arrays(o, pa.array(first[at])), pa.ListArray.from_arrays(o, pa.array(end))], names=["doc_id", "row", "first", "last"])
 
-    found = deal(docs.select("doc_id", "text").mapInArrow(find, Packer.schema(5)), n).mapInArrow(join, Packer.schema(3))
-    return scratch.save(deal(found, n).mapInArrow(merge, "doc_id long, first array<long>, last array<long>"), "repeats")
+    found = deal(docs.select("doc_id", "text", row_key(docs).alias("row")).mapInArrow(find, Packer.schema(6)), n).mapInArrow(join, Packer.schema(4))
+    return scratch.save(deal(found, n).mapInArrow(merge, "doc_id long, row long, first array<long>, last array<long>"), "repeats")
 
 
 def added(docs: DataFrame) -> tuple[str, str]:
@@ -151,9 +164,9 @@ def added(docs: DataFrame) -> tuple[str, str]:
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the found sentences taken out of text, and how many it had and lost as the columns that added() names."""
-    key, first, last = (free_name(docs, x) for x in ("_id", "_first", "_last"))
-    cut = if_small(found.select(F.col("doc_id").alias(key), F.col("first").alias(first), F.col("last").alias(last)))
-    joined = docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NO_ID))) == F.col(key), "left").drop(key)
+    key, row, first, last = (free_name(docs, x) for x in ("_id", "_row", "_first", "_last"))
+    cut = if_small(found.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("first").alias(first), F.col("last").alias(last)))
+    joined = docs.join(cut, (F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NO_ID))) == F.col(key)) & (row_key(docs) == F.col(row)), "left").drop(key, row)
     n_name, gone_name = added(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

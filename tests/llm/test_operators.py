@@ -429,6 +429,19 @@ def test_spans(spark):
         assert gone[r.doc_id] or r.text == text_of[r.doc_id]
 
 
+def test_spans_rows_of_one_id(spark):
+    rng = random.Random(8)
+    texts = [sentences_of(rng, k) for k in (12, 4, 9, 1, 7)]
+    copy = sentences_of(rng, 4)
+    # Null ids and an equal id with different texts: only the copies go, all but one of them.
+    for ids in ([None] * 6, [5] * 6):
+        docs = frame(spark, [texts[0] + " " + copy, copy + " " + texts[1], texts[2], texts[3], texts[4], texts[4]], ids)
+        out = spans.remove(docs, spans.repeats(docs, Scratch(spark)))
+        got = sorted((r.text, r._removed > 0) for r in out.collect())
+        one, two = (texts[0], texts[1]), texts[0] + " " + copy
+        assert got in (sorted([(x, False) for x in (two, *texts[2:], texts[4])] + [(one[1], True)]), sorted([(x, False) for x in (copy + " " + one[1], *texts[2:], texts[4])] + [(one[0] + " ", True)]))
+
+
 # 9 WARC
 
 
