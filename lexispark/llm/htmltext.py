@@ -4,11 +4,12 @@ A page is read as a sequence of text nodes with their root-to-leaf tag paths (cl
 names are part of a path). Per path, text length and punctuation are added up and divided by
 the path's number of nodes; both ratios are smoothed over the sequence of paths, fused into
 one score, weighted down by the share of linked text, and compared with a threshold relative
-to the page's spread. Paths above it are content nodes. The content area is what they have in
-common: the `article` or `main` elements that hold them, else the deepest element around
-those of most text. All of the area is kept, short headings included, but for paths through
+to the page's spread. Paths above it are content nodes, and all of them are kept. So is, short headings
+included, what stands beside them in the content area: the `article` and `main` elements that
+hold any of them, else the deepest element around those of most text. Left out are paths through
 elements that are never content (menus, headers, footers, asides, forms, scripts, styles) or
-that name themselves advert, comment, notice, sidebar and the like.
+that name themselves advert, comment, notice, sidebar and the like; such a name says nothing where
+the element holds more than half of the page's text.
 
 Defined cases: a null or empty page, and one without text, give an empty text. Markup that
 is not closed ends with its block. Nothing is shortened. Repeated rows each get their own
@@ -44,21 +45,23 @@ _BODY = re.compile(r"(?:^|[-_\s])(?:content|article|post|entry|story|text|body|m
 class Path:
     """A root-to-leaf tag path and what was added up for it."""
 
-    __slots__ = ("never", "linked", "areas", "steps", "chars", "marks", "links", "nodes", "order")
+    __slots__ = ("never", "named", "linked", "areas", "steps", "chars", "marks", "links", "nodes", "order")
 
     def __init__(self, stack: list[tuple[str, str, int]]):
         self.steps = tuple((tag, names) for tag, names, _ in stack)
-        self.never = any(tag in _NEVER or (names and tag not in ("html", "body") and _NAMED.search(names) and not (tag in _AREA and _BODY.search(names))) for tag, names, _ in stack)
+        self.never = any(tag in _NEVER for tag, _, _ in stack)
+        #: The elements, by their steps, that name themselves something else than content.
+        self.named = [self.steps[: k + 1] for k, (tag, names, _) in enumerate(stack) if names and tag not in ("html", "body") and _NAMED.search(names) and not (tag in _AREA and _BODY.search(names))]
         self.linked = any(tag == "a" for tag, _, _ in stack)
         self.chars = self.marks = self.links = self.nodes = 0
         self.order = 0
 
 
-def parse(page: str) -> list[tuple[Path, str, int, bool]]:
-    """(path, text, number of the innermost article or main, whether a block starts) of the text nodes."""
+def parse(page: str) -> list[tuple[Path, str, tuple[int, ...], bool]]:
+    """(path, text, numbers of the article and main elements around it, whether a block starts) of the text nodes."""
     stack: list[tuple[str, str, int]] = []
     paths: dict[tuple, Path] = {}
-    out: list[tuple[Path, str, int, bool]] = []
+    out: list[tuple[Path, str, tuple[int, ...], bool]] = []
     at, broke, areas = 0, True, 0
     cached: Path | None = None
 
@@ -77,7 +80,7 @@ def parse(page: str) -> list[tuple[Path, str, int, bool]]:
             if cached is None:
                 cached = paths[key] = Path(stack)
                 cached.order = len(paths)
-        area = next((no for tag, _, no in reversed(stack) if tag in _AREA), 0)
+        area = tuple(no for _, _, no in stack if no)
         out.append((cached, entities.unescape(raw) if "&" in raw else raw, area, broke))
         broke = False
 
@@ -137,7 +140,20 @@ def parse(page: str) -> list[tuple[Path, str, int, bool]]:
     return out
 
 
-def scores(nodes: list[tuple[Path, str, int, bool]]) -> tuple[dict[int, float], float]:
+def judge(nodes: list[tuple[Path, str, tuple[int, ...], bool]]) -> None:
+    """Rules out the paths through elements with such names, but for elements that hold more than half of the text."""
+    total, held = 0, {}
+    for path, text, _, _ in nodes:
+        if not path.never:
+            n = len(text.strip())
+            total += n
+            for step in path.named:
+                held[step] = held.get(step, 0) + n
+    for path in {id(p): p for p, _, _, _ in nodes}.values():
+        path.never = path.never or any(2 * held[step] <= total for step in path.named)
+
+
+def scores(nodes: list[tuple[Path, str, tuple[int, ...], bool]]) -> tuple[dict[int, float], float]:
     """Fused, smoothed score of each path (by its number) and the page's threshold."""
     paths: dict[int, Path] = {}
     for path, text, _, _ in nodes:
@@ -170,29 +186,23 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    judge(nodes)
     fused, least = scores(nodes)
     if not fused:
         return ""
     content = {i for i, x in fused.items() if x >= least}
-    mass: dict[int, float] = {}
-    for path, text, area, _ in nodes:
-        if area and not path.never:
-            mass[area] = mass.get(area, 0) + len(text) * (1 if path.order in content else 0.01)
-    areas = {a for a, x in mass.items() if x >= 0.2 * max(mass.values())}
-    if areas:
-        kept = [(x, a, b) for p, x, a, b in _with_breaks(nodes) if a in areas and not p.never]
-    else:
-        root = _root([(p, len(x)) for p, x, _, _ in nodes if p.order in content and not p.never])
-        kept = [(x, a, b) for p, x, a, b in _with_breaks(nodes) if not p.never and p.steps[: len(root)] == root and (p.order in content or len(p.steps) > len(root) > 0 or root == p.steps)]
-    return _SPACE.sub(" ", "".join((" " if b else "") + x for x, _, b in kept)).strip(" ")
-
-
-def _with_breaks(nodes: list[tuple[Path, str, int, bool]]) -> Iterator[tuple[Path, str, int, bool]]:
-    """A node after a dropped one starts a block."""
-    last = None
+    good = [(p, x, a) for p, x, a, _ in nodes if p.order in content and not p.never]
+    areas = {no for _, _, a in good for no in a}
+    root = () if areas else _root([(p, len(x)) for p, x, _ in good])
+    pieces, gap = [], False
     for p, x, a, b in nodes:
-        yield p, x, a, b or (last is not None and last.never)
-        last = p
+        beside = any(no in areas for no in a) if areas else p.steps[: len(root)] == root and len(root) > 0
+        if not p.never and (p.order in content or beside):
+            pieces.append((" " if b or gap else "") + x)
+            gap = False
+        else:
+            gap = True  # a node after a dropped one starts a block
+    return _SPACE.sub(" ", "".join(pieces)).strip(" ")
 
 
 def _root(content: list[tuple[Path, int]]) -> tuple:

@@ -257,6 +257,35 @@ def test_page(wrap):
     assert htmltext.main_text(PAGE.format(body=wrap.format(CONTENT))) == PLAIN
 
 
+SPLIT = "<h1>A title</h1><p>Some text &amp; more, with <b>bold</b>ness\n &lt;here&gt;.</p>", "<p>Second one is   here, with commas, and more.</p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<main>" + SPLIT[0] + "<article>" + SPLIT[1] + "</article></main>",
+        "<article>" + SPLIT[0] + "</article><article>" + SPLIT[1] + "</article>",
+    ],
+)
+def test_page_parts(body):
+    assert htmltext.main_text(PAGE.format(body=body)) == PLAIN
+
+
+def test_page_small_parts():
+    words = "Many words stand in this part, with commas, and it is long. " * 30
+    short = "Few words stand here, and they count."
+    two = "<body><div class=part1><p>" + words + "</p></div><div class=part2><p>" + short + "</p></div></body>"
+    assert htmltext.main_text(two) == words + short
+    sections = "<body><main><h1>Title</h1><p>" + short + "</p><article><p>" + words + "</p></article></main></body>"
+    assert htmltext.main_text(sections) == "Title " + short + " " + words.strip()
+    apart = "<body><article><p>" + words + "</p></article><article><p>" + short + "</p></article></body>"
+    assert htmltext.main_text(apart) == words + short
+    for names in ("layout has-sidebar", "wrapper no-sidebar"):
+        for wrap in ("{}", "<main>{}</main>", "<article>{}</article>"):
+            body = f'<div class="{names}">' + wrap.format("<h1>Title</h1><p>" + words + "</p>") + '<div class="sidebar">Other stories.</div></div>'
+            assert htmltext.main_text(PAGE.format(body=body)) == "Title " + words.strip()
+
+
 def test_pages_odd(spark):
     pages = [None, "", "<html></html>", "plain words only", "<p>unclosed <b>bold<p>next", "<article><p>a<br>b</article>", "<article>x<!-- c > d --><script>no</script>y</article>", "<<<>>> <", "<article><div class='ad'>no</div>yes</article>", "<article>" + "<div>" * 3000 + "deep" + "</article>"]
     df = spark.createDataFrame([(i, f"u{i}", p, "z") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
