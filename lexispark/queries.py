@@ -209,6 +209,15 @@ def pos_gaps(spark, sf_dir):
     return index(spark, sf_dir).get_term_data("the").select("doc_id", F.array_join(F.transform(codec.gaps(F.col("positions")), lambda x: x.cast("string")), " ").alias("gaps"))
 
 
+_ALL_POS_GAPS = "apg AS (SELECT term, doc_id, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS gap, pos FROM tokens)"
+
+
+@query(sql("SELECT term, doc_id, string_agg(CAST(gap AS VARCHAR), ' ' ORDER BY pos) AS gaps FROM apg GROUP BY term, doc_id", _ALL_POS_GAPS))
+def pos_gaps_all(spark, sf_dir):
+    """pos_gaps over the postings of all terms."""
+    return index(spark, sf_dir).postings.select("term", "doc_id", F.array_join(F.transform(codec.gaps(F.col("positions")), lambda x: x.cast("string")), " ").alias("gaps"))
+
+
 @query(sql("SELECT term, doc_id, CAST(sum(gap) OVER (PARTITION BY term ORDER BY doc_id) AS BIGINT) AS decoded FROM g", _GAPS))
 def gap_decode(spark, sf_dir):
     return gaps.decode(_doc_gaps(spark, sf_dir))

@@ -169,3 +169,20 @@ def test_gaps_across_blocks(spark, monkeypatch, bits):
     found = gaps.encode(postings)
     assert sorted(tuple(r) for r in found.collect()) == [(t, i, i - p) for t, x in ids.items() for p, i in zip([0, *x], x, strict=False)]
     assert sorted(tuple(r) for r in gaps.decode(found).collect()) == [(t, i, i) for t, x in ids.items() for i in x]
+
+
+def test_codec_queries_take_all_postings(spark, tmp_path):
+    from lexispark.queries import QUERIES
+
+    texts = ["b a b c b", "a", "c c a", "d"]
+    spark.createDataFrame(list(zip([1, 2, 3, 2**28], texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.term, r.doc_id): r.gaps for r in QUERIES["pos_gaps_all"](spark, str(tmp_path)).collect()}
+    want, numbers = {}, set()
+    for i, t in zip([1, 2, 3, 2**28], texts, strict=True):
+        for w in set(t.split()):
+            at = [k for k, x in enumerate(t.split()) if x == w]
+            step = [b - a for a, b in zip([0, *at], at, strict=False)]
+            want[w, i] = " ".join(map(str, step))
+            ids = [j for j, u in zip([1, 2, 3, 2**28], texts, strict=True) if w in u.split()]
+            numbers |= {*step, len(at), i - max([0, *(j for j in ids if j < i)])}
+    assert got == want
