@@ -253,6 +253,31 @@ def vlc_roundtrip(spark, sf_dir):
     return _numbers(spark, sf_dir).select("n", codec.vlc_decode(codec.vlc_hex(F.col("n"))).alias("decoded"))
 
 
+# What an index encodes: the document gaps, frequencies and position gaps of all postings.
+_CODED = "n AS (SELECT CAST(gap AS BIGINT) AS n FROM g UNION SELECT CAST(tf AS BIGINT) FROM postings UNION SELECT CAST(gap AS BIGINT) FROM apg)"
+
+
+def _coded(spark, sf_dir) -> DataFrame:
+    postings = index(spark, sf_dir).postings
+    inner = postings.select(F.explode(F.concat(F.array(F.col("tf").cast("long")), F.transform(codec.gaps(F.col("positions")), lambda x: x.cast("long")))).alias("n"))
+    return inner.union(_doc_gaps(spark, sf_dir).select(F.col("gap").cast("long"))).distinct()
+
+
+@query(sql(f"SELECT n, {_SIZE} AS bytes FROM n", _GAPS, _ALL_POS_GAPS, _CODED))
+def vlc_size_all(spark, sf_dir):
+    return _coded(spark, sf_dir).select("n", codec.vlc_size(F.col("n")).alias("bytes"))
+
+
+@query(sql(f"SELECT n, {_duck_hex()} AS code FROM n", _GAPS, _ALL_POS_GAPS, _CODED))
+def vlc_hex_all(spark, sf_dir):
+    return _coded(spark, sf_dir).select("n", codec.vlc_hex(F.col("n")).alias("code"))
+
+
+@query(sql("SELECT n, n AS decoded FROM n", _GAPS, _ALL_POS_GAPS, _CODED))
+def vlc_roundtrip_all(spark, sf_dir):
+    return _coded(spark, sf_dir).select("n", codec.vlc_decode(codec.vlc_hex(F.col("n"))).alias("decoded"))
+
+
 @query(sql(f"SELECT term, CAST(sum({_SIZE}) AS BIGINT) AS bytes FROM (SELECT term, gap AS n FROM g) GROUP BY term", _GAPS))
 def index_bytes(spark, sf_dir):
     return _doc_gaps(spark, sf_dir).groupBy("term").agg(F.sum(codec.vlc_size(F.col("gap"))).alias("bytes"))

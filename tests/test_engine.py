@@ -186,3 +186,6 @@ def test_codec_queries_take_all_postings(spark, tmp_path):
             ids = [j for j, u in zip([1, 2, 3, 2**28], texts, strict=True) if w in u.split()]
             numbers |= {*step, len(at), i - max([0, *(j for j in ids if j < i)])}
     assert got == want
+    assert {r.n for r in QUERIES["vlc_size_all"](spark, str(tmp_path)).collect()} == numbers
+    assert {(r.n, r.decoded) for r in QUERIES["vlc_roundtrip_all"](spark, str(tmp_path)).collect()} == {(n, n) for n in numbers}
+    assert {r.n: r.code for r in QUERIES["vlc_hex_all"](spark, str(tmp_path)).collect()}[2**28] == "01000000" + "80"
