@@ -93,7 +93,7 @@ def _meet_here(h: np.ndarray, doc: np.ndarray, met: np.ndarray) -> list[np.ndarr
 
 def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, met): in how many of its smallest shingles a document meets another; those that meet none are absent."""
-    n = n_shards(docs.sparkSession)
+    n = n_shards(docs)
 
     types = ["<u8:5", "<i8", "<u4"]  # of a hash within its shard five bytes do: a chance match only lets a document on
 
@@ -125,8 +125,8 @@ def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
         yield from table({"_id": ids, "_met": np.bincount(back, met, len(ids)).astype(np.int64)})
 
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    sent = deal(known.mapInArrow(send, Packer.schema(3)), n)
-    return deal(sent.mapInArrow(meet, Packer.schema(2)), n).mapInArrow(total, "_id long, _met long")
+    sent = deal(known.mapInArrow(send, Packer.schema(3)), n, meet, Packer.schema(2))
+    return deal(sent, n, total, "_id long, _met long")
 
 
 def shingle_table(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
@@ -155,7 +155,7 @@ def heavy_shingles(sets: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.nd
     A task reports, of each million entries, the shingles that are at least half as frequent there as a heavy one. So a
     heavy shingle is reported for more than half of its entries, and of those reported for so many there are at most 2 * HEAVY.
     """
-    n, share = n_shards(sets.sparkSession), 2 * HEAVY
+    n, share = n_shards(sets), 2 * HEAVY
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, total = Packer(n, ["<u8", "<u8"], fold=fold_sums), 0
@@ -188,7 +188,7 @@ def heavy_shingles(sets: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.nd
         h, times = fold_sums(*unpack(batches, ["<u8", "<u8"]))
         yield from table({"h": h.view(np.int64), "times": times.astype(np.int64)})
 
-    found = scratch.save(deal(sets.where("shingles is not null").select("node", "shingles").mapInArrow(send, Packer.schema(2)), n).mapInArrow(add_up, "h long, times long"), "reported")
+    found = scratch.save(deal(sets.where("shingles is not null").select("node", "shingles").mapInArrow(send, Packer.schema(2)), n, add_up, "h long, times long"), "reported")
     total = found.where("h = -1").agg(F.sum("times")).first()[0] or 0
     rows = found.where((F.col("h") != -1) & (F.col("times") >= max(LEAST_HEAVY, total // share))).collect()
     h, times = np.array([r.h for r in rows], np.int64).view(U64), np.array([r.times for r in rows], np.int64)
@@ -206,7 +206,7 @@ def place_in(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def shared_sets(sets: DataFrame, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, n, shared, prefix): of each node its size, its shingles that other nodes have, rarest first, and how many of them are in its prefix."""
-    n = n_shards(sets.sparkSession)
+    n = n_shards(sets)
     types, found_types = ["<u8", "<i8", "<u4"], ["<i8", "<u8", "<u4", "<u4"]
     keys, weights = heavy
 
@@ -265,15 +265,15 @@ def shared_sets(sets: DataFrame, percent: int, heavy: tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(node[cut[g]]), pa.array(size[g]), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in g], pa.binary()), pa.array(n_shared[g] - least[g] + 1)], names=["node", "n", "shared", "prefix"])
 
     some = sets.where("shingles is not null").select("node", "shingles")
-    found = deal(some.mapInArrow(send, Packer.schema(3)), n).mapInArrow(count, Packer.schema(4))
+    found = deal(some.mapInArrow(send, Packer.schema(3)), n, count, Packer.schema(4))
     if len(keys):
         found = found.unionAll(some.mapInArrow(send_heavy, Packer.schema(4)))
-    return deal(found, n).mapInArrow(gather, "node long, n long, shared binary, prefix long")
+    return deal(found, n, gather, "node long, n long, shared binary, prefix long")
 
 
 def regions(nodes: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(pivot, node): each node and the pivots it meets in its prefix; every pivot is in its own region."""
-    n = n_shards(nodes.sparkSession)
+    n = n_shards(nodes)
     types = ["<u8", "<i8", "<u4"]
     keys = heavy[0]
 
@@ -321,8 +321,7 @@ def regions(nodes: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame
         both = np.unique(np.stack([pivot[keep], node[keep]]), axis=1)
         yield from table({"pivot": both[0], "node": both[1]})
 
-    sent = deal(nodes.mapInArrow(send, Packer.schema(3)), n)
-    pairs = sent.mapInArrow(lead, "pivot long, node long")
+    pairs = deal(nodes.mapInArrow(send, Packer.schema(3)), n, lead, "pivot long, node long")
     if len(keys):
         pivots = np.zeros(len(keys), np.int64)
         for r in nodes.mapInArrow(smallest, "at long, n long, node long").groupBy("at").agg(F.min(F.struct("n", "node")).alias("first")).collect():
@@ -380,7 +379,7 @@ def join_region(node: np.ndarray, size: np.ndarray, sets: list[np.ndarray], perc
 def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between nodes, enough to join what the threshold links."""
     spark = nodes.sparkSession
-    n = n_shards(spark)
+    n = n_shards(nodes)
     region = scratch.save(regions(nodes, heavy), "regions")
     sizes = region.groupBy("pivot").agg(F.count("*").alias("members"))
     large = scratch.save(sizes.where(F.col("members") > REGION), "large")

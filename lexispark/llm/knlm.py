@@ -162,7 +162,7 @@ def discount(c: np.ndarray, d: list[float]) -> np.ndarray:
 def train(docs: DataFrame, scratch: Scratch) -> Model:
     """Counts the texts of docs and writes the model's files."""
     spark = docs.sparkSession
-    n, folder, docs = n_shards(spark), scratch.folder("knlm"), docs.select("text")
+    n, folder, docs = n_shards(docs), scratch.folder("knlm"), docs.select("text")
 
     for i in range(n):  # a range without entries keeps its empty files
         for x in ("w{}.key", "w{}.val", "p{}.key", "p{}.val", "ctx{}.val"):
@@ -183,7 +183,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
             put_file(f"{folder}/w{shard}.val", lambda f: f.write(counts.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())]})
 
-    found = deal(docs.mapInArrow(count_words, Packer.schema(2)), n).mapInArrow(keep_words, "shard long, n long, total long").collect()
+    found = deal(docs.mapInArrow(count_words, Packer.schema(2)), n, keep_words, "shard long, n long, total long").collect()
     sizes = np.zeros(n, np.int64)
     for r in found:
         sizes[r.shard] = r.n
@@ -241,8 +241,8 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
             seen = [int(x) for x in [*np.bincount(np.minimum(before, 5), minlength=6)[1:5], (before > 2).sum(), before.sum()]]
         yield pa.RecordBatch.from_pydict({"v": [totals + seen]})
 
-    pairs = deal(docs.mapInArrow(count_pairs, Packer.schema(3)), n).mapInArrow(keep_pairs, Packer.schema(6))
-    rows = [r.v for r in deal(pairs, n).mapInArrow(keep_contexts, "v array<long>").collect()]
+    pairs = deal(docs.mapInArrow(count_pairs, Packer.schema(3)), n, keep_pairs, Packer.schema(6))
+    rows = [r.v for r in deal(pairs, n, keep_contexts, "v array<long>").collect()]
     t = [sum(x) for x in zip(*rows, strict=True)]
     model.discounts = (discounts(t[:4]), discounts(t[4:8]))
     model.predecessors = t[9]

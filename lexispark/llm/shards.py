@@ -2,13 +2,16 @@
 
 Operators that compare hashes across the corpus send one row per task and shard, whose
 binary columns hold numpy arrays. This keeps a shuffled entry at the bytes of its values,
-and lets a shard be worked on as arrays. Nothing depends on which executor does the work,
-so a lost task is simply run again.
+and lets a shard be worked on as arrays. The number of shards follows the bytes of the input, so
+a shard's size doesn't grow with it; where there are more shards than partitions, Spark sorts
+a partition's rows by shard (spilling as needed) and the worker holds one shard at a time.
+Nothing depends on which executor does the work, so a lost task is simply run again.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +23,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def n_shards(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input files that a shard stands for at most.
+SHARD_BYTES = 64 << 20
+#: Partitions of a shuffle at most, unless Spark's own setting is higher; beyond, a partition has several shards.
+MAX_PARTITIONS = 20_000
 
 
-def deal(df: DataFrame, n: int, column: str = "shard") -> DataFrame:
-    """Shard i goes to partition i."""
-    return df.repartitionById(n, F.col(column))
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that df reads, from the plan; tables in memory count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(str(x.stats().sizeInBytes())) for x in found if x.getClass().getSimpleName() == "LogicalRelation")
+
+
+def n_partitions(spark: SparkSession, n: int) -> int:
+    return min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS))
+
+
+def n_shards(docs: DataFrame) -> int:
+    """As many as Spark's shuffle partitions, or more if the input is large."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // SHARD_BYTES))
+
+
+def deal(df: DataFrame, n: int, work: Callable, schema: str) -> DataFrame:
+    """Gives the rows of each of the n shards, together, to work, a function from batches to batches."""
+    parts = n_partitions(df.sparkSession, n)
+    if parts == n:
+        return df.repartitionById(n, F.col("shard")).mapInArrow(work, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in by_shard(batches):
+            yield from work(own)
+
+    return df.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The batches of each shard, of batches that are sorted by it. Each must be used up before the next."""
+    rest: list[pa.RecordBatch] = []
+
+    def pull() -> bool:
+        while not rest:
+            b = next(batches, None)
+            if b is None:
+                return False
+            if b.num_rows:
+                rest.append(b)
+        return True
+
+    def own(shard: int) -> Iterator[pa.RecordBatch]:
+        while pull() and rest[0].column("shard")[0].as_py() == shard:
+            b = rest.pop()
+            k = int(np.searchsorted(b.column("shard").to_numpy(), shard, side="right"))
+            if k < b.num_rows:
+                rest.append(b.slice(k))
+            yield b.slice(0, k)
+
+    batches = iter(batches)
+    while pull():
+        group = own(rest[0].column("shard")[0].as_py())
+        yield group
+        for _ in group:
+            pass
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -119,8 +177,8 @@ def table(rows: dict[str, np.ndarray | pa.Array], size: int = 50_000) -> Iterato
 class Scratch:
     """Tables and files of one call in the folder that spark.checkpoint.dir names.
 
-    Where that is unset, as in tests on one machine, a temporary folder is set. Tables stay
-    until drop(), since a lazy result may still read them.
+    Where that is unset and all runs on one machine, as in tests, a temporary folder is set; on a
+    cluster that is an error. Tables stay until drop(), since a lazy result may still read them.
     """
 
     def __init__(self, spark: SparkSession):
@@ -129,6 +187,8 @@ class Scratch:
         if not root and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/lexispark-{uuid.uuid4().hex}"
@@ -170,14 +230,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows up to which a table of ids may be sent to every executor (16 bytes a row).
-SMALL_ROWS = 1_000_000
+#: Bytes up to which a table may be sent to every executor, and what a row counts as besides its strings and arrays.
+SMALL_BYTES, ROW_BYTES = 48 << 20, 64
 
 
-def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks a table as one to send to every executor if it has few enough rows; else Spark shuffles both sides.
+def if_small(df: DataFrame) -> DataFrame:
+    """Marks a table as one to send to every executor if it is small enough; else Spark shuffles both sides.
 
-    df must be cheap to count, such as a written table.
+    Rows and the bytes of strings, binaries and arrays (8 an element) are counted first, so df must be cheap to read,
+    such as a written table.
     """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= SMALL_ROWS else df
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else 8 * F.coalesce(F.size(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    row = F.lit(ROW_BYTES)
+    for w in wide:
+        row = row + w
+    n = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= SMALL_BYTES else df
