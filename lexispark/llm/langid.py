@@ -6,9 +6,11 @@ Loss-weighted decoding takes the language whose codeword costs least, each bit w
 how well its classifier does on that language, and flags a text whose two best are close.
 
 Training reads at most `max_docs_per_lang` labelled documents of each language, those with
-the smallest hash of their id; prediction reads every text whole.
+the smallest hash of their id and text; prediction reads every text whole. The driver holds 1 MB for each
+language and the workers the weights of all bits (0.5 MB each, some 10 log2 of the number of languages).
 
-Defined cases: a text that is null, empty or without letters gives `und`, score 0, and is
+Defined cases: rows are sampled, not ids: a null id, or one that many rows share, is learned from like any other; rows of
+equal id and text count once. a text that is null, empty or without letters gives `und`, score 0, and is
 ambiguous. With no labelled row every text gives `und`; with one language it is that one.
 Equal costs go to the language that sorts first. Repeated rows each get their own row.
 Columns besides doc_id, text and lang are not read, so clashing names do no harm.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shards import Scratch
+from .shards import Scratch, if_small
 from .textblock import TextBlock, blocks
 
 #: Labelled documents of a language that training reads at most.
@@ -114,13 +116,14 @@ def decode(z: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
 def train(docs: DataFrame, scratch: Scratch, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Model:
     """docs: (doc_id, text, lang), those to learn from; rows without text or lang are left out."""
     known = docs.where("text is not null and lang is not null")
-    # A language's ids are thinned by their hash to three times the number wanted, then ranked: neither loads one task.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = known.groupBy("lang").agg((F.lit(3.0 * max_docs_per_lang) / F.count("*")).alias("_share"))
-    some = known.select("doc_id", "lang").join(F.broadcast(share), "lang").where(part <= F.col("_share"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(part, "doc_id"))
-    ids = some.withColumn("_rank", rank).where(F.col("_rank") <= max_docs_per_lang).select("doc_id", "lang").distinct()
-    sample = scratch.save(known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("text", "lang").repartition(4), "langid_sample")
+    # A language's rows are thinned by their hash to four times the number wanted, then ranked: neither loads one task.
+    # Shares are of distinct hashes (estimated within a few percent), so rows that repeat take nobody's place.
+    known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("_key"))
+    part = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / (1 << 30)
+    share = scratch.save(known.groupBy("lang").agg((F.lit(4.0 * max_docs_per_lang + 100) / F.approx_count_distinct("_key")).alias("_share")), "langid_shares")
+    some = known.join(if_small(share), "lang").where(part <= F.col("_share")).groupBy("lang", "_key").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(part, "_key"))
+    sample = scratch.save(some.withColumn("_rank", rank).where(F.col("_rank") <= max_docs_per_lang).select("text", "lang").repartition(4), "langid_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -138,7 +141,7 @@ def train(docs: DataFrame, scratch: Scratch, max_docs_per_lang: int = MAX_DOCS_P
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, np.float32).astype(np.float64)
     langs = sorted(total)
     if not langs:
-        scratch.drop("langid_sample")
+        scratch.drop("langid_sample", "langid_shares")
         return Model([], *[np.zeros((0, 0))] * 4)
     code = codewords(len(langs))
     p = np.array([total[x] for x in langs]).reshape(len(langs), 2, SIZE) + SMOOTH / 100
@@ -163,7 +166,7 @@ def train(docs: DataFrame, scratch: Scratch, max_docs_per_lang: int = MAX_DOCS_P
         n += np.frombuffer(r.n)
         right += np.frombuffer(r.good).reshape(right.shape)
         scale += np.frombuffer(r.size)
-    scratch.drop("langid_sample")
+    scratch.drop("langid_sample", "langid_shares")
     trust = (right + 1) / (n[:, None] + 2)
     return Model(langs, code, weight, np.maximum(scale / max(n.sum(), 1), 1e-9), trust / np.maximum(trust.sum(1, keepdims=True), 1e-9))
 
