@@ -143,6 +143,30 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id,
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least_id AS component_id FROM n JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) r ON n.doc_id = r.doc_id
 """
 
+_PIECE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+_SPAN_ENDS = " OR ".join(f"(z.u - a.u + 1 >= {m} AND z.upto - a.before >= {w})" for m, w in spans.RUNS)
+
+_OP8 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_PIECE}') AS p FROM documents),
+t0 AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM d),
+t AS (SELECT doc_id, i, piece, translate(regexp_extract(piece, '[^\x20\x09-\x0D]+'), '{_UPPER}', '{_LOWER}') AS word FROM t0),
+e AS (SELECT *, CASE WHEN regexp_matches(word, '[.!?]$') OR contains(piece, chr(10)) THEN 1 ELSE 0 END AS ends FROM t),
+s AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM e),
+c AS (SELECT *, CASE WHEN ends = 1 OR (count(*) OVER (PARTITION BY doc_id, sentence) > {spans.RUN_ON} AND regexp_matches(word, '[,;:|]$')) THEN 1 ELSE 0 END AS cut FROM s),
+u0 AS (SELECT *, CAST(coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS u FROM c),
+unit AS (SELECT doc_id, u, count(*) AS n, max(i) AS upto, min(i) - 1 AS before, string_agg(piece, '' ORDER BY i) AS raw, string_agg(word, ' ' ORDER BY i) AS words FROM u0 GROUP BY doc_id, u),
+pair AS (SELECT a.doc_id, a.u AS a, z.u AS z FROM unit a JOIN unit z ON a.doc_id = z.doc_id AND z.u BETWEEN a.u AND a.u + 49 WHERE {_SPAN_ENDS}),
+span AS (SELECT doc_id, a, min(z) AS z FROM pair GROUP BY doc_id, a UNION SELECT doc_id, max(a), z FROM pair GROUP BY doc_id, z),
+full_span AS (SELECT s.doc_id, s.a, s.z, string_agg(unit.words, ' ' ORDER BY unit.u) AS words FROM span s JOIN unit ON unit.doc_id = s.doc_id AND unit.u BETWEEN s.a AND s.z GROUP BY s.doc_id, s.a, s.z),
+ranked AS (SELECT doc_id, a, z, rank() OVER (PARTITION BY words ORDER BY doc_id, a) AS r FROM full_span),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS u FROM ranked WHERE r > 1),
+kept AS (SELECT unit.doc_id, count(*) AS n, count(gone.u) AS lost, coalesce(string_agg(CASE WHEN gone.u IS NULL THEN raw ELSE '' END, '' ORDER BY unit.u), '') AS text
+  FROM unit LEFT JOIN gone ON unit.doc_id = gone.doc_id AND unit.u = gone.u GROUP BY unit.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(lost, 0) = 0 THEN o.text WHEN lost = kept.n THEN '' ELSE regexp_extract(d.text, '^[\x20\x09-\x0D]*') || kept.text END AS text,
+  CAST(coalesce(kept.n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed
+FROM d JOIN documents o ON o.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 _OP9 = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j: substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * (instr('0123456789abcdef', substr(h, CAST(j AS INTEGER), 1)) - 1) + 1 AS INTEGER), 4)), '') AS bits,
@@ -155,4 +179,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op5_html_text": _OP5, "op6_license_scan": _op6(), "op7_ngram_jaccard": _OP7, "op9_warc": _OP9}
+    return {"op2_quality_rules": _OP2, "op5_html_text": _OP5, "op6_license_scan": _op6(), "op7_ngram_jaccard": _OP7, "op8_substring_dedup": _OP8, "op9_warc": _OP9}

@@ -1,19 +1,19 @@
 """Substring deduplication over sliding spans of consecutive sentences.
 
 A sentence ends after a word that ends in `.`, `!` or `?`, at a line break, and at the end of
-the text. Its clauses, which end in `,`, `;` or `:` or after a word whose hash ends in five zero bits, are
-taken as sentences of their own, since a passage is often cut out in the middle of one: these
-ends, too, depend on the words alone. Spans are all shortest runs of consecutive sentences, from every sentence forwards
-and from every sentence backwards, that have three sentences and MIN_WORDS words, two and
-PAIR_WORDS words, or else LONG_WORDS words. Spans with the same words (A-Z lower-cased, any white space between) are
+the text. A sentence of more than RUN_ON words (a table, a list, run-on prose) is divided after its words that
+end in `,`, `;`, `:` or `|`; its parts then are the sentences. Spans are the shortest runs of consecutive sentences,
+from every sentence forwards and from every sentence backwards, that meet one of RUNS: three
+sentences and 20 words, two and 30 words, or 50 words. Spans with the same words (A-Z lower-cased, any white space between) are
 joined across the corpus by hash; the first by (doc_id, place) stays, and every sentence
-covered by another one is removed. Since the run lengths depend on the words alone, a
-repeated passage gives the same spans wherever it stands, up to its first and last sentence.
+covered by another one is removed. Since the runs depend on the words alone, a
+repeated passage gives the same spans wherever it stands, up to its first and last sentence. A passage without any
+end of a sentence inside it is found only together with the sentence around it.
 
 Each task sends only its first occurrence of a span, so a very common passage costs one entry
 a task.
 
-Defined cases: null and empty texts have no sentences and stay as they are. Rows with the same
+Defined cases: doc_id must be of an integer type. Null and empty texts have no sentences and stay as they are. Rows with the same
 doc_id and the same text are the same document: a repeated row is treated like its twin, so neither removes the
 other. Rows with the same doc_id and different texts are documents of their own, in the order of a hash of their texts.
 Rows with a null doc_id come after all others. A text that nothing is removed from stays the same byte for byte;
@@ -28,15 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from .shards import Packer, Scratch, deal, free_name, if_small, n_shards, unpack
 from .textblock import LOWER, U64, TextBlock, blocks, mix, powers, runs
 
-SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 12, 18, 50
+#: (sentences, words) of which a run must have one pair at least.
+RUNS = ((3, 20), (2, 30), (1, 50))
+#: Words beyond which a sentence is divided at its clause marks.
+RUN_ON = 30
 NO_ID = np.int64(2**63 - 1)
-_STOP = np.zeros(256, bool)
-_STOP[list(b".!?,;:")] = True
+_STOP, _CLAUSE = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+_CLAUSE[list(b",;:|")] = True
 #: Hash of the span, doc_id, hash of the text, first and last sentence, whether it is known to be a repeat.
 _TYPES = ["<u8", "<i8", "<i8", "<u4", "<u4", "<u1"]
 
@@ -46,10 +50,13 @@ def sentences(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(block.start)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mark = block.buf[block.end - 1]
     lines = np.concatenate([[0], np.cumsum(block.buf == 10)])
-    last = _STOP[block.buf[block.end - 1]] | (block.word_hash() & U64(31) == 0)
+    last = _STOP[mark]
     last[:-1] |= (block.doc[1:] != block.doc[:-1]) | (lines[block.start[1:]] > lines[block.end[:-1]])
     last[-1] = True
+    size = np.diff(np.flatnonzero(last), prepend=-1)
+    last |= np.repeat(size > RUN_ON, size) & _CLAUSE[mark]
     to = np.flatnonzero(last) + 1
     at = np.concatenate([[0], to[:-1]])
     return at, to, block.doc[at]
@@ -63,7 +70,7 @@ def spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
     i = np.arange(n)
     last, first = np.full(n, n), np.full(n, -1)
-    for m, words in ((SENTENCES, MIN_WORDS), (SENTENCES - 1, PAIR_WORDS), (1, LONG_WORDS)):
+    for m, words in RUNS:
         last = np.minimum(last, np.maximum(i + m - 1, np.searchsorted(to, at + words)))
         first = np.maximum(first, np.minimum(i - m + 1, np.searchsorted(at, to - words, side="right") - 1))
     f, b = last < n, first >= 0
@@ -110,7 +117,9 @@ def later(key: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray)
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, row, first, last): the sentence ranges of each document to remove, merged; a written table."""
-    n = n_shards(docs.sparkSession)
+    n = n_shards(docs)
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(n, _TYPES, fold=_fold)
@@ -153,8 +162,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
             o = off.slice(s, min(20_000, len(ids) - s) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 20_000]), pa.array(rows[s : s + 20_000]), pa.ListArray.from_arrays(o, pa.array(first[at])), pa.ListArray.from_arrays(o, pa.array(end))], names=["doc_id", "row", "first", "last"])
 
-    found = deal(docs.select("doc_id", "text", row_key(docs).alias("row")).mapInArrow(find, Packer.schema(6)), n).mapInArrow(join, Packer.schema(4))
-    return scratch.save(deal(found, n).mapInArrow(merge, "doc_id long, row long, first array<long>, last array<long>"), "repeats")
+    found = deal(docs.select("doc_id", "text", row_key(docs).alias("row")).mapInArrow(find, Packer.schema(6)), n, join, Packer.schema(4))
+    return scratch.save(deal(found, n, merge, "doc_id long, row long, first array<long>, last array<long>"), "repeats")
 
 
 def added(docs: DataFrame) -> tuple[str, str]:

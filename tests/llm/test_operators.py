@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexispark.llm import decontam, htmltext, jaccard, knlm, langid, licenses, quality, spans, spm, warc
+from lexispark.llm import decontam, htmltext, jaccard, knlm, langid, licenses, quality, shards, spans, spm, warc
 from lexispark.llm.components import components
 from lexispark.llm.shards import Packer, Scratch, unpack
-from lexispark.llm.textblock import LOWER, TextBlock, shingle_sets
+from lexispark.llm.textblock import LOWER, TextBlock, mix, shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, score double, _id string, _first int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,6 +64,36 @@ def test_packer_round_trip():
     assert sorted(zip(k.tolist(), v.tolist(), strict=True)) == sorted(zip(keys.tolist(), values.tolist(), strict=True))
 
 
+def test_more_shards_than_partitions(spark, monkeypatch):
+    """Shards that share a partition are worked on one at a time, sorted by Spark."""
+    monkeypatch.setattr(shards, "n_partitions", lambda spark, n: 3)
+    docs = spark.range(0, 5000, 1, 5)
+    n = 17
+
+    def send(batches):
+        packer = Packer(n, ["<u8", "<u4"], limit=700)
+        for b in batches:
+            x = b.column("id").to_numpy().astype(np.uint64)
+            yield from packer.add(mix(x), x % 10)
+        yield from packer.flush()
+
+    def work(batches):
+        k, v = unpack(batches, ["<u8", "<u4"])
+        yield pa.RecordBatch.from_pydict({"n": [len(k)], "total": [int(v.sum())], "shards": [len(np.unique((k >> np.uint64(33)) % np.uint64(n)))]})
+
+    rows = shards.deal(docs.mapInArrow(send, Packer.schema(2)), n, work, "n long, total long, shards long").collect()
+    assert len(rows) == n and {r.shards for r in rows} == {1}
+    assert (sum(r.n for r in rows), sum(r.total for r in rows)) == (5000, 5000 * 9 // 2)
+
+
+def test_small_tables_are_measured(spark, monkeypatch):
+    wide = spark.createDataFrame([(i, "x" * 1000, [1, 2, 3]) for i in range(100)], "a long, b string, c array<long>")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(shards.if_small(wide))
+    monkeypatch.setattr(shards, "SMALL_BYTES", 50_000)
+    assert "broadcast" not in plan(shards.if_small(wide)) and "broadcast" in plan(shards.if_small(wide.select("a", "c")))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
@@ -116,6 +146,74 @@ def test_language_few(spark, langs):
     assert {r.lang_pred for r in rows} <= ({*langs} or {"und"})
 
 
+def test_language_rows_are_sampled_not_ids(spark):
+    vocab = {"en": "the of and to in that with for", "de": "der die und das nicht mit ein von"}
+    rng = random.Random(3)
+    say = lambda x: " ".join(rng.choice(vocab[x].split()) for _ in range(30))
+    for ids in ([None] * 60, [5] * 60):
+        docs = frame(spark, [say("en" if k % 2 else "de") for k in range(60)], list(ids), ["en" if k % 2 else "de" for k in range(60)])
+        model = langid.train(docs, Scratch(spark), max_docs_per_lang=3)
+        assert model.langs == ["de", "en"]
+        assert {r.lang_pred for r in langid.predict(frame(spark, [say("en")] * 3), model).collect()} == {"en"}
+    same = frame(spark, [say("en")] * 50 + ["el los las una que"], [5] * 50 + [None], ["en"] * 50 + ["es"])
+    assert langid.train(same, Scratch(spark), max_docs_per_lang=3).langs == ["en", "es"]
+
+
+def plain_language(train, texts):
+    """The same classifiers with dictionaries: byte pairs and hashed triples, log odds a bit, loss-weighted decoding."""
+
+    def grams(t):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in (t or "").encode()]
+        out = []
+        for i in range(len(b) - 2):
+            if b[i + 1] != 32 or (b[i] != 32 and b[i + 2] != 32):
+                three = (b[i] << 16) | (b[i + 1] << 8) | b[i + 2]
+                out += [(b[i] << 8) | b[i + 1], 65536 + ((three * 0x9E3779B1 & 0xFFFFFFFF) >> 16)]
+        return out
+
+    langs = sorted({x for _, x in train})
+    counts = {x: Counter() for x in langs}
+    for t, x in train:
+        counts[x].update(grams(t))
+    code = [[1 if (c >> i) & 1 else -1 for c in range(1, 2 ** (len(langs) - 1))] for i in range(len(langs))]
+    sums = {(x, s): sum(v for g, v in counts[x].items() if (g >= 65536) == s) + 65536 * 0.005 for x in langs for s in (False, True)}
+    share = lambda x, g: (counts[x][g] + 0.005) / sums[x, g >= 65536]
+
+    def odds(g, b):
+        one, other = ([share(x, g) for x, c in zip(langs, code, strict=True) if c[b] == s] for s in (1, -1))
+        return math.log(sum(one) / len(one)) - math.log(sum(other) / len(other))
+
+    def margin(t):
+        g = grams(t)
+        return [sum(odds(x, b) for x in g) / max(len(g) // 2, 1) for b in range(len(code[0]))]
+
+    z = [(margin(t), langs.index(x)) for t, x in train if any(c.isalpha() for c in t)]
+    scale = [sum(abs(m[b]) for m, _ in z) / len(z) for b in range(len(code[0]))]
+    trust = [[(sum(m[b] * c[b] > 0 for m, k in z if k == i) + 1) / (sum(k == i for _, k in z) + 2) for b in range(len(c))] for i, c in enumerate(code)]
+    trust = [[x / sum(row) for x in row] for row in trust]
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        m = [max(-4, min(4, x / s)) for x, s in zip(margin(t), scale, strict=True)]
+        cost = [sum(w * math.exp(-x * c) for w, x, c in zip(trust[i], m, code[i], strict=True)) for i in range(len(langs))]
+        best = min(range(len(langs)), key=cost.__getitem__)
+        out.append((langs[best], 1 / sum(math.exp(cost[best] - c) for c in cost)))
+    return out
+
+
+def test_language_against_plain_decoding(spark):
+    rng = random.Random(12)
+    vocab = {"en": "the of and to in that with for", "de": "der die und das nicht mit ein über", "fr": "le la les des et où dans pour"}
+    train = [(" ".join(rng.choice(words.split()) for _ in range(12)), x) for x, words in vocab.items() for _ in range(8)]
+    texts = [*ODD, "the der le", *(" ".join(rng.choice(" ".join(vocab.values()).split()) for _ in range(6)) for _ in range(20))]
+    model = langid.train(frame(spark, [t for t, _ in train], langs=[x for _, x in train]), Scratch(spark))
+    rows = {r.doc_id: r for r in langid.predict(frame(spark, texts), model).collect()}
+    for i, (lang, score) in enumerate(plain_language(train, texts)):
+        assert rows[i].lang_pred == lang and rows[i].score == pytest.approx(score, abs=1e-3)
+
+
 # 2 Quality
 
 
@@ -412,19 +510,35 @@ def test_shingles():
 
 
 def plain_units(t):
-    """(start, end) of the units of a text in characters, and their words."""
-    block = TextBlock(pa.array([t or ""]), LOWER)
-    at, to, _ = spans.sentences(block)
-    words = WORD.findall(lower(t))
-    return [tuple(words[a:b]) for a, b in zip(at, to, strict=True)]
+    """The words of each sentence, read off the text character by character."""
+    found, line = [], []
+    for piece in re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or ""):
+        word = WORD.match(piece)[0]
+        line.append(lower(word))
+        if word[-1] in ".!?" or "\n" in piece:
+            found.append(line)
+            line = []
+    if line:
+        found.append(line)
+    out = []
+    for sentence in found:
+        part = []
+        for w in sentence:
+            part.append(w)
+            if len(sentence) > 30 and w[-1] in ",;:|":
+                out.append(tuple(part))
+                part = []
+        if part:
+            out.append(tuple(part))
+    return out
 
 
 def plain_spans(t):
     units = plain_units(t)
     out = set()
-    enough = lambda x: (len(x) >= 3 and sum(map(len, x)) >= 12) or (len(x) >= 2 and sum(map(len, x)) >= 18) or sum(map(len, x)) >= 50
+    enough = lambda x: any(len(x) >= m and sum(map(len, x)) >= w for m, w in ((3, 20), (2, 30), (1, 50)))
     for i in range(len(units)):
-        out |= {(i, j) for j in range(i, len(units)) if enough(units[i : j + 1])and not any(enough(units[i : k + 1]) for k in range(i, j))}
+        out |= {(i, j) for j in range(i, len(units)) if enough(units[i : j + 1]) and not any(enough(units[i : k + 1]) for k in range(i, j))}
         out |= {(j, i) for j in range(i + 1) if enough(units[j : i + 1]) and not any(enough(units[k : i + 1]) for k in range(j + 1, i + 1))}
     return units, out
 
@@ -434,6 +548,8 @@ def test_spans(spark):
     passage = sentences_of(rng, 7)
     texts = [*ODD, *(sentences_of(rng, 6) for _ in range(6))]
     texts += [f"{sentences_of(rng, 3)} {passage}\n{sentences_of(rng, 2)}" for _ in range(5)] + [passage, texts[-1], f"{passage}\n\n{passage}"]
+    listed = " | ".join(f"item{k} of a table, number {k}" for k in range(40))
+    texts += [f"{sentences_of(rng, 1)} {listed} {sentences_of(rng, 2)}" for _ in range(2)] + [f"  {passage} {sentences_of(rng, 1)} ", "no end of a sentence " * 30, "x " + "no end of a sentence " * 30]
     ids = rng.sample(range(500), len(texts))
     first, found = {}, []
     for i, t in sorted(zip(ids, texts, strict=True)):
@@ -478,7 +594,8 @@ def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK", 1000)
     bodies = ["<p>a</p>", None, "", "é" * 5000, "<p>a</p>", "\r\n\r\nWARC/1.1\r\n\r\n", "x" * 2500, "<p>a</p>", ""]
     df = spark.createDataFrame([(10 - i, f"http://h/{i}", b, "k") for i, b in enumerate(bodies)], "page_id long, url string, html string, record_type string").repartition(3)
-    archives = warc.write(df, Scratch(spark))
+    scratch = Scratch(spark)
+    archives = warc.write(df, scratch)
     rows = {r.page_id: r for r in warc.records(archives).collect()}
     first = {}
     for i, b in sorted(((10 - i, b or "") for i, b in enumerate(bodies))):
@@ -492,11 +609,43 @@ def test_warc(spark, monkeypatch):
     for c in chunks:
         assert len(c.data) <= 1000 and c.offset == len(whole[c.record_id])
         whole[c.record_id] += c.data
-        assert c.digest == base64.b32encode(hashlib.sha1(whole[c.record_id]).digest()).decode()
+        assert c.digest == base64.b32encode(hashlib.sha1(whole[c.record_id]).digest()).decode() and c.is_last == (len(whole[c.record_id]) == c.said_bytes)
     assert sorted(whole.values()) == sorted({(b or "").encode() for b in bodies})
     assert warc.records(warc.write(df.limit(0), Scratch(spark))).count() == 0
 
 
+def test_warc_rows(spark):
+    """Null ids, repeated rows, an empty url, no rows, a damaged archive."""
+    rows = [(None, "u", "x"), (None, "u", "x"), (3, None, "y"), (3, None, "y"), (4, "a  b", "y"), (5, "u", None), (6, "u", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    scratch = Scratch(spark)
+    archives = warc.write(df, scratch)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.records(archives).collect()), key=str)
+    want = [(None, 1, "revisit", 6), (None, 1, "revisit", 6), (3, 1, "response", None), (3, 1, "response", None), (4, 1, "revisit", 3), (5, 0, "response", None), (6, 1, "response", None)]
+    assert got == sorted(want, key=str)
+    path = archives.first().path
+    data = open(path, "rb").read()
+    with open(path, "wb") as f:
+        f.write(data[: len(data) // 2])
+    with pytest.raises(Exception, match="archive|Error|damaged"):
+        warc.records(archives).collect()
+
+
+def test_warc_large_payload(spark, tmp_path):
+    """A payload of 64 MB is written and read in chunks; the reader never holds more than a few of them."""
+    import tracemalloc
+
+    df = spark.range(1).selectExpr("id AS page_id", "'u' AS url", "repeat('0123456789abcdef', 4194304) AS html")
+    archives = warc.write(df, Scratch(spark))
+    r = warc.records(archives).first()
+    assert (r.payload_bytes, r.payload_digest) == (1 << 26, base64.b32encode(hashlib.sha1(b"0123456789abcdef" * 4194304).digest()).decode())
+    tracemalloc.start()
+    n = sum(1 for _ in warc.chunks(archives.first().path))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (1 << 26) // warc.CHUNK and peak < 8 * warc.CHUNK
+
+
 # 10 Decontamination
 
 
