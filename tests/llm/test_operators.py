@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import html
 import math
 import random
 import re
 import textwrap
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -392,6 +394,47 @@ def test_pages_odd(spark):
     assert all(w is None or got[i] == (w, len(w)) for i, w in enumerate(want))
 
 
+def bag_f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def article_of(page):
+    """The text of the page's one article element, by the tag that the synthetic pages have."""
+    inside = re.search("<article>(.*)</article>", page, re.S)[1]
+    return re.sub(r"[\x20\x09-\x0D]+", " ", html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inside)))).strip(" ")
+
+
+def test_pages_without_telling_names(spark, monkeypatch):
+    """article, nav, footer and the like made div, and class, id and role left out: the path scores find the text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [re.sub(' (?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:article|main|section|nav|footer|header|aside|form)\b[^>]*>", r"<\1div>", x)) for x in pages]
+    want = [article_of(x) for x in pages]
+    assert [htmltext.main_text(x) for x in pages] == want
+    assert sum(bag_f1(htmltext.main_text(x), w) for x, w in zip(plain, want, strict=True)) / len(pages) >= 0.95
+    # The scores decide: with one score for all paths the menus and footers are in the text.
+    real = htmltext.scores
+    monkeypatch.setattr(htmltext, "scores", lambda paths: dict.fromkeys(real(paths), 1.0))
+    assert all(htmltext.main_text(x) != w for x, w in zip(pages, want, strict=True))
+
+
+def test_deep_pages():
+    began = time.perf_counter()
+    assert htmltext.main_text("<div>" * 100_000 + "word") == "word"
+    assert htmltext.main_text("<div>word " * 20_000) == " ".join(["word"] * 20_000)
+    htmltext.main_text("<div>" * 20_000 + "</section>" * 20_000)
+    htmltext.main_text("<b>x" * 20_000 + "<p>y" * 20_000 + "</p><p>" * 20_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_pages_rows(spark):
+    """No rows, repeated rows, null ids, columns with the names of the result."""
+    df = spark.createDataFrame([(None, None, "<p>one, two.</p>", "z", 1)] * 3 + [(7, "u", None, "z", 1)], "page_id long, url string, html string, text string, n_chars int")
+    rows = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in htmltext.extract(df).collect()), key=str)
+    assert rows == sorted([(None, None, "one, two.", 9)] * 3 + [(7, "u", "", 0)], key=str)
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 # 6 Licenses
 
 
