@@ -8,7 +8,8 @@ one score, weighed down by the share of linked text and by what the path's eleme
 the element holds more than half of the page's text), and compared with a threshold relative
 to the page's spread. Paths above it are content nodes, and all of them are kept. So are, short headings
 included, the nodes that nothing weighs down beside them in the content area: the deepest element
-that holds nine tenths of the content nodes' text. What is never shown (scripts, styles, form controls) is not text.
+that holds nine tenths of the content nodes' text, and the elements around it short of the body
+as long as nothing is in them that is weighed down or a list of links. What is never shown (scripts, styles, form controls) is not text.
 
 Paths are a tree of parent pointers, and all that is added up or handed down takes one pass over it, so a page
 takes time in proportion to its length, however deep it is nested.
@@ -76,10 +77,10 @@ class Path:
 class Element:
     """An element of the page, and how much content it holds."""
 
-    __slots__ = ("parent", "path", "below", "inside")
+    __slots__ = ("parent", "path", "below", "odd", "inside")
 
     def __init__(self, parent: Element | None, path: Path):
-        self.parent, self.path, self.below, self.inside = parent, path, 0, False
+        self.parent, self.path, self.below, self.odd, self.inside = parent, path, 0, 0, False
 
 
 def parse(page: str) -> tuple[list[Path], list[Element], list[tuple[Element, str, bool]]]:
@@ -227,11 +228,16 @@ def content_area(elements: list[Element], nodes: list[tuple[Element, str, bool]]
     """The deepest element that holds nine tenths of the content's text; a paragraph or heading counts as part of what is around it."""
     for e, text, _ in nodes:
         e.below += len(text.strip()) if e.path in content else 0
+        e.odd += not e.path.hidden and (e.path.weight < 1 or (2 * e.path.links > e.path.chars and e.path not in content))
     hand_up(elements)
+    for e in reversed(elements[1:]):
+        e.parent.odd += e.odd
     total, area = elements[0].below, elements[0]
     for e in elements:
         if e.parent is area and 10 * e.below >= 9 * total and e.path.tag not in _LEAVES:
             area = e
+    while area.parent is not None and area.parent.odd == area.odd and area.parent.path.tag not in ("", "html", "body"):
+        area = area.parent
     return area
 
 
