@@ -1,178 +1,235 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin hashes.
 
-Seeds are the hashes of every MIN_MATCH consecutive words of the benchmark items. A document
-that has a seed of an item is tiled against that item: longest common runs of words are
-marked first, each word at most once on either side, until no unmarked run of MIN_MATCH words
-is left. The pair is reported if the tiles cover COVERAGE of the item's words, in whatever
-order its passages stand in the document. Words are runs of letters and digits (all characters
-beyond ASCII included), A-Z lower-cased.
-
-The benchmark is sent to the workers in blocks of at most BLOCK_MB of text, with one pass
-over the documents for each block; its size is measured first.
+Seeds are the hashes of every MIN_MATCH consecutive words of the benchmark items, in a table that is joined with the
+seeds of the documents. A document's windows first pass a bit filter of bounded size (FILTER_BITS), so few of them
+are sent. A pair that is to be reported has COVERAGE of the item's words in tiles, and so a certain number of the
+item's seeds: the pairs to look at are those that share one of the others, rarest in the documents
+first (as many as that number allows to be left out), so a phrase that very many documents and items
+share brings no pairs by itself.
+
+Each such pair is tiled: of the common runs of words that are not marked yet the longest is marked, of equal ones
+the first in the item, then in the document, until none of MIN_MATCH words is left. Common runs
+come from equal running hashes of the windows, checked word by word. The pair is reported if the tiles cover COVERAGE
+of the item's words, in whatever order its passages stand in the document. Words are runs of letters and digits (all characters
+beyond ASCII included), A-Z lower-cased, and compared by 64-bit hashes.
+
+Neither the benchmark nor what is found comes to the driver, but for the filter. Documents are read twice, however large the
+benchmark is; the second time only those with a candidate go on.
 
 Defined cases: null and empty texts and items match nothing. An item of fewer words than
-MIN_MATCH matches where all of it stands as one run. Repeated rows and repeated items give
-their own pairs. Columns besides doc_id, item_id and text are not read; keep_clean passes all on.
+MIN_MATCH matches where all of it stands as one run. Ids may be of any type, and null. Repeated rows and repeated items give
+their own pairs. An empty benchmark or no documents give no pairs. Of a very long text several windows may
+be the same; each occurrence can hold a tile. Columns besides doc_id, item_id and text are not read; keep_clean passes all on.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textblock import LETTERS, U64, TextBlock, blocks, window_hash
+from .shards import Scratch, free_name, if_small, table
+from .textblock import LETTERS, U64, blocks, mix, powers, window_hash
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-BLOCK_MB = 32
-
-_MOD, _BASE = (1 << 61) - 1, 1_000_003
-
-
-def tile(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in doc, length) of greedy string tiling; -1 in doc matches nothing."""
+#: The filter has 2 ** FILTER_BITS bits at most (16 MB).
+FILTER_BITS = 27
+#: Window pairs of a document and an item that are held at once.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def karp_rabin(words: np.ndarray, k: int) -> np.ndarray:
+    """Running hashes of every k consecutive words, from prefix sums of a polynomial modulo 2 ** 64."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    up, down = powers(len(words) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(words) + 1, U64)
+        np.cumsum(mix(words) * up[: len(words)], out=total[1:])
+        return (total[k:] - total[:-k]) * down[:n]
+
+
+def common_runs(item: np.ndarray, doc: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(place in item, place in doc, length) of the longest common runs: none can be made longer at either end."""
+    hi, hd = karp_rabin(item, least), karp_rabin(doc, least)
+    if not len(hi) or not len(hd):
+        return
+    order = np.argsort(hi, kind="stable")
+    sorted_hi = hi[order]
+    lo, up = np.searchsorted(sorted_hi, hd), np.searchsorted(sorted_hi, hd, side="right")
+    places = np.flatnonzero(up > lo)
+    if not len(places):
+        return
+    many = (up - lo)[places]
+    parts: list[np.ndarray] = []
+    cut = np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), PAIRS_AT_ONCE), side="right"))
+    for a, b in zip(cut, [*cut[1:], len(places)], strict=True):
+        n = many[a:b]
+        j = np.repeat(places[a:b], n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i = order[np.repeat(lo[places[a:b]], n) + within]
+        same = np.ones(len(i), bool)
+        for k in range(least):
+            same &= item[i + k] == doc[j + k]
+        i, j = i[same], j[same]
+        if not len(i):
+            continue
+        by = np.lexsort((i, j - i))
+        i, d = i[by], (j - i)[by]
+        new = np.ones(len(i), bool)
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)
+        at = np.flatnonzero(new)
+        parts.append(np.stack([d[at], i[at], i[np.concatenate([at[1:], [len(i)]]) - 1]]))
+    if not parts:
+        return
+    d, first, last = np.concatenate(parts, axis=1)
+    by = np.lexsort((first, d))
+    d, first, last = d[by], first[by], last[by]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (first[1:] != last[:-1] + 1)
+    at = np.flatnonzero(new)
+    end = last[np.concatenate([at[1:], [len(d)]]) - 1]
+    yield from zip(first[at].tolist(), (first[at] + d[at]).tolist(), (end - first[at] + least).tolist(), strict=True)
+
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Tiles (place in item, place in doc, length) of greedy string tiling."""
+    item, doc = np.asarray(item, U64), np.asarray(doc, U64)
+    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
     tiles: list[tuple[int, int, int]] = []
-    free_item, free_doc = [True] * len(item), [x >= 0 for x in doc]
-
-    def hashes(seq: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]:
-        top, h, run = pow(_BASE, s, _MOD), 0, 0
-        for i, x in enumerate(seq):
-            if not free[i]:
-                h = run = 0
-                continue
-            h, run = (h * _BASE + x + 1) % _MOD, run + 1
-            if run > s:
-                h = (h - (seq[i - s] + 1) * top) % _MOD
-            if run >= s:
-                yield i - s + 1, h
-
-    s = max(least, min(20, len(item)))
-    while True:
-        at: dict[int, list[int]] = defaultdict(list)
-        for j, h in hashes(doc, free_doc, s):
-            at[h].append(j)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
-        for i, h in hashes(item, free_item, s):
-            for j in at.get(h, ()):
-                if i and j and free_item[i - 1] and free_doc[j - 1] and item[i - 1] == doc[j - 1]:
-                    continue  # part of the match that starts one word earlier
-                k = 0
-                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and free_item[i + k] and free_doc[j + k]:
-                    k += 1
-                if k >= s:
-                    found.append((-k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * s:
-            s = longest
+    queue = [(-k, i, j) for i, j, k in common_runs(item, doc, least)]
+    heapq.heapify(queue)
+    left = len(item)
+    while queue and left >= least:
+        k, i, j = heapq.heappop(queue)
+        k = -k
+        free = free_item[i : i + k] & free_doc[j : j + k]
+        if free.all():
+            free_item[i : i + k] = free_doc[j : j + k] = False
+            left -= k
+            tiles.append((i, j, k))
             continue
-        for k, i, j in sorted(found):
-            if all(free_item[i : i - k]) and all(free_doc[j : j - k]):
-                free_item[i : i - k] = free_doc[j : j - k] = [False] * -k
-                tiles.append((i, j, -k))
-        if not found:  # else what is left of partly covered matches is looked for again
-            if s == least:
-                return tiles
-            s = max(least, s // 2)
-
-
-class Items:
-    """The seeds of some benchmark items, sorted by hash."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], least: int):
-        block = TextBlock(pa.array(texts, pa.large_string()), LETTERS)
-        words = block.word_hash()
-        self.ids, self.least = ids, least
-        self.words = [words[block.words_at[i] : block.words_at[i + 1]] for i in range(block.n)]
-        h = window_hash(words, least)
-        inside = np.flatnonzero(block.doc[: len(h)] == block.doc[least - 1 :]) if len(h) else np.zeros(0, np.int64)
-        order = np.argsort(h[inside], kind="stable")
-        self.key, self.item = h[inside][order], block.doc[inside][order]
-        bits = 20
-        while (1 << bits) < 64 * len(self.key) and bits < 26:
-            bits += 1
-        self.shift = U64(64 - bits)
-        self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[self.key >> self.shift] = True
-        self.short = {k: [i for i in range(block.n) if block.n_words[i] == k] for k in range(1, least)}
-        self.short = {k: v for k, v in self.short.items() if v}
-
-    def pairs(self, block: TextBlock) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, item, share of the item's words tiled, tiles, longest tile) of pairs with a common seed."""
-        words = block.word_hash()
-        h = window_hash(words, self.least)
-        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-        if len(h) and len(self.key):
-            at = np.flatnonzero(self.maybe[h >> self.shift])
-            at = at[block.doc[at] == block.doc[at + self.least - 1]]
-            lo, hi = np.searchsorted(self.key, h[at]), np.searchsorted(self.key, h[at], side="right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for x in set(self.item[a:b].tolist()):
-                    hits[int(block.doc[p]), x].append(p)
-        for (d, x), places in hits.items():
-            seq, end = [], None
-            for p in places:  # only words within seeds can be tiled
-                if end is not None and p > end:
-                    seq.append(-1)
-                seq += words[max(p, end or 0) : p + self.least].tolist()
-                end = p + self.least
-            tiles = tile(self.words[x].tolist(), seq, self.least)
-            yield d, x, sum(t[2] for t in tiles) / len(self.words[x]), len(tiles), max((t[2] for t in tiles), default=0)
-        for k, items in self.short.items():
-            for x in items:
-                same = np.ones(max(len(words) - k + 1, 0), bool)
-                for j in range(k):
-                    same &= words[j : j + len(same)] == self.words[x][j]
-                at = np.flatnonzero(same)
-                at = at[block.doc[at] == block.doc[at + k - 1]]
-                for d in np.unique(block.doc[at]).tolist():
-                    yield d, x, 1.0, 1, k
-
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(queue, (a - b, i + a, j + a))
+    return tiles
+
+
+def row_key(df: DataFrame, id_column: str) -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64(df[id_column], df["text"])
+
+
+def item_table(benchmark: DataFrame, scratch: Scratch, least: int, coverage: float) -> DataFrame:
+    """(item, words, seeds, spare): each item's word hashes, its seeds in order, and how many of them a pair can do without; a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in blocks(batches, table=LETTERS):
+            words = block.word_hash()
+            some = np.flatnonzero(block.n_words)
+            own = [words[block.words_at[i] : block.words_at[i + 1]] for i in some]
+            seeds = [window_hash(w, min(least, len(w))).view(np.int64).tolist() for w in own]
+            spare = [max(1, math.ceil(coverage * len(w) / least - 1e-9)) - 1 if len(w) >= least else 0 for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(some)), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.array(spare, pa.int32())], names=["item", "words", "seeds", "spare"])
+
+    keyed = benchmark.select(row_key(benchmark, "item_id").alias("item"), "text").where("text is not null").dropDuplicates(["item"])
+    return scratch.save(keyed.mapInArrow(run, "item long, words binary, seeds array<long>, spare int"), "items")
+
+
+def seed_filter(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bits, eight a byte, of which the two that a seed names are set; and the logarithm of their number."""
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(64 * max(n, 1)))))
+    slots = seeds.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND((1 << bits) - 1))).alias("s")).select((F.col("s") + 1).alias("s"))
+    found = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in found.toLocalIterator():
+        part = np.frombuffer(r.m, np.uint8)
+        at = (r.b - 1) * 4096
+        out[at : at + len(part)] = part[: len(out) - at]
+    return out, bits
+
+
+def passes(maybe: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for s in (h >> U64(64 - bits), h & U64((1 << bits) - 1)):
+        out &= (maybe[(s >> U64(3)).astype(np.int64)] >> (s & U64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
-def item_blocks(benchmark: DataFrame, least: int = MIN_MATCH, block_mb: int = BLOCK_MB) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size."""
-    items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + int(total // (block_mb << 20))
-    for b in range(n):
-        mine = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
-        rows = mine.collect()
-        if rows:
-            yield Items([r.item_id for r in rows], [r.text for r in rows], least)
 
+def candidates(docs: DataFrame, items: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """(doc, item) row keys of the documents and items that share a seed that counts; a written table."""
+    seeds = scratch.save(items.select("item", "spare", F.size("seeds").alias("n"), F.explode("seeds").alias("h")), "seeds")
+    sizes = sorted({least} | {r.k for r in items.select(F.least(F.lit(least), (F.octet_length("words") / 8).cast("int")).alias("k")).distinct().collect()})
+    maybe, bits = seed_filter(seeds, seeds.count())
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in blocks(batches, table=LETTERS):
+            words, key = block.word_hash(), batch.column("doc").to_numpy()
+            for k in sizes:
+                h = window_hash(words, k)
+                at = np.flatnonzero(passes(maybe, bits, h)) if len(h) else np.zeros(0, np.int64)
+                at = at[block.doc[at] == block.doc[at + k - 1]]
+                if len(at):
+                    both = np.unique(np.stack([h[at], block.doc[at].astype(U64)]), axis=1)
+                    yield from table({"h": both[0].view(np.int64), "doc": key[both[1].astype(np.int64)]})
+
+    keyed = docs.select(row_key(docs, "doc_id").alias("doc"), "text").where("text is not null")
+    hits = scratch.save(keyed.mapInArrow(find, "h long, doc long"), "hits")
+    df = scratch.save(hits.groupBy("h").agg(F.count("*").alias("df")), "seed_counts")
+    # Of an item's seeds, the most frequent that a pair can do without bring no candidates.
+    order = F.row_number().over(Window.partitionBy("item").orderBy(F.col("df"), F.col("h")))
+    rare = seeds.join(if_small(df), "h", "left").fillna(0, ["df"]).withColumn("r", order).where("r <= n - spare and df > 0").select("item", "h").distinct()
+    rare = scratch.save(rare, "rare")
+    return scratch.save(hits.join(if_small(rare), "h").select("doc", "item").distinct(), "pairs")
+
+
+def tiled(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: float, least: int) -> DataFrame:
+    """(doc_id, doc, item, coverage, n_tiles, longest) of every row of docs and every distinct item it holds enough of."""
+    items = item_table(benchmark, scratch, least, coverage)
+    pairs = candidates(docs, items, scratch, least)
+    right = items.select("item", "words")
+    # A document's candidates are bounded by its own seeds.
+    lists = scratch.save(pairs.join(if_small(right), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "words")).alias("of")), "lists")
+    size = F.aggregate("of", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["words"]) + 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in blocks(batches, table=LETTERS):
+            words, out = block.word_hash(), []
+            for d, of in enumerate(batch.column("of").to_pylist()):
+                mine = words[block.words_at[d] : block.words_at[d + 1]]
+                for x in of:
+                    item = np.frombuffer(x["words"], "<u8")
+                    k = [t[2] for t in tile(item, mine, min(least, len(item)))]
+                    if sum(k) >= coverage * len(item) - 1e-9:
+                        out.append((d, x["item"], sum(k) / len(item), len(k), max(k)))
+            if out:
+                d, x, c, n, longest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), batch.column("doc").take(pa.array(d)), pa.array(x), pa.array(c), pa.array(n), pa.array(longest)], names=["doc_id", "doc", "item", "coverage", "n_tiles", "longest"])
+
+    keyed = docs.select("doc_id", "text", row_key(docs, "doc_id").alias("doc"))
+    joined = keyed.join(if_small(lists, size), "doc").select("doc_id", "text", "doc", "of")
+    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc long, item long, coverage double, n_tiles long, longest long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) of every document and item it holds enough of."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, coverage double, n_tiles long, longest long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for n, items in enumerate(item_blocks(benchmark, least)):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch, block in blocks(batches, table=LETTERS):
-                found = [x for x in items.pairs(block) if x[2] >= coverage]
-                if found:
-                    d, x, c, k, longest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array([items.ids[i] for i in x], pa.int64()), pa.array(c), pa.array(k), pa.array(longest)], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if n == 0 else out.unionAll(part)
-    return out
+    scratch = scratch or Scratch(docs.sparkSession)
+    found = tiled(docs, benchmark, scratch, coverage, least)
+    ids = scratch.save(benchmark.where("text is not null").select("item_id", row_key(benchmark, "item_id").alias("item")), "item_ids")
+    return found.join(if_small(ids), "item").select("doc_id", "item_id", "coverage", "n_tiles", "longest")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    for items in item_blocks(benchmark, least):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch, block in blocks(batches, table=LETTERS):
-                clean = np.ones(block.n, bool)
-                clean[[x[0] for x in items.pairs(block) if x[2] >= coverage]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    scratch = scratch or Scratch(docs.sparkSession)
+    key = free_name(docs, "_key")
+    gone = scratch.save(tiled(docs, benchmark, scratch, coverage, least).select(F.col("doc").alias(key)).distinct(), "gone")
+    return docs.join(if_small(gone), row_key(docs, "doc_id") == F.col(key), "left_anti")

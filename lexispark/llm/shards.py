@@ -19,7 +19,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -234,15 +234,15 @@ def free_name(df: DataFrame, name: str) -> str:
 SMALL_BYTES, ROW_BYTES = 48 << 20, 64
 
 
-def if_small(df: DataFrame) -> DataFrame:
+def if_small(df: DataFrame, more: Column | None = None) -> DataFrame:
     """Marks a table as one to send to every executor if it is small enough; else Spark shuffles both sides.
 
-    Rows and the bytes of strings, binaries and arrays (8 an element) are counted first, so df must be cheap to read,
-    such as a written table.
+    Rows and the bytes of strings, binaries and arrays (8 an element; more, if given, is what else a row has) are counted
+    first, so df must be cheap to read, such as a written table.
     """
     wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else 8 * F.coalesce(F.size(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
     row = F.lit(ROW_BYTES)
-    for w in wide:
+    for w in [*wide, *([] if more is None else [more])]:
         row = row + w
     n = df.agg(F.sum(row.cast("long"))).first()[0] or 0
     return F.broadcast(df) if n <= SMALL_BYTES else df

@@ -711,18 +711,60 @@ def plain_tiles(item, doc, least):
         total += k
 
 
-def test_tiling():
+def test_tiling(monkeypatch):
     rng = random.Random(10)
-    for _ in range(150):
-        n = rng.choice([2, 3, 8])
+    for turn in range(400):
+        monkeypatch.setattr(decontam, "PAIRS_AT_ONCE", 7 if turn % 2 else 2_000_000)
+        n = rng.choice([1, 2, 3, 8])
         item, doc = [rng.randrange(n) for _ in range(rng.randint(1, 25))], [rng.randrange(n) for _ in range(rng.randint(0, 40))]
         tiles = decontam.tile(item, doc, 3)
         assert all(item[i : i + k] == doc[j : j + k] and k >= 3 for i, j, k in tiles)
         for side in (0, 1):
             used = [t[side] + d for t in tiles for d in range(t[2])]
             assert len(used) == len(set(used))
-        want = plain_tiles(item, doc, 3)
-        assert abs(sum(t[2] for t in tiles) - want) <= 0.35 * max(want, 1) + 3 and (want == 0) == (not tiles)
+        assert sum(t[2] for t in tiles) == plain_tiles(item, doc, 3)
+
+
+def plain_contaminated(docs, items, least=5, coverage=0.5):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    out = []
+    for d, t in docs:
+        for x, u in items:
+            w = split(u)
+            if w:
+                n = plain_tiles(w, split(t), min(least, len(w)))
+                if n and n >= coverage * len(w):
+                    out.append((d, x, n / len(w)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("kind", "bits"), [("long", 27), ("string", 6)])
+def test_decontamination_against_plain_tiling(spark, monkeypatch, kind, bits):
+    """Common phrases, short and repeated items, null and repeated ids, ids that are strings; with a filter that lets all pass."""
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    phrase = say(6)
+    items = [f"{say(9)} {phrase} {say(8)}" for _ in range(10)] + [phrase, "w1 w2", None, "", "x y", "a " * 9, say(300)]
+    items += [items[0]]
+    shuffled = lambda t: " ".join(w for part in rng.sample([t.split()[:8], t.split()[8:15], t.split()[15:]], 3) for w in [*part, "zz"])
+    texts = [None, "", "x y", phrase, *(f"{say(20)} {phrase} {say(20)}" for _ in range(20)), *(f"{say(5)} {shuffled(items[k])} {say(5)}" for k in range(10)), items[2] + "\n" + items[2], "A a-a " * 40, items[-2], f"{items[0]} {items[1][:20]}"]
+    ids = [*range(len(texts))]
+    ids[4] = ids[5] = None
+    ids[6] = ids[7] = 900
+    name = (lambda x: x if x is None else f"n{x}") if kind == "string" else (lambda x: x)
+    docs = spark.createDataFrame([(name(i), t, "x", 1) for i, t in zip(ids, texts, strict=True)] + [(name(20), texts[20], "x", 1)], f"doc_id {kind}, text string, _key string, item int").repartition(3)
+    bench = spark.createDataFrame([(name(k), t) for k, t in enumerate(items)] + [(name(3), items[3])], f"item_id {kind}, text string")
+    got = sorted(((r.doc_id, r.item_id, r.coverage) for r in decontam.contaminated(docs, bench).collect()), key=str)
+    rows = [(name(i), t) for i, t in zip(ids, texts, strict=True)] + [(name(20), texts[20])]
+    want = plain_contaminated(rows, [*((name(k), t) for k, t in enumerate(items)), (name(3), items[3])])
+    assert got == want and len(want) > 30
+    kept = decontam.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    clean = [t for i, t in rows if not plain_contaminated([(i, t)], [*enumerate(items)])]
+    assert sorted(map(str, clean)) == sorted(str(r.text) for r in kept.collect())
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
 def test_decontamination(spark):
@@ -736,10 +778,6 @@ def test_decontamination(spark):
     n = len(ODD)
     assert sorted(rows) == [(n, 0), (n + 1, 1), (n + 3, 3), (n + 3, 4), (n + 4, 10)]
     assert rows[n + 1, 1].n_tiles == 2 and rows[n + 1, 1].coverage == 1
-    kept = decontam.keep_clean(docs, bench)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if i not in {d for d, _ in rows}}
-    assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
 # Pipeline
