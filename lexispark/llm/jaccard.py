@@ -9,23 +9,27 @@ taken where texts meet:
    with several matches).
 2. For the sets left, how many sets hold a shingle is counted; those whose shared shingles are
    too few for the threshold go. The prefix in the order of frequency is the set's rare end.
-3. The sets that meet at a prefix shingle have their smallest member as pivot. Regions are
-   the sets around a pivot; a set stands in the region of each pivot it meets, so every
-   linked pair is together in one.
+3. The sets that meet at a prefix shingle have their smallest member as pivot. A set stands in the region of each
+   pivot it meets, so every linked pair is together in one.
    Heavy shingles, found beforehand, are counted and led apart in 2 and 3: every task knows their
    list, whose length is bounded by their share, so none of them is gathered in one task.
-4. A region is joined exactly. If it is large, distances to the pivot are taken first, in
-   parallel: sets within the threshold are linked to the pivot, and by the triangle
-   inequality only sets in the window around those beyond it are replicated into smaller
-   regions, which are joined in blocks of bounded size.
-5. Links become components by rounds of joins.
+4. In every region, whatever its size, the distances to its pivot are taken, the region's members spread over tasks in parts
+   of PART. Sets within the threshold are linked to the pivot, and need no comparing with each other.
+   By the triangle inequality a set beyond it can only be linked with sets that are at most the threshold nearer to the pivot:
+   those are replicated into the window that is joined.
+5. A window of more than LEAF sets is divided again: some of its members become pivots, each set goes to the Voronoi region
+   of its nearest one, and to every other whose pivot is at most twice the threshold farther away than
+   that (so of two linked sets each stands in the other's region); 4 follows in each region, and so on. Where regions hardly get
+   smaller or their windows are more than twice the whole, the sets are too far from each other for pivots to tell
+   anything, and blocks of bounded size are joined instead. Windows of at most LEAF sets are joined exactly.
+6. Links become components by rounds of joins.
 
 Texts with equal sets are one node throughout. Every step's data is dealt by hash.
 
 Defined cases: null texts and texts without words have no shingles, link with nothing and are
 their own component. A text of fewer words than k is one shingle. A null doc_id links with
 nothing and has a null component. Repeated rows get a row each; equal ids with unequal texts
-are separate nodes. Only doc_id and text are read.
+are separate nodes. doc_id must be of an integer type. Very long texts are arrays of their shingles in a worker. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,16 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .components import components
 from .knlm import fold_sums
 from .shards import Packer, Scratch, deal, if_small, n_shards, table, unpack
 from .textblock import LOWER, U64, blocks, mix, runs, shingle_sets
 
-#: Sets that one region, or a block of one, has at most.
-REGION = 2048
+#: Sets of a window that one task joins; sets of a region that one task measures, with its pivots; pivots of a window that is divided.
+LEAF, PART, PIVOTS = 256, 128, 16
+#: Times that a window is divided before it is joined in blocks.
+LEVELS = 6
 #: A shingle with 1 / HEAVY of all entries or more is heavy; at most 2 * HEAVY are listed (16 bytes each), none with fewer than LEAST_HEAVY entries.
 HEAVY, LEAST_HEAVY = 100_000, 64
 SHINGLE = 5
@@ -376,70 +383,130 @@ def join_region(node: np.ndarray, size: np.ndarray, sets: list[np.ndarray], perc
     return node[moved], node[top[moved]]
 
 
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in keys]
+        change = np.zeros(b.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cut = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            now = tuple(c[lo] for c in cols)
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets(rows: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("shared")]
+
+
+def measured(members: DataFrame, pivots: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(region, cell, pivot, node, distance, linked) of each member of a region and the pivots in whose cell it stands.
+
+    members: (region, node); pivots: (region, node); sizes: (region, members). A member stands in the cell of its nearest pivot
+    and in those of pivots at most twice the threshold farther away. Every part of a region gets its pivots.
+    """
+    least = 1 - percent / 100
+    parts = if_small(sizes.select("region", F.ceil(F.col("members") / PART).cast("int").alias("parts")))
+    own = members.join(parts, "region").select("region", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("leads"))
+    lead = pivots.join(parts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(True).alias("leads"))
+    rows = own.unionAll(lead).join(sets, "node").repartition(n, "region", "part").sortWithinPartitions("region", "part")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "region", "part"):
+            leads, node, size, data = g.column("leads").to_numpy(), g.column("node").to_numpy(), g.column("n").to_numpy(), _sets(g)
+            top, rest = np.flatnonzero(leads), np.flatnonzero(~leads)
+            if not len(rest):
+                continue
+            length = np.array([len(data[i]) for i in rest])
+            values, row = np.concatenate([data[i] for i in rest]), np.repeat(np.arange(len(rest)), length)
+            common = np.zeros((len(rest), len(top)), np.int64)
+            for k, p in enumerate(top):
+                common[:, k] = np.bincount(row, np.isin(values, data[p]), len(rest))
+            total = size[rest][:, None] + size[top][None] - common
+            distance, linked = 1 - common / total, 100 * common >= percent * total
+            stands = distance <= distance.min(1, keepdims=True) + 2 * least + 1e-9
+            at, k = np.nonzero(stands)
+            region = g.column("region").to_numpy()[:1].astype(np.int64)
+            cell = mix(mix(region.view(U64)) + node[top[k]].view(U64)).view(np.int64)
+            yield from table({"region": np.repeat(region, len(at)), "cell": cell, "pivot": node[top[k]], "node": node[rest[at]], "distance": distance[at, k], "linked": linked[at, k]})
+
+    return rows.mapInArrow(measure, "region long, cell long, pivot long, node long, distance double, linked boolean")
+
+
 def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between nodes, enough to join what the threshold links."""
-    spark = nodes.sparkSession
-    n = n_shards(nodes)
-    region = scratch.save(regions(nodes, heavy), "regions")
-    sizes = region.groupBy("pivot").agg(F.count("*").alias("members"))
-    large = scratch.save(sizes.where(F.col("members") > REGION), "large")
-    sets = nodes.select("node", "n", "shared")
-    small = region.join(if_small(large), "pivot", "left_anti").join(sets, "node").select(F.col("pivot").alias("region"), "node", "n", "shared")
-    found, work = [], small
-    if large.limit(1).count():
-        pivots = sets.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("shared").alias("pshared"))
-        star = region.join(if_small(large), "pivot", "left_semi").join(sets, "node").join(pivots, "pivot")
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                pivot = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("pshared")]
-                common = np.array([np.isin(np.frombuffer(x.as_buffer(), "<u8"), p).sum() for x, p in zip(b.column("shared"), pivot, strict=True)], np.int64)
-                total = b.column("n").to_numpy() + b.column("pn").to_numpy() - common
-                cols = {c: b.column(c) for c in ("pivot", "node", "n", "shared")}
-                yield from table(cols | {"distance": 1 - common / total, "linked": 100 * common >= percent * total}, 2000)
-
-        far = scratch.save(star.mapInArrow(measure, "pivot long, node long, n long, shared binary, distance double, linked boolean"), "far")
+    n, sets, least = n_shards(nodes), nodes.select("node", "n", "shared"), 1 - percent / 100
+    members = scratch.save(regions(nodes, heavy).withColumnRenamed("pivot", "region"), "members0")
+    sizes = scratch.save(members.groupBy("region").agg(F.count("*").alias("members")), "sizes0")
+    pivots = sizes.select("region", F.col("region").alias("node"))
+    found, leaves = [], []
+    for level in range(LEVELS):
+        with np.errstate(over="ignore"):
+            far = scratch.save(measured(members, pivots, sizes, sets, n, percent), f"far{level}")
         found.append(far.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        near = far.where("not linked").groupBy("pivot").agg((F.min("distance") - (1 - percent / 100) - 1e-9).alias("edge"), F.count("*").alias("outside"))
-        window = far.join(near, "pivot").where("not linked or distance >= edge")
-        counts = window.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(REGION // 2)).cast("int").alias("parts"))
-        window = window.join(counts, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("pivot", F.least("part", j), F.greatest("part", j)))
-        work = small.unionAll(window.withColumn("region", F.explode(pair)).select("region", "node", "n", "shared"))
+        edge = scratch.save(far.where("not linked").groupBy("cell").agg((F.min("distance") - least - 1e-9).alias("edge")), f"edges{level}")
+        window = scratch.save(far.join(if_small(edge), "cell").where("not linked or distance >= edge").select("region", "cell", "node", "linked"), f"window{level}")
+        cells = scratch.save(window.groupBy("region", "cell").agg(F.count("*").alias("held")), f"cells{level}")
+        if not cells.where(F.col("held") > LEAF).limit(1).count():
+            leaves.append(window.select(F.col("cell").alias("leaf"), "node"))
+            break
+        whole = sizes.join(cells.groupBy("region").agg(F.sum("held").alias("total"), F.max("held").alias("largest")), "region")
+        stuck = (F.col("total") > 2 * F.col("members")) | (10 * F.col("largest") > 9 * F.col("members")) if level else F.lit(False)
+        whole = scratch.save(whole.where(F.col("largest") > LEAF).select("region", "members", (stuck | F.lit(level == LEVELS - 1)).alias("stuck")), f"whole{level}")
+        # Regions that get no smaller: every two blocks of their members meet in one leaf.
+        blocks_of = whole.where("stuck").select("region", F.ceil(F.col("members") / (LEAF // 2)).cast("int").alias("parts"))
+        dealt = members.join(if_small(blocks_of), "region").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("region", F.least("part", j), F.greatest("part", j)))
+        leaves.append(dealt.select(F.explode(pair).alias("leaf"), "node"))
+        rest = window.join(if_small(whole.where("stuck").select("region")), "region", "left_anti")
+        large = scratch.save(cells.where(F.col("held") > LEAF).select("cell", F.col("held").alias("members")), f"large{level}")
+        leaves.append(rest.join(if_small(large), "cell", "left_anti").select(F.col("cell").alias("leaf"), "node"))
+        members = scratch.save(rest.join(if_small(large), "cell").select(F.col("cell").alias("region"), "node"), f"members{level + 1}")
+        sizes = scratch.save(members.groupBy("region").agg(F.count("*").alias("members")), f"sizes{level + 1}")
+        first = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node"))
+        pivots = scratch.save(members.withColumn("r", first).where(F.col("r") <= PIVOTS).select("region", "node"), f"pivots{level + 1}")
+        if not sizes.limit(1).count():
+            break
+    leaf = leaves[0]
+    for x in leaves[1:]:
+        leaf = leaf.unionAll(x)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], []]
-        data: list[np.ndarray] = []
-        for b in batches:
-            for c, name in zip(cols, ("region", "node", "n"), strict=True):
-                c.append(b.column(name).to_numpy())
-            data += [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("shared")]
-        if not data:
-            return
-        at, node, size = (np.concatenate(c) for c in cols)
-        order = np.argsort(at, kind="stable")
-        cut = runs(at[order])
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            mine = order[lo:hi]
-            if len(mine) > 1:
-                a, b = join_region(node[mine], size[mine], [data[i] for i in mine], percent)
+        for g in groups(batches, "leaf"):
+            if g.num_rows > 1:
+                a, b = join_region(g.column("node").to_numpy(), g.column("n").to_numpy(), _sets(g), percent)
                 if len(a):
                     yield from table({"a": a, "b": b})
 
-    found.append(work.repartition(n, "region").mapInArrow(join, "a long, b long"))
-    return found[0] if len(found) == 1 else found[0].unionAll(found[1])
+    out = leaf.join(sets, "node").repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(join, "a long, b long")
+    for x in found:
+        out = out.unionAll(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of the given similarity reach."""
     scratch = scratch or Scratch(docs.sparkSession)
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     docs = docs.select("doc_id", "text")
     met = scratch.save(candidates(docs, k, percent), "met")
     sets = scratch.save(shingle_table(docs, met, k, percent), "sets")
     heavy = heavy_shingles(sets, scratch)
     nodes = scratch.save(shared_sets(sets, percent, heavy), "nodes")
     linked = scratch.save(components(links(nodes, scratch, percent, heavy), scratch), "linked")
-    scratch.drop("met", "reported", "nodes", "regions", "large", "far")
+    scratch.drop("met", "reported", "nodes", *(f"{x}{k}" for k in range(LEVELS + 1) for x in ("members", "sizes", "far", "edges", "window", "cells", "whole", "large", "pivots")))
     rows = sets.select("doc_id", "n_shingles", "node", "twin")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     first = some.groupBy("node", "twin").agg(F.min("doc_id").alias("first")).join(linked.select("node", "root"), "node", "left")

@@ -515,9 +515,11 @@ def edited(rng, text, k):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("region", "heavy"), [(2048, 64), (6, 64), (2048, 3), (6, 3)])
-def test_near_duplicates(spark, monkeypatch, region, heavy):
-    monkeypatch.setattr(jaccard, "REGION", region)
+@pytest.mark.parametrize(("leaf", "heavy"), [(256, 64), (4, 3)])
+def test_near_duplicates(spark, monkeypatch, leaf, heavy):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "PART", max(2, leaf // 2))
+    monkeypatch.setattr(jaccard, "PIVOTS", 3 if leaf < 256 else 16)
     monkeypatch.setattr(jaccard, "LEAST_HEAVY", heavy)
     rng = random.Random(8)
     base = [sentences_of(rng, rng.randint(2, 30)) for _ in range(12)]
@@ -529,6 +531,48 @@ def test_near_duplicates(spark, monkeypatch, region, heavy):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components(ids, texts)
 
 
+def found_links(spark, docs, percent=75):
+    scratch = Scratch(spark)
+    met = scratch.save(jaccard.candidates(docs, 5, percent), "met")
+    sets = scratch.save(jaccard.shingle_table(docs, met, 5, percent), "sets")
+    heavy = jaccard.heavy_shingles(sets, scratch)
+    nodes = scratch.save(jaccard.shared_sets(sets, percent, heavy), "nodes")
+    return scratch, sets, scratch.save(jaccard.links(nodes, scratch, percent, heavy), "links")
+
+
+def test_windows_of_the_documents_table(spark):
+    """With production parameters, pivots link part of what is linked, and windows replicate part of that into the joins."""
+    scratch, _, links = found_links(spark, spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    far, window = (spark.read.parquet(f"{scratch.root}/{x}0") for x in ("far", "window"))
+    assert far.where("linked and node <> pivot").count() > 50
+    replicas, beyond = window.where("linked").count(), window.where("not linked").count()
+    assert replicas > 0 and beyond > 0 and window.count() < far.count()
+    assert links.count() > far.where("linked and node <> pivot").count()
+
+
+def test_voronoi_regions(spark, monkeypatch):
+    """One group of many chained near copies: its window is divided by nearest pivots, boundary sets stand in several regions, and nothing is lost."""
+    monkeypatch.setattr(jaccard, "LEAF", 12)
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    rng = random.Random(14)
+    texts = []
+    for _ in range(6):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        shared = ["common", "words", "that", "all", "of", "them", "have"]
+        for _ in range(16):
+            w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join([*shared, *w]))
+    ids = [*range(len(texts))]
+    docs = frame(spark, texts)
+    scratch, _, _ = found_links(spark, docs.select("doc_id", "text"))
+    large = spark.read.parquet(f"{scratch.root}/members1")
+    cells = spark.read.parquet(f"{scratch.root}/far1")
+    assert large.count() > 12 and cells.select("region", "node", "cell").distinct().count() > large.select("region", "node").distinct().count()
+    rows = jaccard.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components(ids, texts)
+
+
 def test_meetings_known_in_a_task():
     h = np.array([7, 7, 7, 9, 9, 4, 4], np.uint64)
     doc = np.array([2, 5, 5, 5, 2, 8, 8])
