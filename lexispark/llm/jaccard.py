@@ -19,7 +19,8 @@ taken where texts meet:
    those are replicated into the window that is joined.
 5. A window of more than LEAF sets is divided again: some of its members become pivots, each set goes to the Voronoi region
    of its nearest one, and to every other whose pivot is at most twice the threshold farther away than
-   that (so of two linked sets each stands in the other's region); 4 follows in each region, and so on. Where regions hardly get
+   that (so of two linked sets each stands in the other's region). Sets too far from all pivots for that to tell regions apart
+   go to a region of their own, with those that are at most the threshold nearer. 4 follows in each region, and so on. Where regions hardly get
    smaller or their windows are more than twice the whole, the sets are too far from each other for pivots to tell
    anything, and blocks of bounded size are joined instead. Windows of at most LEAF sets are joined exactly.
 6. Links become components by rounds of joins.
@@ -51,6 +52,7 @@ from .textblock import LOWER, U64, blocks, mix, runs, shingle_sets
 LEAF, PART, PIVOTS = 256, 128, 16
 #: Times that a window is divided before it is joined in blocks.
 LEVELS = 6
+FAR = 0x9D39247E33776D41
 #: A shingle with 1 / HEAVY of all entries or more is heavy; at most 2 * HEAVY are listed (16 bytes each), none with fewer than LEAST_HEAVY entries.
 HEAVY, LEAST_HEAVY = 100_000, 64
 SHINGLE = 5
@@ -410,13 +412,18 @@ def _sets(rows: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("shared")]
 
 
+def beyond(percent: int) -> float:
+    """Distance to the nearest pivot beyond which a set's regions could be all."""
+    return 1 - 2 * (1 - percent / 100)
+
+
 def measured(members: DataFrame, pivots: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """(region, cell, pivot, node, distance, linked) of each member of a region and the pivots in whose cell it stands.
+    """(region, cell, pivot, node, distance, linked) of each member of a region and the pivots in whose cell it stands; without a pivot, the cell of those far from all.
 
     members: (region, node); pivots: (region, node); sizes: (region, members). A member stands in the cell of its nearest pivot
     and in those of pivots at most twice the threshold farther away. Every part of a region gets its pivots.
     """
-    least = 1 - percent / 100
+    least, bound = 1 - percent / 100, beyond(percent)
     parts = if_small(sizes.select("region", F.ceil(F.col("members") / PART).cast("int").alias("parts")))
     own = members.join(parts, "region").select("region", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("leads"))
     lead = pivots.join(parts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(True).alias("leads"))
@@ -435,11 +442,17 @@ def measured(members: DataFrame, pivots: DataFrame, sizes: DataFrame, sets: Data
                 common[:, k] = np.bincount(row, np.isin(values, data[p]), len(rest))
             total = size[rest][:, None] + size[top][None] - common
             distance, linked = 1 - common / total, 100 * common >= percent * total
-            stands = distance <= distance.min(1, keepdims=True) + 2 * least + 1e-9
-            at, k = np.nonzero(stands)
+            home = distance.min(1)
+            at, k = np.nonzero((distance <= home[:, None] + 2 * least + 1e-9) & (home <= bound)[:, None])
+            far = np.flatnonzero(home > bound - least - 1e-9)
             region = g.column("region").to_numpy()[:1].astype(np.int64)
-            cell = mix(mix(region.view(U64)) + node[top[k]].view(U64)).view(np.int64)
-            yield from table({"region": np.repeat(region, len(at)), "cell": cell, "pivot": node[top[k]], "node": node[rest[at]], "distance": distance[at, k], "linked": linked[at, k]})
+            with np.errstate(over="ignore"):
+                seed = mix(region.view(U64))
+                cell = np.concatenate([mix(seed + node[top[k]].view(U64)), np.repeat(mix(seed ^ U64(FAR)), len(far))]).view(np.int64)
+            pivot = pa.array(np.concatenate([node[top[k]], far]), mask=np.arange(len(cell)) >= len(k))
+            yield from table(
+                {"region": np.repeat(region, len(cell)), "cell": cell, "pivot": pivot, "node": node[rest[np.concatenate([at, far])]], "distance": np.concatenate([distance[at, k], home[far]]), "linked": np.concatenate([linked[at, k], np.zeros(len(far), bool)])}
+            )
 
     return rows.mapInArrow(measure, "region long, cell long, pivot long, node long, distance double, linked boolean")
 
@@ -452,10 +465,10 @@ def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndar
     pivots = sizes.select("region", F.col("region").alias("node"))
     found, leaves = [], []
     for level in range(LEVELS):
-        with np.errstate(over="ignore"):
-            far = scratch.save(measured(members, pivots, sizes, sets, n, percent), f"far{level}")
+        far = scratch.save(measured(members, pivots, sizes, sets, n, percent), f"far{level}")
         found.append(far.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        edge = scratch.save(far.where("not linked").groupBy("cell").agg((F.min("distance") - least - 1e-9).alias("edge")), f"edges{level}")
+        edge = far.where("not linked").groupBy("cell").agg((F.min("distance") - least - 1e-9).alias("edge"), F.max("pivot").alias("pivot"), F.max("distance").alias("most"))
+        edge = scratch.save(edge.where(F.col("pivot").isNotNull() | (F.col("most") > beyond(percent))).select("cell", "edge"), f"edges{level}")
         window = scratch.save(far.join(if_small(edge), "cell").where("not linked or distance >= edge").select("region", "cell", "node", "linked"), f"window{level}")
         cells = scratch.save(window.groupBy("region", "cell").agg(F.count("*").alias("held")), f"cells{level}")
         if not cells.where(F.col("held") > LEAF).limit(1).count():

@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.llm import decontam, htmltext, jaccard, knlm, langid, licenses, quality, shards, spans, spm, warc
 from lexispark.llm.components import components
@@ -551,26 +552,28 @@ def test_windows_of_the_documents_table(spark):
 
 
 def test_voronoi_regions(spark, monkeypatch):
-    """One group of many chained near copies: its window is divided by nearest pivots, boundary sets stand in several regions, and nothing is lost."""
+    """All sets in one region at first: it is divided by nearest pivots, boundary sets stand in several regions, and nothing is lost."""
     monkeypatch.setattr(jaccard, "LEAF", 12)
     monkeypatch.setattr(jaccard, "PART", 8)
-    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 8)
+    monkeypatch.setattr(jaccard, "regions", lambda nodes, heavy: nodes.crossJoin(nodes.agg(F.min("node").alias("pivot"))).select("pivot", "node"))
     rng = random.Random(14)
     texts = []
     for _ in range(6):
-        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
-        shared = ["common", "words", "that", "all", "of", "them", "have"]
-        for _ in range(16):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(7):
+            w = base[:]
+            for k in rng.sample(range(60), 2):
+                w[k] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
             w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
-            texts.append(" ".join([*shared, *w]))
-    ids = [*range(len(texts))]
+            texts.append(" ".join(w))
     docs = frame(spark, texts)
     scratch, _, _ = found_links(spark, docs.select("doc_id", "text"))
-    large = spark.read.parquet(f"{scratch.root}/members1")
-    cells = spark.read.parquet(f"{scratch.root}/far1")
-    assert large.count() > 12 and cells.select("region", "node", "cell").distinct().count() > large.select("region", "node").distinct().count()
+    large, cells = spark.read.parquet(f"{scratch.root}/members1"), spark.read.parquet(f"{scratch.root}/far1")
+    assert large.count() > 12 and cells.where("pivot is not null").select("node", "cell").distinct().count() > cells.select("node").distinct().count()
     rows = jaccard.near_duplicates(docs).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components(ids, texts)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components([*range(len(texts))], texts)
 
 
 def test_meetings_known_in_a_task():
