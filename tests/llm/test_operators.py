@@ -571,7 +571,8 @@ def test_voronoi_regions(spark, monkeypatch):
     docs = frame(spark, texts)
     scratch, _, _ = found_links(spark, docs.select("doc_id", "text"))
     large, cells = spark.read.parquet(f"{scratch.root}/members1"), spark.read.parquet(f"{scratch.root}/far1")
-    assert large.count() > 12 and cells.where("pivot is not null").select("node", "cell").distinct().count() > cells.select("node").distinct().count()
+    assert large.count() > 12 and cells.select("cell").distinct().count() > cells.select("region").distinct().count()
+    assert cells.groupBy("region", "node").count().where("count > 1").count() > 0
     rows = jaccard.near_duplicates(docs).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components([*range(len(texts))], texts)
 
