@@ -1,9 +1,10 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A template is found in a text if a block holds CONTAINMENT of the template's distinct words.
-Blocks are the lines of the text and, since notices are wrapped, all runs of consecutive words
-of the template's length by CONTAINMENT, whatever line breaks and comment signs stand between.
-A text that has such a block meets the threshold as a whole. The words of the templates get one
+A template is found in a text if a block holds enough of the template's distinct words: CONTAINMENT percent,
+or all of them if they are fewer than SHORT, where one word tells a license from plain prose.
+Blocks are all runs of consecutive words, a quarter longer than the template, whatever line breaks and comment
+signs stand between; so wrapped notices are found, and words far apart are none.
+A text that has such a block holds so many of the words as a whole. The words of the templates get one
 global order, rarest in the corpus first; a text that meets the threshold has a word of the
 template's prefix (all but so many of the last words), so only texts with such a word are
 candidates. Length and position filters (words of the text, words of the template after the
@@ -12,12 +13,13 @@ is left. Templates are a fixed list of bounded size.
 
 Beside it stand the fixed phrases, counted at word positions over the whole text.
 
-Everything runs as DataFrame expressions. Words are runs of letters and digits, all
+Everything runs as DataFrame expressions. Texts are split into words once, in a pass that keeps of each its templates' words, number of
+words and phrases; only candidates are split again. Words are runs of letters and digits, all
 characters beyond ASCII included, A-Z lower-cased.
 
 Defined cases: a null or empty text has no words, no labels and score 0. A template that
-several blocks hold gives its label once; the score is the best share of a block. Repeated rows each get their own row (they are told
-apart by nothing else, so equal rows get equal results). Only doc_id and text are read.
+several blocks hold gives its label once; the score is the best share of a block. Ids may be null or repeat: rows are
+told apart by id and a hash of the text, and repeated rows each get their own row with the same result. Of very long texts or lines all blocks are looked at. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shards import Scratch, if_small
+
 # Phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -42,16 +46,28 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
-    "bsd-notice": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd-notice": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "isc-notice": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "zlib-notice": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "lgpl-notice": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl-notice": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "epl-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution"],
+    "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+    "cc0": ["To the extent possible under law, the person who associated this work with CC0 has waived all copyright and related or neighboring rights to this work"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0."],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0."],
+    "as-is": ["The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
-#: Percent of a template's distinct words that a block must hold.
-CONTAINMENT = 80
+#: Percent of a template's distinct words that a block must hold, and distinct words below which it must hold all.
+CONTAINMENT, SHORT = 80, 12
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _template_words() -> list[tuple[int, str, list[str]]]:
@@ -66,15 +82,19 @@ def _templates() -> list[tuple[int, str, list[str]]]:
     return out
 
 
-def words_of(text: Column) -> Column:
-    """The lower-cased words, without empty ones."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), lambda w: w != "")
+def needed(words: list[str], containment: int = CONTAINMENT) -> int:
+    """Distinct words of a template that a block must hold."""
+    return len(words) if len(words) < SHORT else -(-containment * len(words) // 100)
+
+
+def run_length(n: int) -> int:
+    """Words of a block, for a template of n words."""
+    return -(-5 * n // 4)
 
 
-def texts_of(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, text_key, text, words): texts with a template's word, and their distinct words."""
-    some = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(sorted(words))))
-    return some.select("doc_id", F.xxhash64("text").alias("text_key"), "text", _once(F.array_distinct(words_of(F.col("text")))).alias("words"))
+def words_of(text: Column) -> Column:
+    """The lower-cased words, without empty ones."""
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), "")
 
 
 def _once(c: Column) -> Column:
@@ -82,56 +102,56 @@ def _once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def template_matches(docs: DataFrame, containment: int = CONTAINMENT) -> DataFrame:
+def text_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_key, n_words, held, places of each phrase): what is read off each text by splitting it once; a written table."""
+    vocabulary = sorted({w for _, _, words in _template_words() for w in words})
+    text = F.coalesce("text", F.lit(""))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").rlike("(?i)license").alias("_has"), _once(words_of(text)).alias("_w"))
+    places = [F.when(F.col("_has") & (F.size("_w") > 0), _places(phrase.split())).otherwise(F.array().cast("array<int>")).alias(f"_p{i}") for i, phrase in enumerate(PHRASES)]
+    held = F.array_intersect("_w", F.array(*map(F.lit, vocabulary))).alias("held")
+    return scratch.save(split.select("doc_id", "text_key", F.size("_w").cast("long").alias("n_words"), held, *places), "license_words")
+
+
+def template_matches(docs: DataFrame, texts: DataFrame, scratch: Scratch, containment: int = CONTAINMENT) -> DataFrame:
     """(doc_id, text_key, template, label, share) of every text with a block that holds enough of a template."""
     spark = docs.sparkSession
     templates = _template_words()
-    vocabulary = sorted({w for _, _, words in templates for w in words})
-    need = {t: -(-containment * len(words) // 100) for t, _, words in templates}
-    run = {t: -(-100 * len(words) // containment) for t, _, words in _templates()}
+    length = {t: run_length(len(words)) for t, _, words in _templates()}
     # The numbers of texts that hold the templates' words give the global order.
-    marks = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    df = {r.w: r.n for r in marks.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
+    df = {r.w: r.n for r in texts.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    rank = {w: i for i, w in enumerate(sorted({w for _, _, words in templates for w in words}, key=lambda w: (df.get(w, 0), w)))}
     prefix, whole = [], []
     for t, label, words in templates:
-        words = sorted(words, key=rank.__getitem__)
-        whole.append((t, label, words, len(words), need[t], run[t]))
-        prefix += [(w, t, i) for i, w in enumerate(words[: len(words) - need[t] + 1])]
+        words, need = sorted(words, key=rank.__getitem__), needed(words, containment)
+        whole.append((t, label, words, len(words), need, length[t]))
+        prefix += [(w, t, i) for i, w in enumerate(words[: len(words) - need + 1])]
+    leads = F.array(*map(F.lit, sorted({w for w, _, _ in prefix})))
     seeds = F.broadcast(spark.createDataFrame(prefix, "w string, template int, place int"))
     whole = F.broadcast(spark.createDataFrame(whole, "template int, label string, template_words array<string>, size int, need int, run int"))
     # Of a text's words, those of templates are all that the filters need.
-    found = texts_of(docs, sorted({w for w, _, _ in prefix})).withColumn("n", F.size("words")).withColumn("words", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
-    hits = found.select("*", F.explode(F.array_intersect("words", F.array(*map(F.lit, sorted({w for w, _, _ in prefix}))))).alias("w")).join(seeds, "w").join(whole, "template")
-    hits = hits.where(F.col("n") >= F.col("need")).where(F.col("size") - F.col("place") >= F.col("need"))
-    # Of several prefix words in a text, the first alone leads to the check.
-    hits = hits.where(~F.exists(F.slice("template_words", 1, F.col("place")), lambda w: F.array_contains("words", w)))
-    hits = hits.where(F.size(F.array_intersect("words", "template_words")) >= F.col("need"))
-    common = lambda words: F.size(F.array_intersect(words, F.col("template_words")))
-    lines = F.transform(F.split("text", "\n"), lambda line: common(words_of(line)))
-    hits = hits.select("*", _once(words_of(F.col("text"))).alias("all"))
-    # A run may as well start at its first word of the template.
+    hits = texts.select("doc_id", "text_key", "n_words", "held", F.explode(F.array_intersect("held", leads)).alias("w")).join(seeds, "w").join(whole, "template")
+    hits = hits.where(F.col("n_words") >= F.col("need")).where(F.col("size") - F.col("place") >= F.col("need"))
+    hits = hits.where(F.size(F.array_intersect("held", "template_words")) >= F.col("need"))
+    found = scratch.save(hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("template").alias("of")), "license_candidates")
+    again = docs.join(if_small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("doc_id", "_key", "text", "of")
+    hits = again.select("doc_id", "_key", "of", _once(words_of(F.col("text"))).alias("all")).select("doc_id", "_key", "all", F.explode("of").alias("template")).join(whole, "template")
+    # A block may as well start at its first word of the template.
     starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains("template_words", F.get("all", i - 1)))
-    runs = F.transform(starts, lambda i: common(F.slice("all", i, F.col("run"))))
-    hits = hits.select("*", _once(F.greatest(F.array_max(lines), F.array_max(runs))).alias("common")).where("common >= need")
-    return hits.select("doc_id", "text_key", "template", "label", (F.col("common") / F.col("size")).alias("share"))
+    common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("all", i, F.col("run")), "template_words"))))
+    hits = hits.select("*", _once(common).alias("common")).where("common >= need")
+    return hits.select("doc_id", F.col("_key").alias("text_key"), "template", "label", (F.col("common") / F.col("size")).alias("share"))
 
 
-def scan(docs: DataFrame, containment: int = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, scratch: Scratch | None = None, containment: int = CONTAINMENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
-    docs = docs.select("doc_id", "text")
-    text = F.coalesce("text", F.lit(""))
-    words = words_of(text)
-    has = F.col("text").rlike("(?i)license")
-    at = {phrase: _places(phrase.split()) for phrase in PHRASES}
-    found = template_matches(docs, containment).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
-    out = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.when(has, words).alias("_w"))
-    for i, phrase in enumerate(PHRASES):
-        out = out.withColumn(f"_p{i}", F.when(F.size("_w") > 0, at[phrase]).otherwise(F.array().cast("array<int>")))
+    scratch, docs = scratch or Scratch(docs.sparkSession), docs.select("doc_id", "text")
+    texts = text_table(docs, scratch)
+    found = template_matches(docs, texts, scratch, containment).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
+    found = scratch.save(found, "license_labels")
     places = F.concat(*(F.col(f"_p{i}") for i in range(len(PHRASES))))
     base = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())))))
-    out = out.select("doc_id", "text_key", "n_words", places.alias("_at"), base.alias("_base")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    out = texts.select("doc_id", "text_key", "n_words", places.alias("_at"), base.alias("_base"))
+    out = out.join(if_small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")), "left")
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_labels", F.array().cast("array<string>")))))
     return out.select(
         "doc_id",

@@ -110,19 +110,20 @@ _SQL_LETTERS = rf"regexp_extract_all(translate(%s, '{_UPPER}', '{_LOWER}'), '[^\
 
 
 def _op6() -> str:
-    templates = ", ".join(f"({t}, '{label}', [{', '.join(repr(w) for w in words)}], {-(-licenses.CONTAINMENT * len(words) // 100)})" for t, label, words in licenses._template_words())
+    length = {t: licenses.run_length(len(words)) for t, _, words in licenses._templates()}
+    templates = ", ".join(f"({t}, '{label}', [{', '.join(repr(w) for w in words)}], {licenses.needed(words)}, {length[t]})" for t, label, words in licenses._template_words())
     phrases = " UNION ALL ".join(
         f"SELECT r, i - 1 AS i, '{label}' AS label FROM spot WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in licenses.PHRASES.items()
     )
     return rf"""
-WITH t(template, label, words, need) AS (VALUES {templates}),
+WITH t(template, label, words, need, run) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_SQL_LETTERS % "coalesce(text, '')"} AS w FROM documents),
 spot AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')),
 p AS ({phrases}),
 base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list(DISTINCT label)) AS labels FROM p GROUP BY r),
-line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-block AS (SELECT r, list_distinct({_SQL_LETTERS % "line"}) AS w FROM line),
-hit AS (SELECT r, label, len(list_intersect(block.w, t.words)) / len(t.words) AS share FROM block, t WHERE len(list_intersect(block.w, t.words)) >= need),
+c AS (SELECT r, label, w, t.words AS tw, need, run FROM d, t WHERE len(list_intersect(list_distinct(w), t.words)) >= need),
+block AS (SELECT r, label, tw, need, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(tw, w[i])), lambda i: len(list_intersect(list_distinct(w[i : i + run - 1]), tw)))) AS n FROM c),
+hit AS (SELECT r, label, n / len(tw) AS share FROM block WHERE n >= need),
 m AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hit GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.lo AS BIGINT) AS first_word, CAST(base.hi AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,

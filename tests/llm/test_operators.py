@@ -444,12 +444,11 @@ def plain_licenses(t):
     w = split(t)
     at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     best = {}
-    for line in (t or "").split("\n"):
-        have = set(split(line))
-        for _, label, words in licenses._template_words():
-            n = len(have & set(words))
-            if n >= -(-licenses.CONTAINMENT * len(words) // 100):
-                best[label] = max(best.get(label, 0), n / len(words))
+    for (_, label, words), (_, _, whole) in zip(licenses._template_words(), licenses._templates(), strict=True):
+        need, run = len(words) if len(words) < 12 else math.ceil(0.8 * len(words)), math.ceil(1.25 * len(whole))
+        n = max((len(set(w[i : i + run]) & set(words)) for i in range(len(w))), default=0)
+        if n >= need:
+            best[label] = max(best.get(label, 0), n / len(words))
     base = sorted({x for _, x in at})
     places = [i for i, _ in at]
     return (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted({*base, *best})), max(best.values(), default=0.0))
@@ -457,8 +456,10 @@ def plain_licenses(t):
 
 def test_licenses(spark):
     texts = [*ODD, "Released under the MIT License.", "the MIT-LICENSE and apache\nlicense, mit license", "GNU General Public License general public license", "under the License Apache licensed 2.0 Version the", "licensed under CC BY NC 4", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", licenses.TEMPLATES["bsd-notice"][0].upper(), "Permission is hereby granted to any person", "K license MIT LİCENSE"]
+    texts += ["The film was released under a special license by the studio in 1990.", "word " * 20000 + licenses.TEMPLATES["isc-notice"][0] + " word" * 20000, *licenses.TEMPLATES["bsd-notice"] * 2]
     ids = [*range(len(texts))]
-    ids[2] = None
+    ids[2] = ids[3] = None
+    ids[6] = ids[7] = 500
     rows = licenses.scan(frame(spark, texts, ids)).collect()
     cols = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert sorted(((r.doc_id, *(r[c] for c in cols)) for r in rows), key=str) == sorted(((i, *plain_licenses(t)) for i, t in zip(ids, texts, strict=True)), key=str)
@@ -472,12 +473,16 @@ def test_licenses_wrapped(spark):
     texts = ["\n".join(sign + line for line in [pad, *wrap(x, width), pad]) for _, x, width, sign in cases]
     # Neither all words far apart nor too few of them together are a notice.
     words = notices[1][1].split()
-    texts += [("\n" + pad).join(words), "\n".join(wrap(" ".join(words[:18]), 72))]
+    texts += [("\n" + pad).join(words), "\n".join(wrap(" ".join(words[:16]), 72))]
     got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.scan(frame(spark, texts)).collect()}
     assert [(x, got[i]) for i, x in enumerate(cases) if x[0] not in got[i][0] or got[i][1] != 1] == []
     assert got[len(cases)] == got[len(cases) + 1] == ([""], 0)
 
 
+def test_licenses_empty(spark):
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
 # 7 Near duplicates
 
 
