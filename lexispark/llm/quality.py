@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule's cost (time a document) and selectivity (share it rejects) are measured on a
-bounded sample; rules then run in order of rejection per cost, each only on the documents
-that all earlier ones let pass. The verdict is the same for every order, so a different
-measurement changes speed alone.
+Every rule's cost (time a document) and selectivity (share it rejects) are measured on those of a
+bounded sample that pass the base test, as in the cascade; each rule pays for what it needs beyond the base measures, which
+are reported for all documents. Rules then run in order of rejection per cost, each only on the documents
+that all earlier ones let pass: once those are less than half of a block, they are cut out into a block of their own. The verdict is
+the same for every order, so a different measurement changes speed alone.
 
 Defined cases: a null or empty text has no words, fails the base test and is not kept.
-Lines are split at \\n alone. Repeated rows each get their own row. Columns besides doc_id
-and text are not read.
+Lines are split at \\n alone. Of rules that reject a text equally soon the order decides which is named. Ids may be null or
+repeat; repeated rows each get their own row. Very long texts are blocks of their own, and are not in the sample.
+Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .textblock import SPACE, U64, TextBlock, blocks, mix, window_hash
 
-#: Documents that the sample for costs and selectivities has at most, and bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 20
+#: Documents that the sample for costs and selectivities has at most, and bytes of each: 64 MB in all.
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 16
 MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, bool)
@@ -80,6 +82,17 @@ class Measures:
         first[np.unique(h, return_index=True)[1]] = True
         return np.bincount(doc[~first], minlength=self.block.n)
 
+    def _line_marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text of each line that has a word, whether it starts with a bullet, and whether it ends with an ellipsis."""
+        b = self.block
+        doc, start, end = self.get("lines")
+        first, last = b.start[np.searchsorted(b.start, start)], b.end[np.searchsorted(b.start, end) - 1]
+        buf = np.concatenate([np.zeros(3, np.uint8), b.buf, np.zeros(3, np.uint8)])
+        three = lambda at: (buf[at].astype(np.uint32) << 16) | (buf[at + 1].astype(np.uint32) << 8) | buf[at + 2]
+        head, tail = three(first + 3), three(last)
+        bullet = np.isin(head >> 16, list(b"-*")) | (head == int.from_bytes("•".encode()))
+        return doc, bullet, (tail == int.from_bytes(b"...")) | (tail == int.from_bytes("…".encode()))
+
     def _words(self) -> np.ndarray:
         return self.block.word_hash()
 
@@ -147,6 +160,25 @@ def _top_word(m: Measures, docs: np.ndarray) -> np.ndarray:
     return 10 * top[docs] > 3 * m.get("n_words")[docs]
 
 
+def _top_pair(m: Measures, docs: np.ndarray) -> np.ndarray:
+    """The same for pairs of consecutive words."""
+    pair = window_hash(m.get("words"), 2)
+    doc = m.block.doc[: len(pair)]
+    mine = _chosen(m, docs)[: len(pair)] & (doc == m.block.doc[1 : len(pair) + 1])
+    _, first, n = np.unique(mix(pair[mine] + mix(doc[mine].astype(U64))), return_index=True, return_counts=True)
+    top = np.zeros(m.block.n, np.int64)
+    np.maximum.at(top, doc[mine][first], n)
+    return 10 * top[docs] > 2 * m.get("n_words")[docs]
+
+
+def _lines_with(mark: int, times: int) -> Callable[[Measures, np.ndarray], np.ndarray]:
+    def rejects(m: Measures, docs: np.ndarray) -> np.ndarray:
+        doc, *marks = m.get("line_marks")
+        return 10 * np.bincount(doc[marks[mark]], minlength=m.block.n)[docs] > times * m.get("n_lines")[docs]
+
+    return rejects
+
+
 #: name -> rejects(measures, numbers of the documents still in)
 RULES: dict[str, Callable[[Measures, np.ndarray], np.ndarray]] = {
     "word_length": _word_length,
@@ -154,48 +186,73 @@ RULES: dict[str, Callable[[Measures, np.ndarray], np.ndarray]] = {
     "dup_lines": _dup_lines,
     "alpha_words": _alpha_words,
     "top_word": _top_word,
+    "top_pair": _top_pair,
+    "bullets": _lines_with(0, 9),
+    "ellipses": _lines_with(1, 3),
 }
 
 
+def cut_out(block: TextBlock, docs: np.ndarray) -> TextBlock:
+    """A block of these texts alone."""
+    return TextBlock(pa.array([block.raw[block.off[i] : block.off[i + 1]].tobytes() for i in docs], pa.large_binary()).cast(pa.large_string()))
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def with_base(block: TextBlock) -> Measures:
+    """Measures with those that every document gets, and the words' hashes, already there."""
+    m = Measures(block)
+    for name in (*BASE, "words"):
+        m.get(name)
+    return m
+
+
 def measure_rules(docs: DataFrame, rules: dict[str, Callable] | None = None, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     """Names of the rules, the one with the most rejections for its cost first."""
     rules = rules or RULES
 
     # take() reads no more partitions than it needs; the rules are tried on these few texts here.
     few = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).where(F.octet_length("text") <= SAMPLE_BYTES).take(sample_docs)
-    cost, n, bad = dict.fromkeys(rules, 0.0), 0, dict.fromkeys(rules, 0)
+    cost, bad = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
     for at in range(0, len(few), 200):
         block = TextBlock(pa.array([r.text for r in few[at : at + 200]], pa.large_string()))
-        n += block.n
+        left = np.flatnonzero(~base_failed(Measures(block)))
+        if not len(left):
+            continue
+        block, left = cut_out(block, left), np.arange(len(left))
         for name, rule in rules.items():
-            m, began = Measures(block), time.perf_counter()
-            bad[name] += int(rule(m, np.arange(block.n)).sum())
+            m = with_base(block)
+            began = time.perf_counter()
+            bad[name] += int(rule(m, left).sum())
             cost[name] += time.perf_counter() - began
-    return sorted(rules, key=lambda x: (-bad[x] / max(cost[x], 1e-9), x))
+    return sorted(rules, key=lambda x: (-bad[x] / max(cost[x], 1e-9), cost[x], x))
 
 
 def cascade(docs: DataFrame, order: list[str], rules: dict[str, Callable] | None = None) -> DataFrame:
     """The measures, verdict, rejecting rule and number of rules run of every row."""
     rules = rules or RULES
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches):
-            m = Measures(block)
+            m = now = with_base(block)
             failed = base_failed(m)
             left = np.flatnonzero(~failed)
+            place = left  # of the documents left, in the block that now holds them
             by, ran = np.where(failed, "base", None).astype(object), np.zeros(block.n, np.int32)
             for name in order:
                 if not len(left):
                     break
-                bad = rules[name](m, left)
+                if 2 * np.diff(now.block.off)[place].sum() < len(now.block.buf):
+                    now, place = Measures(cut_out(now.block, place)), np.arange(len(place))
+                bad = rules[name](now, place)
                 ran[left] += 1
                 by[left[bad]] = name
-                left = left[~bad]
+                left, place = left[~bad], place[~bad]
             kept = np.zeros(block.n, bool)
             kept[left] = True
-            cols = [batch.column("doc_id"), *(pa.array(m.get(x).astype(np.int64)) for x in base), pa.array(failed), pa.array(kept), pa.array(list(by), pa.string()), pa.array(ran)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *base, "base_failed", "kept", "rejected_by", "rules_run"])
+            cols = [batch.column("doc_id"), *(pa.array(m.get(x).astype(np.int64)) for x in BASE), pa.array(failed), pa.array(kept), pa.array(list(by), pa.string()), pa.array(ran)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *BASE, "base_failed", "kept", "rejected_by", "rules_run"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in base) + ", base_failed boolean, kept boolean, rejected_by string, rules_run int"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean, rejected_by string, rules_run int"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -83,17 +83,19 @@ g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 full_lines AS (SELECT r, line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY r),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) AS bullets, count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS ellipses FROM full_lines GROUP BY r),
+pairs AS (SELECT r, max(n) AS n FROM (SELECT r, ab, count(*) AS n FROM (SELECT r, unnest(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS ab FROM d) GROUP BY r, ab) GROUP BY r),
 top AS (SELECT r, max(n) AS n FROM (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word) GROUP BY r),
 b AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    coalesce(dup.n_lines, 0) AS n_lines, coalesce(top.n, 0) AS top, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS alpha
-  FROM d LEFT JOIN rep ON d.r = rep.r LEFT JOIN dup ON d.r = dup.r LEFT JOIN top ON d.r = top.r),
+    coalesce(dup.n_lines, 0) AS n_lines, coalesce(dup.bullets, 0) AS bullets, coalesce(dup.ellipses, 0) AS ellipses, coalesce(top.n, 0) AS top, coalesce(pairs.n, 0) AS top_pair, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS alpha
+  FROM d LEFT JOIN rep ON d.r = rep.r LEFT JOIN dup ON d.r = dup.r LEFT JOIN top ON d.r = top.r LEFT JOIN pairs ON d.r = pairs.r),
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AND NOT 10 * n_symbols > n_words
-  AND NOT 10 * n_dup_lines > 3 * n_lines AND NOT 10 * alpha < 8 * n_words AND NOT 10 * top > 3 * n_words AS kept
+  AND NOT 10 * n_dup_lines > 3 * n_lines AND NOT 10 * alpha < 8 * n_words AND NOT 10 * top > 3 * n_words
+  AND NOT 10 * top_pair > 2 * n_words AND NOT 10 * bullets > 9 * n_lines AND NOT 10 * ellipses > 3 * n_lines AS kept
 FROM f
 """
 

@@ -232,19 +232,28 @@ def plain_quality(t):
     failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
     alpha = sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7F]", x)) for x in w)
     kept = not (failed or chars < 2 * len(w) or chars > 15 * len(w) or 10 * sym > len(w) or 10 * dup > 3 * len(lines) or 10 * alpha < 8 * len(w) or 10 * max(Counter(w).values(), default=0) > 3 * len(w))
+    strip = lambda x: x.strip("\x20\t\n\x0b\x0c\r")
+    kept = kept and not (10 * max(Counter(zip(w, w[1:], strict=False)).values(), default=0) > 2 * len(w) or 10 * sum(strip(x)[0] in "-*•" for x in lines) > 9 * len(lines) or 10 * sum(strip(x).endswith(("...", "…")) for x in lines) > 3 * len(lines))
     return (len(w), chars, sym, dup, len(rep), failed, kept)
 
 
 def test_quality(spark):
     rng = random.Random(5)
     texts = [*ODD, *(sentences_of(rng, rng.randint(3, 30)) for _ in range(20)), sentences_of(rng, 9) + "\n" + "line of text\n" * 9, "w " * 200, "## ** " * 60, "12 34 56 78 " * 30, "a\r\nb\r\n" * 40, sentences_of(rng, 8) + " é ü \n x"]
-    docs = frame(spark, texts)
+    say = lambda mark, end: "\n".join(f"{mark}{sentences_of(rng, 1)}{end} \r" for _ in range(9))
+    texts += [say("- ", ""), say("\t• ", ""), say("* ", "") + "\n" + sentences_of(rng, 4), say("", ".."), say("", "…"), " ".join(rng.choice(["of the", "in a", f"w{k}"]) for k in range(90)), sentences_of(rng, 9000)]
+    ids = [*range(len(texts))]
+    ids[-1], ids[-2] = None, None
+    docs = frame(spark, texts, ids)
     order = quality.measure_rules(docs)
     assert sorted(order) == sorted(quality.RULES)
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for o in (order, order[::-1]):
-        rows = {r.doc_id: tuple(r[c] for c in cols) for r in quality.cascade(docs, o).collect()}
-        assert rows == {i: plain_quality(t) for i, t in enumerate(texts)}
+        rows = sorted(((r.doc_id, *(r[c] for c in cols)) for r in quality.cascade(docs, o).collect()), key=str)
+        assert rows == sorted(((i, *plain_quality(t)) for i, t in zip(ids, texts, strict=True)), key=str)
+    assert quality.cascade(docs.limit(0), quality.measure_rules(docs.limit(0))).count() == 0
+    for name in ("bullets", "ellipses", "top_pair", "top_word", "alpha_words"):
+        assert quality.cascade(docs, [name]).where(F.col("rejected_by") == name).count() > 0
     stopped = quality.cascade(docs, order).where("rejected_by = 'base'").collect()
     assert stopped and all(r.rules_run == 0 for r in stopped)
 
