@@ -241,7 +241,7 @@ def test_quality(spark):
     rng = random.Random(5)
     texts = [*ODD, *(sentences_of(rng, rng.randint(3, 30)) for _ in range(20)), sentences_of(rng, 9) + "\n" + "line of text\n" * 9, "w " * 200, "## ** " * 60, "12 34 56 78 " * 30, "a\r\nb\r\n" * 40, sentences_of(rng, 8) + " é ü \n x"]
     say = lambda mark, end: "\n".join(f"{mark}{sentences_of(rng, 1)}{end} \r" for _ in range(9))
-    texts += [say("- ", ""), say("\t• ", ""), say("* ", "") + "\n" + sentences_of(rng, 4), say("", ".."), say("", "…"), " ".join(rng.choice(["of the", "in a", f"w{k}"]) for k in range(90)), sentences_of(rng, 9000)]
+    texts += [say("- ", ""), say("\t• ", ""), say("* ", "") + "\n" + sentences_of(rng, 4), say("", ".."), say("", "…"), " ".join(f"of the w{k}" for k in range(40)), " ".join(f"{k} {7 * k + 1000}" for k in range(60)), sentences_of(rng, 9000)]
     ids = [*range(len(texts))]
     ids[-1], ids[-2] = None, None
     docs = frame(spark, texts, ids)
