@@ -1,5 +1,9 @@
 """The positional inverted index: four tables, built by one pass over the documents.
 
+Documents are dealt by id, so a document's tokens are grouped by term where they are split; the one exchange of
+postings is by range of term and document, which splits the postings of a frequent term, and leaves them sorted: a lookup
+of terms skips what it can't be in, kept or stored, and storing needs no further exchange.
+
 docs (doc_id, path, name); tokens (doc_id, pos, term), not stored; postings (term, doc_id, tf,
 positions), one row for each term of a document, so no row grows beyond a document;
 vocab (term, rev_term, df, cf), each term once.
@@ -30,10 +34,28 @@ def tokenize(docs: DataFrame) -> DataFrame:
 
 
 def make_postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions). A document's tokens come from one task, which adds them up before the shuffle."""
+    """(term, doc_id, tf, positions). Where documents are dealt by id, this needs no exchange."""
     return tokens.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "doc_id", F.size("positions").alias("tf"), "positions")
 
 
+def sorted_by_term(postings: DataFrame) -> DataFrame:
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+def terms_of_segment(docs: DataFrame) -> int:
+    """A fifth of the mean bytes of the first, middle and last document by id."""
+    sized = ranked(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "doc_id", "rank")
+    n = sized.count()
+    rows = {r["rank"]: r.bytes for r in sized.where(F.col("rank").isin(0, n // 2, n - 1)).collect()}
+    return (rows[0] + rows[n - 1] + rows[n // 2]) // 3 // 5 if rows else 0
+
+
+def segments(ranks: DataFrame, size: int) -> DataFrame:
+    """(segment, term): a segment is closed by the term that brings its count beyond size; the first has one term more."""
+    return ranks.select(F.floor(F.greatest(F.col("rank") - 1, F.lit(0)) / (size + 1)).alias("segment"), "term")
+
+
 def make_vocab(postings: DataFrame) -> DataFrame:
     """(term, rev_term, df, cf)."""
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf")).select("term", F.reverse("term").alias("rev_term"), "df", "cf")
@@ -48,13 +70,20 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame) -> Index:
-        """From (doc_id, path, name, text). Postings and vocab are kept once computed, on disk where memory is short."""
+        """From (doc_id, path, name, text). Postings and vocab are kept, on disk where memory is short, until release()."""
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if docs.rdd.getNumPartitions() < n:  # one large file would be one task
-            docs = docs.repartition(n)
-        postings = make_postings(tokenize(docs)).persist()
+        # Finding the ranges reads the postings once more than dealing them out, so they are kept for both.
+        grouped = make_postings(tokenize(docs.select("doc_id", "text").repartition(n, "doc_id"))).persist()
+        postings = sorted_by_term(grouped).persist()
+        postings.count()
+        grouped.unpersist()
         return cls(docs.select("doc_id", "path", "name"), postings, make_vocab(postings).persist())
 
+    def release(self) -> None:
+        """Gives up what build() kept."""
+        self.postings.unpersist()
+        self.vocab.unpersist()
+
     @classmethod
     def build_library(cls, spark: SparkSession, root: str) -> Index:
         """From the files of a folder."""
@@ -63,7 +92,7 @@ class Index:
     def save(self, path: str) -> None:
         """Stores the index, postings and both vocabularies sorted so that lookups skip row groups."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
         self.vocab.repartitionByRange("rev_term").sortWithinPartitions("rev_term").write.mode("overwrite").parquet(f"{path}/vocab_by_rev")
 

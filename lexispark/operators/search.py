@@ -17,10 +17,14 @@ from .index import Index, IndexNotBuiltError
 
 
 def near(a: Column, b: Column, k: int) -> Column:
-    """Whether two ascending position arrays have members at most k apart."""
-    if k <= 8:  # linear in the positions
-        return F.arrays_overlap(F.flatten(F.transform(a, lambda x: F.sequence(x - k, x + k))), b)
-    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= k))
+    """Whether two position arrays have members at most k apart: in the merged order the nearest two stand side by side."""
+    merged = F.array_sort(F.concat(F.transform(a, lambda x: x.cast("long") * 2), F.transform(b, lambda y: y.cast("long") * 2 + 1)))
+    pairs = lambda m: F.exists(F.sequence(F.lit(1), F.size(m) - 1), lambda i: _side_by_side(F.get(m, i - 1), F.get(m, i), k))
+    return F.get(F.transform(F.array(merged), pairs), 0)  # through an array of one, the merged order is made once
+
+
+def _side_by_side(x: Column, y: Column, k: int) -> Column:
+    return (x.bitwiseAND(1) != y.bitwiseAND(1)) & (F.shiftright(y, 1) - F.shiftright(x, 1) <= k)
 
 
 class Searcher:
@@ -83,18 +87,19 @@ class Searcher:
         has = self.index.postings.select("term", "doc_id").join(matched, "term").groupBy("doc_id").agg(*(F.bool_or(f).alias(f"w{i}") for i, f in enumerate(flags)))
         if combine == "all":
             return self._named(has.where(reduce(and_, flags)))
-        if len(words) > 1:
-            has = has.persist()
-        empty = lambda v: not has.where(v).limit(1).count()
-        valid, nothing = flags[0], False
-        for i, (w, flag) in enumerate(zip(words, flags, strict=True)):
-            if i:
-                valid = flag if w.star and nothing else valid & flag
-            if i + 1 < len(words) and (w.star or words[i + 1].star):
-                nothing = empty(valid)
-                if w.star and nothing:
+        # Whatever the fold does, what is valid at word i are the documents of the words from some word s to i. One row
+        # says of each such stretch whether it has any.
+        stretch = lambda s, i: reduce(and_, flags[s : i + 1])
+        some = has.agg(*(F.coalesce(F.bool_or(stretch(s, i)), F.lit(False)).alias(f"s{s}_{i}") for i in range(len(words)) for s in range(i + 1))).first() if len(words) > 1 else None
+        start, nothing = 0, False
+        for i, w in enumerate(words):
+            if i and w.star and nothing:
+                start = i
+            if some is not None:
+                nothing = not some[f"s{start}_{i}"]
+                if w.star and nothing and i + 1 < len(words):
                     return self._none()
-        return self._named(has.where(valid))
+        return self._named(has.where(stretch(start, len(words) - 1)))
 
     @staticmethod
     def _matches(w: parse.Word) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import codec, text
 from .operators import gaps
-from .operators.index import Index, tokenize
+from .operators.index import Index, segments, terms_of_segment, tokenize
 from .operators.search import Searcher
-from .sources.library import from_table, ranked
+from .sources.library import from_table, ranked, read_library, shared_folder
 
 _indexes: dict[tuple[str, str], Index] = {}
 
@@ -88,6 +87,26 @@ def doc_name(spark, sf_dir):
     return index(spark, sf_dir).docs.select("doc_id", "name")
 
 
+@query("SELECT page_id AS doc_id, url AS path, list_extract(string_split(url, '/'), -1) AS name FROM pages")
+def doc_path(spark, sf_dir):
+    """Paths and base names, of a corpus whose documents have some."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return from_table(pages, "page_id", "html", "url").select("doc_id", "path", "name")
+
+
+@query("SELECT row_number() OVER (ORDER BY f) - 1 AS doc_id, f AS name, CAST(chars AS BIGINT) AS chars FROM (SELECT 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS f, sum(length(text) + 1) AS chars FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) GROUP BY 1)")
+def folder_scan(spark, sf_dir):
+    """A folder of text files, one a language, written and scanned: ids follow the paths."""
+    folder = f"{shared_folder(spark)}/folder-{os.urandom(8).hex()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and not contains(text, chr(13))")
+    docs.select("lang", "text").write.partitionBy("lang").text(folder)
+    found = read_library(spark, folder).select(F.element_at(F.split("path", "/"), -2).alias("name"), F.length("text").alias("n"))
+    found = ranked(found.groupBy("name").agg(F.sum("n").cast("long").alias("chars")), "name", "doc_id").select("doc_id", "name", "chars").persist()
+    found.count()
+    Index.delete(spark, folder)
+    return found
+
+
 # Text functions
 
 
@@ -201,20 +220,11 @@ def doc_gaps(spark, sf_dir):
     return _doc_gaps(spark, sf_dir)
 
 
-_POS_GAPS = "pg AS (SELECT term, doc_id, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS gap, pos FROM tokens WHERE term = 'the')"
-
-
-@query(sql("SELECT doc_id, string_agg(CAST(gap AS VARCHAR), ' ' ORDER BY pos) AS gaps FROM pg GROUP BY doc_id", _POS_GAPS))
-def pos_gaps(spark, sf_dir):
-    return index(spark, sf_dir).get_term_data("the").select("doc_id", F.array_join(F.transform(codec.gaps(F.col("positions")), lambda x: x.cast("string")), " ").alias("gaps"))
-
-
 _ALL_POS_GAPS = "apg AS (SELECT term, doc_id, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS gap, pos FROM tokens)"
 
 
 @query(sql("SELECT term, doc_id, string_agg(CAST(gap AS VARCHAR), ' ' ORDER BY pos) AS gaps FROM apg GROUP BY term, doc_id", _ALL_POS_GAPS))
-def pos_gaps_all(spark, sf_dir):
-    """pos_gaps over the postings of all terms."""
+def pos_gaps(spark, sf_dir):
     return index(spark, sf_dir).postings.select("term", "doc_id", F.array_join(F.transform(codec.gaps(F.col("positions")), lambda x: x.cast("string")), " ").alias("gaps"))
 
 
@@ -224,18 +234,6 @@ def gap_decode(spark, sf_dir):
 
 
 _SIZE = "CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END"
-# Numbers of one to five bytes: a cube below 2 ** 35 from every id.
-_NUMBERS = "n AS (SELECT DISTINCT CAST(k * k * k AS BIGINT) AS n FROM (SELECT doc_id % 3251 AS k FROM documents))"
-
-
-def _numbers(spark, sf_dir) -> DataFrame:
-    k = F.col("doc_id") % 3251
-    return corpus(spark, sf_dir).select((k * k * k).alias("n")).distinct()
-
-
-@query(f"WITH {_NUMBERS} SELECT n, {_SIZE} AS bytes FROM n")
-def vlc_size(spark, sf_dir):
-    return _numbers(spark, sf_dir).select("n", codec.vlc_size(F.col("n")).alias("bytes"))
 
 
 def _duck_hex() -> str:
@@ -243,16 +241,6 @@ def _duck_hex() -> str:
     return " || ".join(f"CASE WHEN {_SIZE} > {k} THEN {byte(k)} ELSE '' END" for k in (4, 3, 2, 1, 0))
 
 
-@query(f"WITH {_NUMBERS} SELECT n, {_duck_hex()} AS code FROM n")
-def vlc_hex(spark, sf_dir):
-    return _numbers(spark, sf_dir).select("n", codec.vlc_hex(F.col("n")).alias("code"))
-
-
-@query(f"WITH {_NUMBERS} SELECT n, n AS decoded FROM n")
-def vlc_roundtrip(spark, sf_dir):
-    return _numbers(spark, sf_dir).select("n", codec.vlc_decode(codec.vlc_hex(F.col("n"))).alias("decoded"))
-
-
 # What an index encodes: the document gaps, frequencies and position gaps of all postings.
 _CODED = "n AS (SELECT CAST(gap AS BIGINT) AS n FROM g UNION SELECT CAST(tf AS BIGINT) FROM postings UNION SELECT CAST(gap AS BIGINT) FROM apg)"
 
@@ -264,28 +252,43 @@ def _coded(spark, sf_dir) -> DataFrame:
 
 
 @query(sql(f"SELECT n, {_SIZE} AS bytes FROM n", _GAPS, _ALL_POS_GAPS, _CODED))
-def vlc_size_all(spark, sf_dir):
+def vlc_size(spark, sf_dir):
     return _coded(spark, sf_dir).select("n", codec.vlc_size(F.col("n")).alias("bytes"))
 
 
 @query(sql(f"SELECT n, {_duck_hex()} AS code FROM n", _GAPS, _ALL_POS_GAPS, _CODED))
-def vlc_hex_all(spark, sf_dir):
+def vlc_hex(spark, sf_dir):
     return _coded(spark, sf_dir).select("n", codec.vlc_hex(F.col("n")).alias("code"))
 
 
 @query(sql("SELECT n, n AS decoded FROM n", _GAPS, _ALL_POS_GAPS, _CODED))
-def vlc_roundtrip_all(spark, sf_dir):
+def vlc_roundtrip(spark, sf_dir):
     return _coded(spark, sf_dir).select("n", codec.vlc_decode(codec.vlc_hex(F.col("n"))).alias("decoded"))
 
 
-@query(sql(f"SELECT term, CAST(sum({_SIZE}) AS BIGINT) AS bytes FROM (SELECT term, gap AS n FROM g) GROUP BY term", _GAPS))
+_BYTES = f"""SELECT term, CAST(4 + sum(bytes) AS BIGINT) AS bytes FROM (
+SELECT term, sum({_SIZE}) AS bytes FROM (SELECT term, gap AS n FROM g) GROUP BY term UNION ALL
+SELECT term, sum({_SIZE}) FROM (SELECT term, tf AS n FROM postings) GROUP BY term UNION ALL
+SELECT term, sum({_SIZE}) FROM (SELECT term, gap AS n FROM apg) GROUP BY term) GROUP BY term"""
+
+
+@query(sql(_BYTES, _GAPS, _ALL_POS_GAPS))
 def index_bytes(spark, sf_dir):
-    return _doc_gaps(spark, sf_dir).groupBy("term").agg(F.sum(codec.vlc_size(F.col("gap"))).alias("bytes"))
+    """Bytes of a term's postings, coded: four for its number of documents, then document gaps, frequencies and position gaps."""
+    size = lambda n: codec.vlc_size(n).cast("long")
+    places = F.aggregate(codec.gaps(F.col("positions")), F.lit(0).cast("long"), lambda a, x: a + size(x))
+    inner = index(spark, sf_dir).postings.groupBy("term").agg(F.sum(size(F.col("tf")) + places).alias("bytes"))
+    gap = _doc_gaps(spark, sf_dir).groupBy("term").agg(F.sum(size(F.col("gap"))).alias("bytes"))
+    return inner.unionAll(gap).groupBy("term").agg((F.sum("bytes") + 4).alias("bytes"))
 
 
-@query(sql("SELECT (row_number() OVER (ORDER BY term) - 1) // 1000 AS segment, term FROM vocab"))
+_SEGMENT = """SELECT CAST(greatest(row_number() OVER (ORDER BY term) - 2, 0) // (1 + (SELECT CAST(sum(b) AS BIGINT) // 3 // 5 FROM (
+SELECT strlen(coalesce(text, '')) AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), unnest([0, n // 2, n - 1]) AS x(k) WHERE i = k)) AS BIGINT) AS segment, term FROM vocab"""
+
+
+@query(sql(_SEGMENT))
 def segment_cut(spark, sf_dir):
-    return index(spark, sf_dir).ranks().select(F.floor(F.col("rank") / 1000).alias("segment"), "term")
+    return segments(index(spark, sf_dir).ranks(), terms_of_segment(corpus(spark, sf_dir)))
 
 
 # Query modes
@@ -339,13 +342,16 @@ _count("joker_bad_grammar", "joker", "*th*")
 
 @query(sql("SELECT term, df, cf, (SELECT count(*) FROM postings) AS n_postings, (SELECT count(*) FROM documents) AS n_docs FROM vocab"))
 def save_load_roundtrip(spark, sf_dir):
-    """Stored, found, loaded, and deleted once the result is taken."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="index-")
-    path = f"{shared.rstrip('/')}/index-{os.urandom(8).hex()}"
+    """Stored, found, loaded, and deleted once its rows are kept."""
+    path = f"{shared_folder(spark)}/index-{os.urandom(8).hex()}"
     index(spark, sf_dir).save(path)
     if not Index.present(spark, path):
         raise RuntimeError("the stored index is not whole")
     stored = Index.load(spark, path)
     counts = F.lit(stored.postings.count()).alias("n_postings"), F.lit(stored.docs.count()).alias("n_docs")
-    return stored.vocab.select("term", "df", "cf", *(c.cast("long").alias(n) for c, n in zip(counts, ("n_postings", "n_docs"), strict=True)))
-
+    out = stored.vocab.select("term", "df", "cf", *(c.cast("long").alias(n) for c, n in zip(counts, ("n_postings", "n_docs"), strict=True))).persist()
+    out.count()
+    Index.delete(spark, path)
+    if Index.present(spark, path):
+        raise RuntimeError("the index is still there")
+    return out

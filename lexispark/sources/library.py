@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine a temporary one if it is unset, on a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="index-")
+
+
 def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     """df with a number from 0 in the order of a unique column, without sorting in one task.
 
@@ -38,7 +50,8 @@ def read_library(spark: SparkSession, root: str) -> DataFrame:
     return ranked(files, "path", "doc_id").select("doc_id", "path", F.element_at(F.split("path", "/"), -1).alias("name"), "text")
 
 
-def from_table(table: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The same of a table, whose ids are kept; the name is `doc` and the id."""
-    name = F.concat(F.lit("doc"), F.col(id_column).cast("string"))
-    return table.select(F.col(id_column).cast("long").alias("doc_id"), name.alias("path"), name.alias("name"), F.col(text_column).alias("text"))
+def from_table(table: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = None) -> DataFrame:
+    """The same of a table, whose ids are kept; without a column of paths the path is `doc` and the id. The name is the path's last part."""
+    path = F.col(path_column) if path_column else F.concat(F.lit("doc"), F.col(id_column).cast("string"))
+    named = table.select(F.col(id_column).cast("long").alias("doc_id"), path.alias("path"), F.col(text_column).alias("text"))
+    return named.select("doc_id", "path", F.element_at(F.split("path", "/"), -1).alias("name"), "text")

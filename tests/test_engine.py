@@ -176,7 +176,7 @@ def test_codec_queries_take_all_postings(spark, tmp_path):
 
     texts = ["b a b c b", "a", "c c a", "d"]
     spark.createDataFrame(list(zip([1, 2, 3, 2**28], texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.term, r.doc_id): r.gaps for r in QUERIES["pos_gaps_all"](spark, str(tmp_path)).collect()}
+    got = {(r.term, r.doc_id): r.gaps for r in QUERIES["pos_gaps"](spark, str(tmp_path)).collect()}
     want, numbers = {}, set()
     for i, t in zip([1, 2, 3, 2**28], texts, strict=True):
         for w in set(t.split()):
@@ -186,6 +186,51 @@ def test_codec_queries_take_all_postings(spark, tmp_path):
             ids = [j for j, u in zip([1, 2, 3, 2**28], texts, strict=True) if w in u.split()]
             numbers |= {*step, len(at), i - max([0, *(j for j in ids if j < i)])}
     assert got == want
-    assert {r.n for r in QUERIES["vlc_size_all"](spark, str(tmp_path)).collect()} == numbers
-    assert {(r.n, r.decoded) for r in QUERIES["vlc_roundtrip_all"](spark, str(tmp_path)).collect()} == {(n, n) for n in numbers}
-    assert {r.n: r.code for r in QUERIES["vlc_hex_all"](spark, str(tmp_path)).collect()}[2**28] == "01000000" + "80"
+    assert {r.n for r in QUERIES["vlc_size"](spark, str(tmp_path)).collect()} == numbers
+    assert {(r.n, r.decoded) for r in QUERIES["vlc_roundtrip"](spark, str(tmp_path)).collect()} == {(n, n) for n in numbers}
+    assert {r.n: r.code for r in QUERIES["vlc_hex"](spark, str(tmp_path)).collect()}[2**28] == "01000000" + "80"
+
+
+@pytest.mark.parametrize("k", [0, 1, 9, 40])
+def test_near(spark, k):
+    import random
+
+    from lexispark.operators.search import near
+
+    rng = random.Random(k)
+    rows = [(sorted(rng.sample(range(300), rng.randint(1, 9))), sorted(rng.sample(range(300), rng.randint(1, 9)))) for _ in range(60)] + [([5], [5]), ([0], [300])]
+    got = spark.createDataFrame(rows, "a array<int>, b array<int>").select("a", "b", near(F.col("a"), F.col("b"), k).alias("n")).collect()
+    assert all(r.n == any(abs(x - y) <= k for x in r.a for y in r.b) for r in got)
+
+
+def test_segments(spark):
+    from lexispark.operators.index import segments, terms_of_segment
+
+    docs = spark.createDataFrame([(3, "x" * 30), (1, "x" * 20), (2, None), (9, "x" * 40)], "doc_id long, text string")
+    assert terms_of_segment(docs) == (20 + 30 + 40) // 3 // 5
+    assert terms_of_segment(docs.limit(0)) == 0
+    ranks = spark.createDataFrame([(f"t{i:02}", i) for i in range(12)], "term string, rank long")
+    assert [r.segment for r in segments(ranks, 3).orderBy("term").collect()] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
+
+
+def test_paths_and_plans(spark, index):
+    assert index.doc_name(0).startswith("test") and index.doc_path(0).endswith(index.doc_name(0)) and index.doc_path(99) is None
+    plan = index.postings.where(F.col("term") == "pen")._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and "rangepartitioning(term" in plan and "hashpartitioning(term" not in plan
+    named = Searcher(index).boolean("fell AND already")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in named.split("InMemoryRelation")[0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexispark.__main__ import main
+
+    (tmp_path / "library").mkdir()
+    for name, words in (("a.txt", "pen apple"), ("b.txt", "pen word")):
+        (tmp_path / "library" / name).write_text(words)
+    path = f"file://{tmp_path}/stored"
+    assert main(["build", str(tmp_path / "library"), path], spark) == 0 and capsys.readouterr().out == "2 documents, 3 terms\n"
+    assert main(["search", path, "boolean", "pen AND NOT word"], spark) == 0 and capsys.readouterr().out == "a.txt\n"
+    assert main(["search", path, "joker", "w*"], spark) == 0 and capsys.readouterr().out == "b.txt\n"
+    for wrong in (["search", path, "boolean", "pen $"], ["search", path, "other", "pen"], ["search", f"{path}2", "boolean", "pen"], ["build", f"{tmp_path}/none", path], ["launch"]):
+        assert main(wrong, spark) == 2 and capsys.readouterr().err
+    assert main(["delete", path], spark) == 0 and main(["delete", path], spark) == 2
