@@ -17,7 +17,10 @@ from .index import Index, IndexNotBuiltError
 
 
 def near(a: Column, b: Column, k: int) -> Column:
-    """Whether two position arrays have members at most k apart: in the merged order the nearest two stand side by side."""
+    """Whether two position arrays have members at most k apart: in the merged order the nearest two stand side by side.
+    Small distances are spelled out instead, which takes no sorting."""
+    if k <= 8:
+        return F.arrays_overlap(F.flatten(F.transform(a, lambda x: F.sequence(x - k, x + k))), b)
     merged = F.array_sort(F.concat(F.transform(a, lambda x: x.cast("long") * 2), F.transform(b, lambda y: y.cast("long") * 2 + 1)))
     pairs = lambda m: F.exists(F.sequence(F.lit(1), F.size(m) - 1), lambda i: _side_by_side(F.get(m, i - 1), F.get(m, i), k))
     return F.get(F.transform(F.array(merged), pairs), 0)  # through an array of one, the merged order is made once
