@@ -1,15 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and kept as sorted hash arrays.
 
 Files in the shared folder, which workers map into memory: for each range of word hashes the
-sorted hashes and counts (a word's id is its rank); for each range of pair hashes the sorted
-hashes and counts of pairs; for each range of ids what Kneser-Ney needs of a word as context
-(total, followers seen once, twice, more) and as continuation (distinct predecessors).
-All dealing is by hash, so a frequent word or context does not load one task; counts are
+sorted hashes and counts (a word's id is its rank); for each length of n-gram from 2 to the order
+and each range of their hashes, buckets of sorted 32-bit hashes (which buckets the high half
+deals out) and a code for the numbers of each; for each range of ids those of single words. The
+numbers are what Kneser-Ney needs of an n-gram: how often it stands (the longest) or how many
+words come before it (shorter ones), and as context its total and followers seen once, twice, more.
+All dealing is by hash of the n-gram, so a frequent word or context does not load one task; counts are
 added up in each task before they are sent.
 
-Tokens of a text are its words, A-Z lower-cased, then one end; the first word's context is a
-start mark. p(w|u) = max(c(u,w) - D, 0) / c(u) + gamma(u) p1(w), where p1 is the same over
-distinct predecessors, interpolated with 1 / (V + 1). A context never seen gives p1(w).
+Tokens of a text are its words, A-Z lower-cased, then one end; before the first word stand start
+marks, one less than the order. p_k(w|u) = max(c(u,w) - D, 0) / c(u) + gamma(u) p_(k-1)(w|u
+without its first), where c counts occurrences in the longest n-grams and distinct predecessors
+in shorter ones; p_1 is interpolated with 1 / (V + 1). A context never seen gives the shorter one's p.
+
+Two n-grams of a range are taken for one if their hashes agree in 32 bits and in the bucket, of 16
+entries on average: 4 in a billion look-ups, at any size.
 
 Defined cases: a null or empty text is the single token end. A null doc_id is never held out.
 With nothing to learn from, V and N are 0, every token has probability 1 and scores are 0.
@@ -19,7 +25,7 @@ as they stand. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +37,10 @@ from .shards import Packer, Scratch, by_range, deal, n_shards, put_file, table,
 from .textblock import LOWER, U64, TextBlock, blocks, mix, runs
 
 END, START = U64(0x1B873593CC9E2D51), U64(0x85EBCA6B27D4EB2F)
-TOTALS = U64(2**64 - 1)
+#: Bytes of input files for a shard, and entries of a bucket on average.
+SHARD_BYTES, BUCKET = 16 << 20, 16
 _CTX = np.dtype([("c", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
+_NUMBERS = ["<u8", "<u4", "<u4", "<u4", "<u4"]
 
 
 def fold_sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -48,13 +56,34 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(mix(u) * U64(0x9E3779B97F4A7C15) + w)
 
 
-def fold_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort((w, u))
-    u, w, c = u[order], w[order], c[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    return [u[at], w[at], np.add.reduceat(c.astype(np.uint64), at) if len(at) else c]
+def gram_key(ids: list[np.ndarray]) -> np.ndarray:
+    key = ids[0].astype(np.uint64)
+    for x in ids[1:]:
+        key = pair_key(key, x.astype(np.uint64))
+    return key
+
+
+def fold_grams(ids: list[np.ndarray], values: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Adds up the values of equal n-grams of ids of so many bits; n-grams come out sorted."""
+    packed = []
+    for at in range(0, len(ids), 64 // bits):
+        word = ids[at].astype(np.uint64)
+        for x in ids[at + 1 : at + 64 // bits]:
+            word = (word << U64(bits)) | x
+        packed.append(word)
+    order = np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
+    at = starts(packed, order)
+    return [x[order[at]] for x in ids], [np.add.reduceat(v[order], at, dtype=np.uint64) if len(at) else v for v in values]
+
+
+def starts(columns: list[np.ndarray], order: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Where rows differ from those before, in this order."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,15 +135,90 @@ def mapped(path: str, dtype) -> np.ndarray:
         return np.zeros(0, dtype)
 
 
+def buckets(keys: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Which of the m buckets of its range each key is in."""
+    return ((((keys >> U64(32)) * U64(n)) & U64(0xFFFFFFFF)) * U64(m)) >> U64(32)
+
+
+def put_grams(path: str, keys: np.ndarray, n: int, values: list[np.ndarray]) -> None:
+    """Writes a range's n-grams: sizes, the distinct rows of values, where buckets start, hashes, codes of rows."""
+    m = max(len(keys) // BUCKET, 1)
+    place = (buckets(keys, n, m) << U64(32)) | (keys & U64(0xFFFFFFFF))
+    order = np.argsort(place)
+    place = place[order]
+    row = gram_key(values)
+    _, first, code = np.unique(row, return_index=True, return_inverse=True)
+    rows = np.stack([v[first].astype("<u8") for v in values], axis=1)
+    width = next(w for w in (1, 2, 4) if len(first) <= 1 << (8 * w))
+    at = np.searchsorted(place, np.arange(m + 1, dtype=np.uint64) << U64(32)).astype("<u4")
+    parts = [np.array([len(keys), m, len(first), width], "<u8"), rows, at, place.astype("<u4"), code[order].astype(f"<u{width}")]
+
+    def write(f) -> None:
+        for x in parts:
+            f.write(x.tobytes())
+
+    put_file(path, write)
+
+
+class Grams:
+    """Files of put_grams, one for each range of keys; opened as needed."""
+
+    def __init__(self, folder: str, name: str, n: int, columns: int):
+        self.folder, self.name, self.n, self.columns = folder, name, n, columns
+        self._open: dict[int, tuple] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def shard(self, i: int) -> tuple:
+        if i not in self._open:
+            if len(self._open) > 4096:
+                self._open.clear()
+            self._open[i] = self._parts(mapped(f"{self.folder}/{self.name}{i}", np.uint8))
+        return self._open[i]
+
+    def _parts(self, raw: np.ndarray) -> tuple:
+        if not len(raw):
+            return ()
+        size, m, rows, width = (int(x) for x in raw[:32].view("<u8"))
+        cuts = np.cumsum([32, 8 * rows * self.columns, 4 * (m + 1), 4 * size, width * size])
+        table, at, low, code = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        return np.array(table.view("<u8").reshape(rows, self.columns)), at.view("<u4"), low.view("<u4"), code.view(f"<u{width}")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of values of the keys; zeros for those that are not there."""
+        ask, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(ask), self.columns), np.uint64)
+        cuts = np.searchsorted(by_range(ask, self.n), np.arange(self.n + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            found = self.shard(int(i))
+            if found:
+                out[cuts[i] : cuts[i + 1]] = self._look_up(ask[cuts[i] : cuts[i + 1]], *found)
+        return out[back]
+
+    def _look_up(self, keys: np.ndarray, rows: np.ndarray, at: np.ndarray, low: np.ndarray, code: np.ndarray) -> np.ndarray:
+        b = buckets(keys, self.n, len(at) - 1).astype(np.int64)
+        want, lo, end = keys.astype(np.uint32), at[b].astype(np.int64), at[b + 1].astype(np.int64)
+        hi = end
+        while (live := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = low[np.minimum(mid, len(low) - 1)] < want
+            lo, hi = np.where(live & less, mid + 1, lo), np.where(live & ~less, mid, hi)
+        place = np.minimum(lo, len(low) - 1)
+        hit = (lo < end) & (low[place] == want)
+        return np.where(hit[:, None], rows[code[place]], U64(0))
+
+
 @dataclass
 class Model:
+    order: int
     words: Sorted
-    pairs: Sorted
+    grams: dict[int, Grams]  # by length, 2 to the order
     n: int
     offsets: np.ndarray  # id of the first word of each range
     vocabulary: int
     train_tokens: int
-    discounts: tuple[list[float], list[float]] = ((), ())  # of pairs, of continuations
+    discounts: dict[int, list[float]] = field(default_factory=dict)  # by length of n-gram
     predecessors: int = 0
     fresh: float = 0.0  # weight of the uniform distribution in p1
     _ctx: dict = field(default_factory=dict)
@@ -138,6 +242,14 @@ class Model:
             out[mine[ok]] = self._ctx[i][at[ok]]
         return out
 
+    def numbers(self, gram: list[np.ndarray]) -> np.ndarray:
+        """What is kept of n-grams of ids, a row each; zeros where there is nothing."""
+        if len(gram) > 1:
+            return self.grams[len(gram)].find(gram_key(gram)).astype(np.float64)
+        ids, back = np.unique(gram[0], return_inverse=True)
+        found = self.context(ids)
+        return np.stack([found[x].astype(np.float64) for x in _CTX.names], axis=1)[back]
+
     def __getstate__(self):
         return self.__dict__ | {"_ctx": {}}
 
@@ -159,14 +271,16 @@ def discount(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
 
-def train(docs: DataFrame, scratch: Scratch) -> Model:
-    """Counts the texts of docs and writes the model's files."""
-    spark = docs.sparkSession
-    n, folder, docs = n_shards(docs), scratch.folder("knlm"), docs.select("text")
+def train(docs: DataFrame, scratch: Scratch, order: int = 3) -> Model:
+    """Counts the texts of docs and writes the model's files; order is the length of the longest n-grams, 2 or more."""
+    if order < 2:
+        raise ValueError("the order of the model must be 2 or more")
+    n, folder, docs = n_shards(docs, SHARD_BYTES), scratch.folder("knlm"), docs.select("text")
+    lengths = range(2, order + 1)
 
     for i in range(n):  # a range without entries keeps its empty files
-        for x in ("w{}.key", "w{}.val", "p{}.key", "p{}.val", "ctx{}.val"):
-            put_file(f"{folder}/{x.format(i)}", lambda f: None)
+        for x in (f"w{i}.key", f"w{i}.val", f"ctx{i}.val", *(f"g{k}_{i}" for k in lengths)):
+            put_file(f"{folder}/{x}", lambda f: None)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(n, ["<u8", "<u8"], fold=fold_sums, shard_of=lambda a: by_range(a[0], n))
@@ -188,101 +302,139 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     for r in found:
         sizes[r.shard] = r.n
     vocabulary, total = int(sizes.sum()), sum(r.total for r in found)
-    model = Model(Sorted(folder, "w", n, "<u8"), Sorted(folder, "p", n, "<u4"), n, np.cumsum(sizes) - sizes, vocabulary, total)
+    grams = {k: Grams(folder, f"g{k}_", n, 1 if k == order else len(_NUMBERS)) for k in lengths}
+    model = Model(order, Sorted(folder, "w", n, "<u8"), grams, n, np.cumsum(sizes) - sizes, vocabulary, total)
     if not vocabulary:
         return model
     size = id_range(vocabulary, n)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(n, ["<u8", "<u8", "<u4"], limit=3_000_000, fold=fold_pairs, shard_of=lambda a: by_range(pair_key(a[0], a[1]), n))
-        for _, block in blocks(batches, table=LOWER):
-            u, w, _ = id_pairs(block, model)
-            yield from packer.add(*fold_pairs(u, w, np.ones(len(u), np.uint32)))
-        yield from packer.flush()
+    #: Ids from here on, one for each length, stand for the numbers of n-grams seen once to four times.
+    totals = vocabulary + 2
+    bits = (totals + order + 1).bit_length()
+    id_type = "<u4" if bits <= 32 else "<u8"
+
+    def packer(k: int, values: list[str], fold: Callable | None = None) -> Packer:
+        """Deals n-grams by hash, single words by range."""
+        shard_of = (lambda a: by_range(gram_key(a[:k]), n)) if k > 1 else (lambda a: np.minimum(a[0].astype(np.uint64) // U64(size), U64(n - 1)))
+        return Packer(n, [id_type] * k + values, limit=2_000_000, fold=fold, shard_of=shard_of, squeeze=True)
 
-    def keep_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, w, c = fold_pairs(*unpack(batches, ["<u8", "<u8", "<u4"]))
-        if not len(u):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = lambda *a: sum(fold_grams(a[:order], a[order:], bits), [])
+        out = packer(order, ["<u4"], fold)
+        for _, block in blocks(batches, table=LOWER):
+            ids = [x.astype(id_type) for x in id_grams(block, model)[0]]
+            yield from out.add(*fold(*ids, np.ones(len(ids[0]), np.uint32)))
+        yield from out.flush()
+
+    def shorter(ids: list[np.ndarray], c: np.ndarray, out: Packer) -> Iterator[pa.RecordBatch]:
+        """What sorted n-grams with these counts tell of their contexts and of what is left without their first words."""
+        k = len(ids)
+        if not len(c):
             return
-        keys = pair_key(u, w)
-        order = np.argsort(keys)
-        shard = int(by_range(keys[:1], n)[0])
-        put_file(f"{folder}/p{shard}.key", lambda f: f.write(keys[order].tobytes()))
-        put_file(f"{folder}/p{shard}.val", lambda f: f.write(c[order].astype("<u4").tobytes()))
-        del keys, order
-        packer = Packer(n, ["<u8", "<u8", "<u4", "<u4", "<u4", "<u4"], limit=1 << 60, shard_of=lambda a: np.minimum(a[0] // U64(size), U64(n - 1)))
-        at = runs(u)[:-1]
-        ones = [np.add.reduceat((c == k).astype(np.uint32), at) for k in (1, 2)] + [np.add.reduceat((c > 2).astype(np.uint32), at)]
-        none = np.zeros(len(at), np.uint32)
-        list(packer.add(u[at], np.add.reduceat(c.astype(np.uint64), at), *ones, none))
-        after, before = np.unique(w, return_counts=True)
-        none = np.zeros(len(after), np.uint32)
-        list(packer.add(after, none, none, none, none, before))
+        at = starts(ids[:-1])
+        seen = [np.add.reduceat((c == i).astype(np.uint32), at) for i in (1, 2)] + [np.add.reduceat((c > 2).astype(np.uint32), at)]
+        yield from out.add(*(x[at] for x in ids[:-1]), np.add.reduceat(c, at), *seen, np.zeros(len(at)))
+        rest, (before,) = fold_grams(ids[1:], [np.ones(len(c), np.uint32)], bits)
+        none = np.zeros(len(before))
+        yield from out.add(*rest, none, none, none, none, before)
         of = np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)
-        list(packer.add(np.array([TOTALS]), *(of[k : k + 1] for k in (1, 2, 3, 4)), np.zeros(1)))
-        yield from packer.flush()
+        yield from out.add(np.array([totals + k]), *[np.zeros(1)] * (k - 2), *(of[i : i + 1] for i in (1, 2, 3, 4)), np.zeros(1))
+
+    def keep_longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *ids, c = unpack(batches, [id_type] * order + ["<u4"], squeeze=True)
+        ids, (c,) = fold_grams(ids, [c], bits)
+        if len(c):
+            keys = gram_key(ids)
+            put_grams(f"{folder}/g{order}_{int(by_range(keys[:1], n)[0])}", keys, n, [c])
+            del keys
+        out = packer(order - 1, _NUMBERS)
+        yield from shorter(ids, c, out)
+        yield from out.flush()
+
+    def keep_shorter(k: int) -> Callable:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = unpack(batches, [id_type] * k + _NUMBERS, squeeze=True)
+            ids, values = fold_grams(got[:k], got[k:], bits)
+            del got
+            cut = int(np.searchsorted(ids[0], totals))
+            out = packer(k - 1, _NUMBERS)
+            if cut < len(ids[0]):
+                yield from out.add(*(x[cut:] for x in ids[:-1]), *(v[cut:] for v in values))
+            ids, values = [x[:cut] for x in ids], [v[:cut] for v in values]
+            if cut:
+                keys = gram_key(ids)
+                put_grams(f"{folder}/g{k}_{int(by_range(keys[:1], n)[0])}", keys, n, values)
+                del keys
+            some = np.flatnonzero(values[-1])
+            yield from shorter([x[some] for x in ids], values[-1][some], out)
+            yield from out.flush()
+
+        return keep
 
     def keep_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, *values = fold_sums(*unpack(batches, ["<u8", "<u8", "<u4", "<u4", "<u4", "<u4"]))
-        if not len(ids):
-            return
-        totals = [0] * 4
-        if ids[-1] == TOTALS:
-            totals = [int(v[-1]) for v in values[:4]]
-            ids, values = ids[:-1], [v[:-1] for v in values]
-        seen = [0] * 6
-        if len(ids):
+        ids, *values = fold_sums(*unpack(batches, [id_type, *_NUMBERS], squeeze=True))
+        cut = int(np.searchsorted(ids, totals))
+        found = np.zeros((order + 1, 4), np.int64)
+        for i, *of in zip(ids[cut:], *(v[cut:] for v in values[:4]), strict=True):
+            found[int(i) - totals] = of
+        seen = [0] * 2
+        if cut:
+            ids, values = ids[:cut].astype(np.int64), [v[:cut] for v in values]
             shard = int(ids[0]) // size
             out = np.zeros(size, _CTX)
             for name, v in zip(_CTX.names, values, strict=True):
-                out[name][(ids - U64(shard * size)).astype(np.int64)] = v
+                out[name][ids - shard * size] = v
             put_file(f"{folder}/ctx{shard}.val", lambda f: f.write(out.tobytes()))
             before = out["before"].astype(np.int64)
-            seen = [int(x) for x in [*np.bincount(np.minimum(before, 5), minlength=6)[1:5], (before > 2).sum(), before.sum()]]
-        yield pa.RecordBatch.from_pydict({"v": [totals + seen]})
-
-    pairs = deal(docs.mapInArrow(count_pairs, Packer.schema(3)), n, keep_pairs, Packer.schema(6))
-    rows = [r.v for r in deal(pairs, n, keep_contexts, "v array<long>").collect()]
-    t = [sum(x) for x in zip(*rows, strict=True)]
-    model.discounts = (discounts(t[:4]), discounts(t[4:8]))
-    model.predecessors = t[9]
+            found[1] = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
+            seen = [int((before > 2).sum()), int(before.sum())]
+        yield pa.RecordBatch.from_pydict({"v": [[*found.ravel().tolist(), *seen]]})
+
+    kept = deal(docs.mapInArrow(count, Packer.schema(order + 1)), n, keep_longest, Packer.schema(order - 1 + len(_NUMBERS)))
+    for k in range(order - 1, 1, -1):
+        kept = deal(kept, n, keep_shorter(k), Packer.schema(k - 1 + len(_NUMBERS)))
+    rows = [r.v for r in deal(kept, n, keep_contexts, "v array<long>").collect()]
+    *of, more, model.predecessors = [sum(x) for x in zip(*rows, strict=True)]
+    model.discounts = {k: discounts(of[4 * k : 4 * k + 4]) for k in range(1, order + 1)}
     d = model.discounts[1]
-    model.fresh = (d[0] * t[4] + d[1] * t[5] + d[2] * t[8]) / t[9]
+    model.fresh = (d[0] * of[4] + d[1] * of[5] + d[2] * more) / model.predecessors
     return model
 
 
-def id_pairs(block: TextBlock, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word ids of every token, and the count of the word."""
-    seq, _, ends = tokens(block)
+def id_grams(block: TextBlock, model: Model) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every token the ids of the n-gram that it ends, and the count of the word."""
+    seq, doc, ends = tokens(block)
     keys, back = np.unique(seq, return_inverse=True)
     ids, counts = model.ids(keys)
     w = ids[back]
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    u[np.concatenate([[0], ends[:-1] + 1])] = U64(model.vocabulary)
-    return u, w, counts[back]
+    place = np.arange(len(w)) - np.concatenate([[0], ends[:-1] + 1])[doc]
+    grams = [w]
+    for back_by in range(1, model.order):
+        u = np.full(len(w), U64(model.vocabulary))
+        inside = np.flatnonzero(place >= back_by)
+        u[inside] = w[inside - back_by]
+        grams.insert(0, u)
+    return grams, counts[back]
 
 
 def log_probs(block: TextBlock, model: Model) -> tuple[np.ndarray, ...]:
     """Text, base log10 probability, model log10 probability and whether known, of every token."""
-    u, w, count = id_pairs(block, model)
+    grams, count = id_grams(block, model)
     doc = np.repeat(np.arange(block.n), block.n_words + 1)
     base = np.log10((count + 0.1) / (model.train_tokens + 0.1 * (model.vocabulary + 1)))
     if not model.vocabulary:
-        return doc, base, np.zeros(len(w)), count > 0
-    pair = pair_key(u, w)
-    keys, first, back = np.unique(pair, return_index=True, return_inverse=True)
-    c = model.pairs.find(keys)[2].astype(np.float64)
-    ids, at = np.unique(np.concatenate([u[first], w[first]]), return_inverse=True)
-    ctx = model.context(ids)
-    of_u, of_w = ctx[at[: len(first)]], ctx[at[len(first) :]]
-    d2, d1 = model.discounts
-    before = of_w["before"].astype(np.float64)
-    p1 = np.maximum(before - discount(before, d1), 0) / model.predecessors + model.fresh / (model.vocabulary + 1)
-    total = of_u["c"].astype(np.float64)
-    some = np.maximum(total, 1)
-    gamma = (d2[0] * of_u["n1"] + d2[1] * of_u["n2"] + d2[2] * of_u["n3"]) / some
-    p = np.where(total > 0, np.maximum(c - discount(c, d2), 0) / some + gamma * p1, p1)
+        return doc, base, np.zeros(len(count)), count > 0
+    _, first, back = np.unique(gram_key(grams), return_index=True, return_inverse=True)
+    grams = [x[first] for x in grams]
+    before = model.numbers(grams[-1:])[:, 4]
+    p = np.maximum(before - discount(before, model.discounts[1]), 0) / model.predecessors + model.fresh / (model.vocabulary + 1)
+    for k in range(2, model.order + 1):
+        d, gram = model.discounts[k], grams[-k:]
+        c = model.numbers(gram)[:, 0 if k == model.order else 4]
+        total, *seen, _ = model.numbers(gram[:-1]).T
+        some = np.maximum(total, 1)
+        gamma = (d[0] * seen[0] + d[1] * seen[1] + d[2] * seen[2]) / some
+        p = np.where(total > 0, np.maximum(c - discount(c, d), 0) / some + gamma * p, p)
     return doc, base, np.log10(p)[back], count > 0
 
 

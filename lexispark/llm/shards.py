@@ -19,6 +19,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ def n_partitions(spark: SparkSession, n: int) -> int:
     return min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS))
 
 
-def n_shards(docs: DataFrame) -> int:
+def n_shards(docs: DataFrame, each: int = SHARD_BYTES) -> int:
     """As many as Spark's shuffle partitions, or more if the input is large."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // SHARD_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // each))
 
 
 def deal(df: DataFrame, n: int, work: Callable, schema: str) -> DataFrame:
@@ -114,11 +115,13 @@ class Packer:
     """Gathers parallel arrays and gives them out as rows (shard, one binary per array).
 
     The arrays of a row are sorted by the first one. fold, if given, merges equal keys of
-    what was gathered before it is given out.
+    what was gathered before it is given out. squeeze compresses what is sent by entropy, which
+    Spark's own compression of a shuffle doesn't; unpack must be told, too.
     """
 
-    def __init__(self, n: int, dtypes: list[str], limit: int = 1_000_000, fold: Callable | None = None, shard_of: Callable | None = None):
+    def __init__(self, n: int, dtypes: list[str], limit: int = 1_000_000, fold: Callable | None = None, shard_of: Callable | None = None, squeeze: bool = False):
         self.n, self.limit, self.fold = n, limit, fold
+        self.pack = zstandard.ZstdCompressor(level=1).compress if squeeze else bytes
         self.dtypes, self.widths = zip(*_types(dtypes), strict=True)
         self.shard_of = shard_of or (lambda arrays: (arrays[0] >> np.uint64(33)) % np.uint64(n))
         self.parts: list[list[np.ndarray]] = []
@@ -152,17 +155,18 @@ class Packer:
         full = np.flatnonzero(np.diff(cuts))
         cols = [pa.array(full.astype(np.int32))]
         for x, w in zip(arrays, self.widths, strict=True):
-            cols.append(pa.array([planes(x[cuts[i] : cuts[i + 1]], w) for i in full], pa.binary()))
+            cols.append(pa.array([self.pack(planes(x[cuts[i] : cuts[i + 1]], w)) for i in full], pa.binary()))
         yield pa.RecordBatch.from_arrays(cols, names=["shard", *(f"a{i}" for i in range(len(arrays)))])
 
 
-def unpack(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> list[np.ndarray]:
+def unpack(batches: Iterator[pa.RecordBatch], dtypes: list[str], squeeze: bool = False) -> list[np.ndarray]:
     """All arrays of a partition, joined."""
+    plain = zstandard.ZstdDecompressor().decompress if squeeze else lambda x: x
     parts: list[list[np.ndarray]] = [[] for _ in dtypes]
     for b in batches:
         for i, (d, w) in enumerate(_types(dtypes)):
             col = b.column(f"a{i}")
-            parts[i] += [from_planes(x.as_buffer(), d, w) for x in col if x.is_valid]
+            parts[i] += [from_planes(plain(x.as_buffer()), d, w) for x in col if x.is_valid]
     return [np.concatenate(p) if p else np.zeros(0, d) for p, (d, _) in zip(parts, _types(dtypes), strict=True)]
 
 

@@ -261,50 +261,106 @@ def test_quality(spark):
 # 3 Language model
 
 
-def plain_kn(train, tests):
+def plain_discounts(counts):
+    """Chen and Goodman's, with half of the count where counts of counts are missing."""
+    n = [sum(c == k for c in counts) for k in range(5)]
+    if not n[1] or not n[2]:
+        return [0, 0.5, 1.0, 1.5]
+    y = n[1] / (n[1] + 2 * n[2])
+    return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) if n[k] and n[k + 1] else k / 2 for k in (1, 2, 3))]
+
+
+def plain_kn(train, tests, order):
+    """By the definition, with no table but the counts of n-grams."""
+    pad = ["<s>"] * (order - 1)
     seqs = [[*WORD.findall(lower(t)), None] for t in train]
     uni = Counter(w for s in seqs for w in s)
-    pairs = Counter((u, w) for s in seqs for u, w in zip(["<s>", *s], s, strict=False))
     total, v = sum(uni.values()), len(uni)
-    before = Counter(w for _, w in pairs)
-    ctx = defaultdict(list)
-    for (u, _), c in pairs.items():
-        ctx[u].append(c)
-    d2 = knlm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    d1 = knlm.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    d = lambda c, x: [0, *x][min(c, 3)]
-    n = sum(before.values())
+    counts = {order: Counter(tuple((pad + s)[i : i + order]) for s in seqs for i in range(len(s)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = {k: plain_discounts(c.values()) for k, c in counts.items()}
+    followers = {k: defaultdict(list) for k in counts}
+    for k, found in counts.items():
+        for g, c in found.items():
+            followers[k][g[:-1]].append(c)
+
+    def p(g):
+        k = len(g)
+        shorter = p(g[1:]) if k > 1 else 1 / (v + 1)
+        have = followers[k].get(g[:-1])
+        if not have:
+            return shorter
+        c = counts[k][g]
+        return (max(c - cut[k][min(c, 3)], 0) + sum(cut[k][min(x, 3)] for x in have) * shorter) / sum(have)
+
     out = []
     for t in tests:
-        s, score, base = [*WORD.findall(lower(t)), None], 0.0, 0.0
-        for u, w in zip(["<s>", *s], s, strict=False):
-            p = max(before[w] - d(before[w], d1), 0) / n + sum(d(b, d1) for b in before.values()) / n / (v + 1)
-            if u in ctx:
-                c, tot = pairs[u, w], sum(ctx[u])
-                p = max(c - d(c, d2), 0) / tot + sum(d(x, d2) for x in ctx[u]) / tot * p
-            score += math.log10(p)
-            base += math.log10((uni[w] + 0.1) / (total + 0.1 * (v + 1)))
+        s = [*WORD.findall(lower(t)), None]
+        score = sum(math.log10(p(tuple((pad + s)[i : i + order]))) for i in range(len(s)))
+        base = sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (v + 1))) for w in s)
         out.append((len(s), sum(w in uni for w in s), total, base, score))
     return out
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, order):
     rng = random.Random(6)
     train = [sentences_of(rng, rng.randint(1, 8), words=60) for _ in range(40)] + [None, "", "only once"]
-    tests = [*train[:5], *ODD, sentences_of(rng, 4, words=80), "w1 W1 w1 unseen w2"]
-    model = knlm.train(frame(spark, train), Scratch(spark))
-    rows = {r.doc_id: r for r in knlm.score(frame(spark, tests), model).collect()}
-    for i, want in enumerate(plain_kn(train, tests)):
+    tests = [*train[:5], *ODD, sentences_of(rng, 4, words=80), "w1 W1 w1 unseen w2", "w3 " * 30_000]
+    model = knlm.train(frame(spark, train), Scratch(spark), order)
+    found = knlm.score(frame(spark, tests), model)
+    rows = {r.doc_id: r for r in found.collect()}
+    for i, want in enumerate(plain_kn(train, tests, order)):
         r = rows[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
-    empty = knlm.train(frame(spark, []), Scratch(spark))
+    empty = knlm.train(frame(spark, []), Scratch(spark), order)
     assert all(r.score == 0 and r.base_score == 0 for r in knlm.score(frame(spark, ["a b", None]), empty).collect())
 
 
-def test_model_sums_to_one(spark):
+def test_language_model_rows(spark):
+    train = frame(spark, ["a b a b c", "a b"] * 3).withColumn("score", F.lit("x")).withColumn("n_tokens", F.lit(None).cast("int"))
+    model = knlm.train(train, Scratch(spark))
+    assert model.train_tokens == 27
+    same = train.withColumn("doc_id", F.lit(None).cast("long"))
+    rows = knlm.score(same, model).collect()
+    assert len(rows) == 6 and all(r.doc_id is None for r in rows) and len({r.score for r in rows}) == 2
+    none = knlm.score(train.limit(0), model)
+    assert none.columns[:3] == ["doc_id", "n_tokens", "n_known"] and none.count() == 0
+    with pytest.raises(ValueError, match="order"):
+        knlm.train(train, Scratch(spark), 1)
+
+
+def test_grams_in_buckets(tmp_path):
+    rng = np.random.default_rng(5)
+    for n, size in ((1, 1), (1, 5000), (3, 900)):
+        keys = rng.integers(0, 2**64, size, np.uint64)
+        values = [rng.integers(0, 400, size).astype(np.uint64), np.arange(size, dtype=np.uint64)]
+        shards = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        for i in range(n):
+            mine = shards == i
+            if mine.any():
+                knlm.put_grams(f"{tmp_path}/x{n}{size}_{i}", keys[mine], n, [v[mine] for v in values])
+            else:
+                (tmp_path / f"x{n}{size}_{i}").touch()
+        grams = knlm.Grams(str(tmp_path), f"x{n}{size}_", n, 2)
+        assert (grams.find(keys) == np.stack(values, axis=1)).all()
+        assert not grams.find(rng.integers(0, 2**64, 1000, np.uint64)).any()
+
+
+@pytest.mark.parametrize("bits", [7, 20, 33, 64])
+def test_grams_are_added_up(bits):
+    rng = random.Random(bits)
+    grams = [tuple(rng.choice([0, 1, 5, min(2**bits, 2**63) - 1]) for _ in range(3)) for _ in range(500)]
+    ids, (count,) = knlm.fold_grams([np.array(x, np.uint64) for x in zip(*grams, strict=True)], [np.ones(500, np.uint32)], bits)
+    assert [(*map(int, g), int(c)) for *g, c in zip(*ids, count, strict=True)] == [(*g, c) for g, c in sorted(Counter(grams).items())]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_sums_to_one(spark, order):
     train = ["a b c a b", "b c d", "a a a"]
-    model = knlm.train(frame(spark, train), Scratch(spark))
+    model = knlm.train(frame(spark, train), Scratch(spark), order)
     probability = {}
     for w in ["a", "b", "c", "d", "zz"]:
         block = TextBlock(pa.array([f"a {w}"]), LOWER)
