@@ -1,10 +1,10 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and kept as sorted hash arrays.
 
 Files in the shared folder, which workers map into memory: for each range of word hashes the
-sorted hashes and counts (a word's id is its rank); for each length of n-gram from 2 to the order
-and each range of their hashes, buckets of sorted 32-bit hashes (which buckets the high half
-deals out) and a code for the numbers of each; for each range of ids those of single words. The
-numbers are what Kneser-Ney needs of an n-gram: how often it stands (the longest) or how many
+sorted hashes, counts and ids; for each length of n-gram from 2 to the order and each range of
+their hashes, buckets of sorted 24-bit hashes (which buckets the high half deals out) and a code
+for the numbers of each, but for those with the commonest numbers, which stand apart; by id those
+of single words. Ids go by count, so those of common words are small and compress well. The numbers are what Kneser-Ney needs of an n-gram: how often it stands (the longest) or how many
 words come before it (shorter ones), and as context its total and followers seen once, twice, more.
 All dealing is by hash of the n-gram, so a frequent word or context does not load one task; counts are
 added up in each task before they are sent.
@@ -14,8 +14,8 @@ marks, one less than the order. p_k(w|u) = max(c(u,w) - D, 0) / c(u) + gamma(u)
 without its first), where c counts occurrences in the longest n-grams and distinct predecessors
 in shorter ones; p_1 is interpolated with 1 / (V + 1). A context never seen gives the shorter one's p.
 
-Two n-grams of a range are taken for one if their hashes agree in 32 bits and in the bucket, of 16
-entries on average: 4 in a billion look-ups, at any size.
+Two n-grams of a range are taken for one if their hashes agree in 24 bits and in the bucket, of 16
+entries on average: 1 in a million look-ups of n-grams that are not there, at any size.
 
 Defined cases: a null or empty text is the single token end. A null doc_id is never held out.
 With nothing to learn from, V and N are 0, every token has probability 1 and scores are 0.
@@ -37,8 +37,8 @@ from .shards import Packer, Scratch, by_range, deal, n_shards, put_file, table,
 from .textblock import LOWER, U64, TextBlock, blocks, mix, runs
 
 END, START = U64(0x1B873593CC9E2D51), U64(0x85EBCA6B27D4EB2F)
-#: Bytes of input files for a shard, and entries of a bucket on average.
-SHARD_BYTES, BUCKET = 16 << 20, 16
+#: Bytes of input files for a shard, entries of a bucket on average, and bits of a hash in it.
+SHARD_BYTES, BUCKET, HASH_BITS = 16 << 20, 16, 24
 _CTX = np.dtype([("c", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
 _NUMBERS = ["<u8", "<u4", "<u4", "<u4", "<u4"]
 
@@ -96,36 +96,35 @@ def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(block.n), block.n_words + 1), ends
 
 
-class Sorted:
-    """Sorted key files, one for each range of keys, and the values beside them; opened as needed."""
+class Words:
+    """Sorted hashes of words, one file for each range of them, with counts and ids beside; opened as needed."""
 
-    def __init__(self, folder: str, name: str, n: int, value: str):
-        self.folder, self.name, self.n, self.value = folder, name, n, value
-        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, folder: str, n: int):
+        self.folder, self.n = folder, n
+        self._open: dict[int, tuple[np.ndarray, ...]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def shard(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def shard(self, i: int) -> tuple[np.ndarray, ...]:
         if i not in self._open:
             if len(self._open) > 4096:
                 self._open.clear()
-            self._open[i] = tuple(mapped(f"{self.folder}/{self.name}{i}.{x}", d) for x, d in (("key", "<u8"), ("val", self.value)))
+            self._open[i] = tuple(mapped(f"{self.folder}/w{i}.{x}", "<u8") for x in ("key", "val", "id"))
         return self._open[i]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted keys: shard, place in the shard (-1 if absent) and value (0 if absent)."""
+    def find(self, keys: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted keys: ids (unknown if absent) and counts (0 if absent)."""
         cuts = np.searchsorted(by_range(keys, self.n), np.arange(self.n + 1))
-        place, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint64)
+        ids, value = np.full(len(keys), unknown, np.uint64), np.zeros(len(keys), np.uint64)
         for i in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[i], cuts[i + 1]
-            have, val = self.shard(int(i))
+            have, val, own = self.shard(int(i))
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                hit = have[at] == keys[a:b]
-                place[a:b] = np.where(hit, at, -1)
-                value[a:b] = np.where(hit, val[at], 0)
-        return by_range(keys, self.n).astype(np.int64), place, value
+                hit = np.flatnonzero(have[at] == keys[a:b])
+                ids[a + hit], value[a + hit] = own[at[hit]], val[at[hit]]
+        return ids, value
 
 
 def mapped(path: str, dtype) -> np.ndarray:
@@ -141,17 +140,25 @@ def buckets(keys: np.ndarray, n: int, m: int) -> np.ndarray:
 
 
 def put_grams(path: str, keys: np.ndarray, n: int, values: list[np.ndarray]) -> None:
-    """Writes a range's n-grams: sizes, the distinct rows of values, where buckets start, hashes, codes of rows."""
-    m = max(len(keys) // BUCKET, 1)
-    place = (buckets(keys, n, m) << U64(32)) | (keys & U64(0xFFFFFFFF))
-    order = np.argsort(place)
-    place = place[order]
-    row = gram_key(values)
-    _, first, code = np.unique(row, return_index=True, return_inverse=True)
+    """Writes a range's n-grams in two parts: those with the commonest row of values, which need no code, and the others.
+
+    A part has its sizes, the distinct rows of values, where buckets start, hashes (low two bytes, third byte) and codes of rows.
+    """
+    _, first, code, times = np.unique(gram_key(values), return_index=True, return_inverse=True, return_counts=True)
     rows = np.stack([v[first].astype("<u8") for v in values], axis=1)
-    width = next(w for w in (1, 2, 4) if len(first) <= 1 << (8 * w))
-    at = np.searchsorted(place, np.arange(m + 1, dtype=np.uint64) << U64(32)).astype("<u4")
-    parts = [np.array([len(keys), m, len(first), width], "<u8"), rows, at, place.astype("<u4"), code[order].astype(f"<u{width}")]
+    common = int(np.argmax(times))
+    parts = []
+    for mine in (np.flatnonzero(code == common), np.flatnonzero(code != common)):
+        m = max(len(mine) // BUCKET, 1)
+        own = keys[mine]
+        place = (buckets(own, n, m) << U64(HASH_BITS)) | (own & U64((1 << HASH_BITS) - 1))
+        order = np.argsort(place)
+        place = place[order]
+        own_rows = rows[common : common + 1] if not parts else rows
+        width = 0 if not parts else next(w for w in (1, 2, 4) if len(rows) <= 1 << (8 * w))
+        at = np.searchsorted(place, np.arange(m + 1, dtype=np.uint64) << U64(HASH_BITS)).astype("<u4")
+        parts += [np.array([len(mine), m, len(own_rows), width], "<u8"), own_rows, at, place.astype("<u2"), (place >> U64(16)).astype("u1")]
+        parts += [code[mine][order].astype(f"<u{width}")] if width else []
 
     def write(f) -> None:
         for x in parts:
@@ -178,12 +185,14 @@ class Grams:
         return self._open[i]
 
     def _parts(self, raw: np.ndarray) -> tuple:
-        if not len(raw):
-            return ()
-        size, m, rows, width = (int(x) for x in raw[:32].view("<u8"))
-        cuts = np.cumsum([32, 8 * rows * self.columns, 4 * (m + 1), 4 * size, width * size])
-        table, at, low, code = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-        return np.array(table.view("<u8").reshape(rows, self.columns)), at.view("<u4"), low.view("<u4"), code.view(f"<u{width}")
+        found = []
+        while len(raw):
+            size, m, rows, width = (int(x) for x in raw[:32].view("<u8"))
+            cuts = np.cumsum([32, 8 * rows * self.columns, 4 * (m + 1), 2 * size, size, width * size])
+            table, at, low, high, code = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            found.append((np.array(table.view("<u8").reshape(rows, self.columns)), at.view("<u4"), low.view("<u2"), high, code.view(f"<u{width}") if width else None))
+            raw = raw[cuts[-1] :]
+        return tuple(found)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of values of the keys; zeros for those that are not there."""
@@ -191,31 +200,40 @@ class Grams:
         out = np.zeros((len(ask), self.columns), np.uint64)
         cuts = np.searchsorted(by_range(ask, self.n), np.arange(self.n + 1))
         for i in np.flatnonzero(np.diff(cuts)):
-            found = self.shard(int(i))
-            if found:
-                out[cuts[i] : cuts[i + 1]] = self._look_up(ask[cuts[i] : cuts[i + 1]], *found)
+            left = np.arange(cuts[i], cuts[i + 1])
+            for part in self.shard(int(i)):
+                hit, values = self._look_up(ask[left], *part)
+                out[left[hit]] = values
+                left = left[~hit]
         return out[back]
 
-    def _look_up(self, keys: np.ndarray, rows: np.ndarray, at: np.ndarray, low: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def _look_up(self, keys: np.ndarray, rows: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, code: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and the values of those."""
         b = buckets(keys, self.n, len(at) - 1).astype(np.int64)
-        want, lo, end = keys.astype(np.uint32), at[b].astype(np.int64), at[b + 1].astype(np.int64)
+        want, lo, end = keys.astype(np.uint32) & np.uint32((1 << HASH_BITS) - 1), at[b].astype(np.int64), at[b + 1].astype(np.int64)
+        if not len(low):
+            return np.zeros(len(keys), bool), rows[:0]
+
+        def hashes(i: np.ndarray) -> np.ndarray:
+            i = np.minimum(i, len(low) - 1)
+            return (high[i].astype(np.uint32) << np.uint32(16)) | low[i]
+
         hi = end
         while (live := lo < hi).any():
             mid = (lo + hi) >> 1
-            less = low[np.minimum(mid, len(low) - 1)] < want
+            less = hashes(mid) < want
             lo, hi = np.where(live & less, mid + 1, lo), np.where(live & ~less, mid, hi)
-        place = np.minimum(lo, len(low) - 1)
-        hit = (lo < end) & (low[place] == want)
-        return np.where(hit[:, None], rows[code[place]], U64(0))
+        hit = (lo < end) & (hashes(lo) == want)
+        return hit, np.repeat(rows[:1], hit.sum(), axis=0) if code is None else rows[code[lo[hit]]]
 
 
 @dataclass
 class Model:
     order: int
-    words: Sorted
+    words: Words
     grams: dict[int, Grams]  # by length, 2 to the order
     n: int
-    offsets: np.ndarray  # id of the first word of each range
+    largest: int  # words of the range that has most
     vocabulary: int
     train_tokens: int
     discounts: dict[int, list[float]] = field(default_factory=dict)  # by length of n-gram
@@ -223,23 +241,20 @@ class Model:
     fresh: float = 0.0  # weight of the uniform distribution in p1
     _ctx: dict = field(default_factory=dict)
 
-    def ids(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (vocabulary + 1 if unknown) and counts of sorted word hashes."""
-        shard, place, count = self.words.find(keys)
-        return np.where(place >= 0, self.offsets[shard] + place, self.vocabulary + 1).astype(np.uint64), count
+    @property
+    def start(self) -> int:
+        """Id of the start mark; the next one is that of unknown words."""
+        return self.largest * self.n
 
     def context(self, ids: np.ndarray) -> np.ndarray:
-        """Context records of ids; zeros where there is none."""
+        """Records of ids; zeros where there is none."""
         out = np.zeros(len(ids), _CTX)
-        size = id_range(self.vocabulary, self.n)
-        shard = (ids // U64(size)).astype(np.int64)
+        shard, at = (ids % U64(self.n)).astype(np.int64), (ids // U64(self.n)).astype(np.int64)
         for i in np.unique(shard):
             if i not in self._ctx:
-                self._ctx[i] = mapped(f"{self.words.folder}/ctx{i}.val", _CTX) if i < self.n else np.zeros(0, _CTX)
-            mine = np.flatnonzero(shard == i)
-            at = (ids[mine] - U64(int(i) * size)).astype(np.int64)
-            ok = at < len(self._ctx[i])
-            out[mine[ok]] = self._ctx[i][at[ok]]
+                self._ctx[i] = mapped(f"{self.words.folder}/ctx{i}.val", _CTX)
+            mine = np.flatnonzero((shard == i) & (at < len(self._ctx[i])) & (ids <= self.start))
+            out[mine] = self._ctx[i][at[mine]]
         return out
 
     def numbers(self, gram: list[np.ndarray]) -> np.ndarray:
@@ -254,11 +269,6 @@ class Model:
         return self.__dict__ | {"_ctx": {}}
 
 
-def id_range(vocabulary: int, n: int) -> int:
-    """Ids of a shard; the start mark has the id after the last word's."""
-    return -(-(vocabulary + 1) // n)
-
-
 def discounts(n: list[int]) -> list[float]:
     """D1, D2, D3+ from the numbers of items seen once to four times."""
     if not n[0] or not n[1]:
@@ -279,43 +289,41 @@ def train(docs: DataFrame, scratch: Scratch, order: int = 3) -> Model:
     lengths = range(2, order + 1)
 
     for i in range(n):  # a range without entries keeps its empty files
-        for x in (f"w{i}.key", f"w{i}.val", f"ctx{i}.val", *(f"g{k}_{i}" for k in lengths)):
+        for x in (f"w{i}.key", f"w{i}.val", f"ctx{i}.val", f"w{i}.id", *(f"g{k}_{i}" for k in lengths)):
             put_file(f"{folder}/{x}", lambda f: None)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(n, ["<u8", "<u8"], fold=fold_sums, shard_of=lambda a: by_range(a[0], n))
+        packer = Packer(n, ["<u8", "<u8"], fold=fold_sums, shard_of=lambda a: by_range(a[0], n), squeeze=True)
         for _, block in blocks(batches, table=LOWER):
             keys, counts = np.unique(tokens(block)[0], return_counts=True)
             yield from packer.add(keys, counts)
         yield from packer.flush()
 
     def keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = fold_sums(*unpack(batches, ["<u8", "<u8"]))
+        keys, counts = fold_sums(*unpack(batches, ["<u8", "<u8"], squeeze=True))
         if len(keys):
             shard = int(by_range(keys[:1], n)[0])
+            ids = np.empty(len(keys), "<u8")
+            ids[np.lexsort((keys, ~counts))] = np.arange(len(keys)) * n + shard
+            put_file(f"{folder}/w{shard}.id", lambda f: f.write(ids.tobytes()))
             put_file(f"{folder}/w{shard}.key", lambda f: f.write(keys.tobytes()))
             put_file(f"{folder}/w{shard}.val", lambda f: f.write(counts.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())]})
 
     found = deal(docs.mapInArrow(count_words, Packer.schema(2)), n, keep_words, "shard long, n long, total long").collect()
-    sizes = np.zeros(n, np.int64)
-    for r in found:
-        sizes[r.shard] = r.n
-    vocabulary, total = int(sizes.sum()), sum(r.total for r in found)
+    vocabulary, total = sum(r.n for r in found), sum(r.total for r in found)
     grams = {k: Grams(folder, f"g{k}_", n, 1 if k == order else len(_NUMBERS)) for k in lengths}
-    model = Model(order, Sorted(folder, "w", n, "<u8"), grams, n, np.cumsum(sizes) - sizes, vocabulary, total)
+    model = Model(order, Words(folder, n), grams, n, max((r.n for r in found), default=0), vocabulary, total)
     if not vocabulary:
         return model
-    size = id_range(vocabulary, n)
-
     #: Ids from here on, one for each length, stand for the numbers of n-grams seen once to four times.
-    totals = vocabulary + 2
+    totals = model.start + 2
     bits = (totals + order + 1).bit_length()
     id_type = "<u4" if bits <= 32 else "<u8"
 
     def packer(k: int, values: list[str], fold: Callable | None = None) -> Packer:
-        """Deals n-grams by hash, single words by range."""
-        shard_of = (lambda a: by_range(gram_key(a[:k]), n)) if k > 1 else (lambda a: np.minimum(a[0].astype(np.uint64) // U64(size), U64(n - 1)))
+        """Deals n-grams by hash, single words by id."""
+        shard_of = (lambda a: by_range(gram_key(a[:k]), n)) if k > 1 else (lambda a: a[0].astype(np.uint64) % U64(n))
         return Packer(n, [id_type] * k + values, limit=2_000_000, fold=fold, shard_of=shard_of, squeeze=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,10 +388,10 @@ def train(docs: DataFrame, scratch: Scratch, order: int = 3) -> Model:
         seen = [0] * 2
         if cut:
             ids, values = ids[:cut].astype(np.int64), [v[:cut] for v in values]
-            shard = int(ids[0]) // size
-            out = np.zeros(size, _CTX)
+            shard = int(ids[0]) % n
+            out = np.zeros(int(ids[-1]) // n + 1, _CTX)
             for name, v in zip(_CTX.names, values, strict=True):
-                out[name][ids - shard * size] = v
+                out[name][ids // n] = v
             put_file(f"{folder}/ctx{shard}.val", lambda f: f.write(out.tobytes()))
             before = out["before"].astype(np.int64)
             found[1] = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
@@ -405,12 +413,12 @@ def id_grams(block: TextBlock, model: Model) -> tuple[list[np.ndarray], np.ndarr
     """For every token the ids of the n-gram that it ends, and the count of the word."""
     seq, doc, ends = tokens(block)
     keys, back = np.unique(seq, return_inverse=True)
-    ids, counts = model.ids(keys)
+    ids, counts = model.words.find(keys, model.start + 1)
     w = ids[back]
     place = np.arange(len(w)) - np.concatenate([[0], ends[:-1] + 1])[doc]
     grams = [w]
     for back_by in range(1, model.order):
-        u = np.full(len(w), U64(model.vocabulary))
+        u = np.full(len(w), U64(model.start))
         inside = np.flatnonzero(place >= back_by)
         u[inside] = w[inside - back_by]
         grams.insert(0, u)

@@ -115,12 +115,14 @@ class Packer:
     """Gathers parallel arrays and gives them out as rows (shard, one binary per array).
 
     The arrays of a row are sorted by the first one. fold, if given, merges equal keys of
-    what was gathered before it is given out. squeeze compresses what is sent by entropy, which
-    Spark's own compression of a shuffle doesn't; unpack must be told, too.
+    what was gathered before it is given out. squeeze sends differences
+    of the first array, which is sorted, and compresses by entropy, which Spark's own compression
+    of a shuffle doesn't; unpack must be told, too.
     """
 
     def __init__(self, n: int, dtypes: list[str], limit: int = 1_000_000, fold: Callable | None = None, shard_of: Callable | None = None, squeeze: bool = False):
         self.n, self.limit, self.fold = n, limit, fold
+        self.squeeze = squeeze
         self.pack = zstandard.ZstdCompressor(level=1).compress if squeeze else bytes
         self.dtypes, self.widths = zip(*_types(dtypes), strict=True)
         self.shard_of = shard_of or (lambda arrays: (arrays[0] >> np.uint64(33)) % np.uint64(n))
@@ -154,8 +156,9 @@ class Packer:
         cuts = np.searchsorted(shard, np.arange(self.n + 1))
         full = np.flatnonzero(np.diff(cuts))
         cols = [pa.array(full.astype(np.int32))]
-        for x, w in zip(arrays, self.widths, strict=True):
-            cols.append(pa.array([self.pack(planes(x[cuts[i] : cuts[i + 1]], w)) for i in full], pa.binary()))
+        for k, (x, w) in enumerate(zip(arrays, self.widths, strict=True)):
+            steps = (lambda a: np.diff(a, prepend=a.dtype.type(0))) if self.squeeze and not k else (lambda a: a)
+            cols.append(pa.array([self.pack(planes(steps(x[cuts[i] : cuts[i + 1]]), w)) for i in full], pa.binary()))
         yield pa.RecordBatch.from_arrays(cols, names=["shard", *(f"a{i}" for i in range(len(arrays)))])
 
 
@@ -166,7 +169,8 @@ def unpack(batches: Iterator[pa.RecordBatch], dtypes: list[str], squeeze: bool =
     for b in batches:
         for i, (d, w) in enumerate(_types(dtypes)):
             col = b.column(f"a{i}")
-            parts[i] += [from_planes(plain(x.as_buffer()), d, w) for x in col if x.is_valid]
+            found = [from_planes(plain(x.as_buffer()), d, w) for x in col if x.is_valid]
+            parts[i] += [np.cumsum(x, dtype=d) for x in found] if squeeze and not i else found
     return [np.concatenate(p) if p else np.zeros(0, d) for p, (d, _) in zip(parts, _types(dtypes), strict=True)]
 
 
