@@ -39,13 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .components import components
 from .knlm import fold_sums
-from .shards import Packer, Scratch, deal, if_small, n_shards, table, unpack
+from .shards import Packer, Scratch, deal, free_name, if_small, n_shards, table, unpack
 from .textblock import LOWER, U64, blocks, mix, runs, shingle_sets
 
 #: Sets of a window that one task joins; sets of a region that one task measures, with its pivots; pivots of a window that is divided.
@@ -59,6 +59,11 @@ SHINGLE = 5
 SIMILARITY = 75
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Tells apart the texts of rows with the same doc_id."""
+    return F.xxhash64(docs["text"])
+
+
 def need(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of a set of n with any partner, and so the least size of a partner."""
     return -(-(n * percent) // 100)
@@ -139,7 +144,7 @@ def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, twin, shingles): equal sets have equal node and twin, two hashes of the whole set; shingles only where a partner is possible."""
+    """(doc_id, row, n_shingles, node, twin, shingles): equal sets have equal node and twin, two hashes of the whole set; shingles only where a partner is possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches, table=LOWER):
@@ -152,10 +157,10 @@ def shingle_table(docs: DataFrame, met: DataFrame, k: int, percent: int) -> Data
             least = need(size, percent)
             keep = (batch.column("_met").fill_null(0).to_numpy(zero_copy_only=False) >= spare(least, percent)) & (size > 0)
             sets = pa.array([h[cut[i] : cut[i + 1]].tobytes() if keep[i] else None for i in range(block.n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(node), pa.array(twin), sets], names=["doc_id", "n_shingles", "node", "twin", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(size.astype(np.int64)), pa.array(node), pa.array(twin), sets], names=["doc_id", "row", "n_shingles", "node", "twin", "shingles"])
 
-    joined = docs.select("doc_id", "text").join(if_small(met), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "_met")
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, twin long, shingles binary")
+    joined = docs.select("doc_id", row_key(docs).alias("row"), "text").join(if_small(met), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "row", "text", "_met")
+    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_shingles long, node long, twin long, shingles binary")
 
 
 def heavy_shingles(sets: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -508,9 +513,8 @@ def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndar
     return out
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of the given similarity reach."""
-    scratch = scratch or Scratch(docs.sparkSession)
+def classes(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, stays) of every row; row is row_key's, stays is false where another document comes first in the component."""
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be of an integer type")
     docs = docs.select("doc_id", "text")
@@ -520,12 +524,42 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SH
     nodes = scratch.save(shared_sets(sets, percent, heavy), "nodes")
     linked = scratch.save(components(links(nodes, scratch, percent, heavy), scratch), "linked")
     scratch.drop("met", "reported", "nodes", *(f"{x}{k}" for k in range(LEVELS + 1) for x in ("members", "sizes", "far", "edges", "window", "cells", "whole", "large", "pivots")))
-    rows = sets.select("doc_id", "n_shingles", "node", "twin")
+    rows = sets.select("doc_id", "row", "n_shingles", "node", "twin")
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    first = some.groupBy("node", "twin").agg(F.min("doc_id").alias("first")).join(linked.select("node", "root"), "node", "left")
+    first = some.groupBy("node", "twin").agg(F.min(F.struct("doc_id", "row")).alias("first")).join(linked.select("node", "root"), "node", "left")
     # A written table, so that Spark can split the join of a very large component's nodes.
     first = scratch.save(first.select("node", "twin", "first", F.coalesce("root", "node").alias("root")), "firsts")
-    least = scratch.save(first.groupBy("root").agg(F.min("first").alias("component")), "least")
-    whole = scratch.save(first.join(least, "root").select("node", "twin", "component"), "classes")
+    least = scratch.save(first.groupBy("root").agg(F.min("first").alias("lead")), "least")
+    whole = scratch.save(first.join(least, "root").select("node", "twin", "lead"), "classes")
     out = rows.join(whole, ["node", "twin"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"))
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("lead.doc_id")))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), (alone | (F.struct("doc_id", "row") == F.col("lead"))).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of the given similarity reach."""
+    return classes(docs, scratch or Scratch(docs.sparkSession), k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, scratch: Scratch | None = None, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, whose document comes first in its component, by doc_id and then by a hash of the text.
+
+    Of rows with equal id and text one stays. Rows of one id are decided by their own texts; those that are linked with each other
+    alone all stay, as do rows without an id and texts without words.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    key, row = free_name(docs, "_key"), free_name(docs, "_row")
+    found = scratch.save(classes(docs, scratch, k, percent), "decided")
+    gone = scratch.save(found.where("not stays").select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct(), "gone")
+    again = found.where("stays and doc_id is not null").groupBy(F.col("doc_id").alias(key), F.col("row").alias(row)).agg(F.count("*").alias("n"))
+    again = scratch.save(again.where("n > 1").select(key, row), "again")
+
+    def same(df: DataFrame) -> Column:
+        return (docs["doc_id"] == df[key]) & (row_key(docs) == df[row])
+
+    out = docs.join(if_small(gone), same(gone), "left_anti")
+    if not again.limit(1).count():
+        return out
+    once = docs.join(if_small(again), same(again), "left_semi").withColumn(row, row_key(docs)).dropDuplicates(["doc_id", row]).drop(row)
+    return out.join(if_small(again), same(again), "left_anti").unionAll(once)

@@ -8,10 +8,12 @@ import random
 import re
 import textwrap
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -661,6 +663,19 @@ def test_near_duplicates_empty_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (3, 3), (5, 5)]
 
 
+def test_first_of_a_component_stays(spark):
+    """Rows of one id are decided by their texts, repeated rows stay once, and no null is dropped."""
+    rng = random.Random(21)
+    one, two, three, four = (sentences_of(rng, 8) for _ in range(4))
+    rows = [(3, one), (5, edited(rng, one, 1)), (5, two), (5, two), (7, two), (8, three), (8, three), (8, three), (None, three), (None, three), (9, None), (10, None), (11, ""), (12, "a b"), (13, "A B"), (2, four), (4, four)]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = jaccard.keep_first(docs.withColumnRenamed("score", "_key").withColumnRenamed("lang", "_row"))
+    assert got.columns == ["doc_id", "text", "_row", "_key", "_id", "_first"]
+    want = [(3, one), (5, two), (8, three), (None, three), (None, three), (9, None), (10, None), (11, ""), (12, "a b"), (2, four)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert jaccard.keep_first(docs.limit(0)).count() == 0
+
+
 def test_shingles():
     block = TextBlock(pa.array([*ODD, "a b c d e f a b c d e"], pa.string()), LOWER)
     doc, _ = shingle_sets(block)
@@ -704,16 +719,10 @@ def plain_spans(t):
     return units, out
 
 
-def test_spans(spark):
-    rng = random.Random(9)
-    passage = sentences_of(rng, 7)
-    texts = [*ODD, *(sentences_of(rng, 6) for _ in range(6))]
-    texts += [f"{sentences_of(rng, 3)} {passage}\n{sentences_of(rng, 2)}" for _ in range(5)] + [passage, texts[-1], f"{passage}\n\n{passage}"]
-    listed = " | ".join(f"item{k} of a table, number {k}" for k in range(40))
-    texts += [f"{sentences_of(rng, 1)} {listed} {sentences_of(rng, 2)}" for _ in range(2)] + [f"  {passage} {sentences_of(rng, 1)} ", "no end of a sentence " * 30, "x " + "no end of a sentence " * 30]
-    ids = rng.sample(range(500), len(texts))
+def plain_repeats(rows):
+    """The numbers of the sentences to remove, by document."""
     first, found = {}, []
-    for i, t in sorted(zip(ids, texts, strict=True)):
+    for i, t in sorted(rows):
         units, at = plain_spans(t)
         for a, z in sorted(at):
             found.append((i, a, z, tuple(w for u in units[a : z + 1] for w in u)))
@@ -722,6 +731,18 @@ def test_spans(spark):
     for i, a, z, h in found:
         if first[h] != (i, a):
             gone[i] |= set(range(a, z + 1))
+    return gone
+
+
+def test_spans(spark):
+    rng = random.Random(9)
+    passage = sentences_of(rng, 7)
+    texts = [*ODD, *(sentences_of(rng, 6) for _ in range(6))]
+    texts += [f"{sentences_of(rng, 3)} {passage}\n{sentences_of(rng, 2)}" for _ in range(5)] + [passage, texts[-1], f"{passage}\n\n{passage}"]
+    listed = " | ".join(f"item{k} of a table, number {k}" for k in range(40))
+    texts += [f"{sentences_of(rng, 1)} {listed} {sentences_of(rng, 2)}" for _ in range(2)] + [f"  {passage} {sentences_of(rng, 1)} ", "no end of a sentence " * 30, "x " + "no end of a sentence " * 30]
+    ids = rng.sample(range(500), len(texts))
+    gone = plain_repeats(zip(ids, texts, strict=True))
     docs = frame(spark, texts, ids)
     out = spans.remove(docs, spans.repeats(docs, Scratch(spark)))
     assert out.columns == [*docs.columns, "_sentences", "_removed"]
@@ -913,3 +934,54 @@ def test_pipeline(spark):
         gone.append(docs.count() - out.count())
         docs = out
     assert gone[1] > 0 and gone[3] > 0 and gone[4] == 0
+
+
+def plain_pipeline(rows, items):
+    """(doc_id, token ids) of the documents (doc_id, text, lang) that are kept, stage by stage."""
+    train = [(t, x) for i, t, x in rows if t is not None and x is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)]
+    lang = plain_language(list(dict.fromkeys(train)), [t for _, t, _ in rows])
+    docs = [(i, t) for (i, t, _), (x, _) in zip(rows, lang, strict=True) if x != "und"]
+    known = [(i, t) for i, t in dict.fromkeys(docs) if i is not None]
+    first = {(i, c) for i, _, c in plain_components(*zip(*known, strict=True))}
+    docs = [(i, t) for i, t in known if (i, i) in first] + [(i, t) for i, t in docs if i is None]
+    gone, out = plain_repeats((i, t) for i, t in docs if i is not None), []
+    for i, t in docs:
+        sizes = [len(u) for u in plain_units(t)]
+        starts = [m.start() for m in WORD.finditer(t)]
+        edges = [*(starts[sum(sizes[:k])] for k in range(len(sizes))), len(t)]
+        lost = gone[i] if i is not None else set()
+        if not sizes or len(lost) < len(sizes):
+            out.append((i, t[: edges[0]] + "".join(t[edges[k] : edges[k + 1]] for k in range(len(sizes)) if k not in lost)))
+    encode = spm.coder(spm.MODEL).whole.encode
+    return sorted(((i, encode(t)) for i, t in out if not plain_contaminated([(i, t)], items)), key=str)
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(22)
+    vocab = {"en": [f"the{k} of" for k in range(150)], "de": [f"über{k} der" for k in range(150)]}
+
+    def say(lang, n):
+        return " ".join(" ".join(rng.choice(vocab[lang]) for _ in range(rng.randint(4, 7))) + "." for _ in range(n))
+
+    base = [(say(x, rng.randint(3, 9)), x) for x in ("en", "de") for _ in range(16)]
+    passage, items = say("en", 7), [(k, say("en", 3)) for k in range(6)] + [(6, None), (7, ""), (8, "tiny item")]
+    texts = [*base, *base[:4], *((edited(rng, t, 1), x) for t, x in base[:8])]
+    texts += [(f"{say(x, 4)} {passage} {say(x, 3)}", x) for x in ("en", "de") * 4] + [(passage, "en")]
+    texts += [(f"{say('de', 2)} {items[k][1].upper()} {say('de', 2)}", "de") for k in range(4)] + [("some tiny-item here", None)]
+    texts += [(t, None) for t in (None, "", " \n ", "12 34 !", "a", "of", "日本語 der")]
+    ids = rng.sample(range(1000), len(texts))
+    rows = [(i, t, x) for i, (t, x) in zip(ids, texts, strict=True)]
+    rows += [rows[5], rows[5], (None, say("en", 4), "en"), (None, "no id at all", None), (rows[9][0], say("de", 5), "de")]
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "lang": pa.array([r[2] for r in rows], pa.string()), "_key": pa.array([1] * len(rows)), "n_chars": pa.array([len(r[1] or "") for r in rows], pa.int64())})
+    bench = pa.table({"item_id": pa.array([k for k, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    pq.write_table(bench, tmp_path / "benchmark.parquet")
+    got = sorted(((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    want = plain_pipeline(rows, items)
+    assert got == want and 25 < len(want) < len(rows) - 20
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    pq.write_table(table.slice(0, 0), empty / "documents.parquet")
+    pq.write_table(bench, empty / "benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
