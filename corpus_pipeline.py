@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import decontam, jaccard, langid, spans, spm
 from lexispark.llm.queries import held_out, read
-from lexispark.llm.shards import Scratch, if_small
+from lexispark.llm.shards import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group; of rows with an equal id, all that are kept by it. Rows without an id stay."""
-    scratch = Scratch(spark)
-    found = jaccard.near_duplicates(docs, scratch)
-    gone = scratch.save(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    """The document of smallest id of each group, once. Rows without an id stay."""
+    return jaccard.keep_first(docs, Scratch(spark))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
