@@ -23,6 +23,11 @@ taken where texts meet:
    go to a region of their own, with those that are at most the threshold nearer. 4 follows in each region, and so on. Where regions hardly get
    smaller or their windows are more than twice the whole, the sets are too far from each other for pivots to tell
    anything, and blocks of bounded size are joined instead. Windows of at most LEAF sets are joined exactly.
+   A region of many variants of one text gets no smaller that way, all of them being near all pivots. There the shingles that most
+   of its pivots hold are taken as their base. Members linked with the class of those nearest to the base are joined to it, and are not compared with
+   each other. Of a pair in which one is not, the overlap is at most the lesser of the two overlaps with the base, and what both hold outside it:
+   where the first is too little, they must meet at a shingle outside the base, in a prefix of those, which makes smaller regions. The few for which
+   the base would be enough are joined in blocks, of those outside the class with all such.
 6. Links become components by rounds of joins.
 
 Texts with equal sets are one node throughout. Every step's data is dealt by hash.
@@ -462,6 +467,157 @@ def measured(members: DataFrame, pivots: DataFrame, sizes: DataFrame, sets: Data
     return rows.mapInArrow(measure, "region long, cell long, pivot long, node long, distance double, linked boolean")
 
 
+def need_of_pair(total: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of two linked sets of so many shingles together."""
+    return -(-(total * percent) // (100 + percent))
+
+
+def bases(pivots: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(region, base): the shingles that more than half of a region's pivots hold, of regions where at least half of the pivots have half of theirs among them."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "region"):
+            data = _sets(g)
+            values, held = np.unique(np.concatenate(data), return_counts=True)
+            base = values[2 * held > len(data)]
+            if 2 * sum(2 * np.isin(x, base).sum() >= len(x) for x in data) >= len(data):
+                yield pa.RecordBatch.from_pydict({"region": [g.column("region")[0].as_py()], "base": [base.tobytes()]})
+
+    return pivots.join(sets, "node").repartition(n, "region").sortWithinPartitions("region").mapInArrow(vote, "region long, base binary")
+
+
+def nearest(members: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
+    """(region, node): of each region the PIVOTS members nearest to the base."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = [n - 2 * int(np.isin(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")).sum()) for n, x, y in zip(*(b.column(c).to_pylist() for c in ("n", "shared", "base")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("node"), pa.array(far, pa.int64())], names=["region", "node", "far"])
+
+    rows = members.join(sets, "node").join(if_small(base), "region").select("region", "node", "n", "shared", "base").mapInArrow(measure, "region long, node long, far long")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy("far", "node"))).where(F.col("r") <= PIVOTS).select("region", "node")
+
+
+def settled(members: DataFrame, leads: DataFrame, base: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(region, node, n, held, outside, root, linked) of each member: how much of the base it has, its other shared shingles, and whether it is
+    linked with one of the largest class of linked leads, of which root is the smallest."""
+    parts = if_small(sizes.select("region", F.ceil(F.col("members") / PART).cast("int").alias("parts")))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    own = members.join(parts, "region").select("region", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(0).alias("kind"))
+    lead = leads.join(parts, "region").select("region", every, "node", F.lit(1).alias("kind"))
+    rows = own.unionAll(lead).join(sets, "node").select("region", "part", "node", "kind", "n", "shared")
+    rows = rows.unionAll(base.join(parts, "region").select("region", every, F.lit(0).cast("long"), F.lit(2), F.lit(0).cast("long"), "base"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "region", "part"):
+            kind, node, size, data = g.column("kind").to_numpy(), g.column("node").to_numpy(), g.column("n").to_numpy(), _sets(g)
+            rest, top, (at,) = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+            if not len(rest):
+                continue
+            top = top[np.argsort(node[top])]
+            some = np.concatenate([top, rest])
+            cut = np.cumsum([0, *(len(data[i]) for i in some)])
+            values, row = np.concatenate([data[i] for i in some]), _first_of_runs(cut)
+            common = np.stack([np.bincount(row, np.isin(values, data[p]), len(some)) for p in top], axis=1).astype(np.int64)
+            linked = 100 * common >= percent * (size[some][:, None] + size[top][None] - common)
+            joined, linked = linked[: len(top)].copy(), linked[len(top) :]
+            for k in range(len(top)):
+                joined |= joined[:, k, None] & joined[k]
+            mine = joined[joined.sum(1).argmax()]
+            inside = np.split(np.isin(values, data[at]), cut[1:-1])[len(top) :]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    g.column("region").combine_chunks().take(pa.array(rest)),
+                    pa.array(node[rest]),
+                    pa.array(size[rest]),
+                    pa.array([int(x.sum()) for x in inside], pa.int64()),
+                    pa.array([data[i][~x].tobytes() for i, x in zip(rest, inside, strict=True)], pa.binary()),
+                    pa.array(np.full(len(rest), node[top[mine]].min())),
+                    pa.array((linked & mine).any(1)),
+                ],
+                names=["region", "node", "n", "held", "outside", "root", "linked"],
+            )
+
+    return rows.repartition(n, "region", "part").sortWithinPartitions("region", "part").mapInArrow(measure, "region long, node long, n long, held long, outside binary, root long, linked boolean")
+
+
+def outer_prefixes(found: DataFrame, percent: int) -> DataFrame:
+    """(region, node, n, linked, weak, prefix) of the members of settled that may have a partner, one of the two at least not being linked to the class.
+
+    Two sets have at most the lesser of their overlaps with the base in common inside it. The rest of what they need must be outside. Of each size,
+    the greatest overlap with the base that members have tells how much that is at least. Where it may be nothing, the set is weak.
+    """
+    most = found.groupBy("region", "linked", "n").agg(F.max("held").alias("held")).groupBy("region").agg(F.collect_list(F.struct("n", "held", "linked")).alias("most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            known: dict[int, tuple[np.ndarray, ...]] = {}
+            for i, (region, n, held, linked) in enumerate(zip(*(b.column(c).to_pylist() for c in ("region", "n", "held", "linked")), strict=True)):
+                if region not in known:
+                    rows = b.column("most")[i].as_py()
+                    known[region] = tuple(np.array([r[c] for r in rows]) for c in ("n", "held", "linked"))
+                sizes, inner, tied = known[region]
+                may = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & ~(tied & linked)
+                if may.any():
+                    least = int((need_of_pair(sizes + n, percent) - np.minimum(inner, held))[may].min())
+                    outside = b.column("outside")[i].as_buffer()
+                    length = len(outside) // 8 - max(least, 1) + 1
+                    if least <= 0 or length > 0:
+                        out.append((i, least <= 0, outside.to_pybytes()[: 8 * max(length, 0)]))
+            if out:
+                at, weak, prefix = zip(*out, strict=True)
+                some = b.select(["region", "node", "n", "linked"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(weak), pa.array(prefix, pa.binary())], names=["region", "node", "n", "linked", "weak", "prefix"])
+
+    return found.join(if_small(most), "region").select("region", "node", "n", "held", "outside", "linked", "most").mapInArrow(run, "region long, node long, n long, linked boolean, weak boolean, prefix binary")
+
+
+def outer_regions(ruled: DataFrame, n: int) -> DataFrame:
+    """(region, node): the members of a region that meet at a shingle of their prefixes, where one at least is not linked to the class; as in regions, by their smallest."""
+    types = ["<u8", "<i8", "<i8", "<u4", "<u4"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(n, types)
+        for b in batches:
+            for region, node, size, linked, data in zip(*(b.column(c).to_pylist() for c in ("region", "node", "n", "linked", "prefix")), strict=True):
+                h = np.frombuffer(data, "<u8")
+                with np.errstate(over="ignore"):
+                    key = mix(h + mix(np.array([region], np.int64).view(U64)))
+                yield from packer.add(key, *(np.full(len(h), x) for x in (region, node, size, int(linked))))
+        yield from packer.flush()
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, region, node, size, linked = unpack(batches, types)
+        if not len(key):
+            return
+        order = np.lexsort((node, size, region, key))
+        key, region, node, linked = key[order], region[order], node[order], linked[order]
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (region[1:] != region[:-1])]))
+        many = np.diff(np.append(at, len(key)))
+        keep = np.repeat((many > 1) & (np.add.reduceat(linked.astype(np.int64), at) < many), many)
+        first = np.repeat(node[at], many)
+        with np.errstate(over="ignore"):
+            under = mix(mix(region.view(U64)) + first.view(U64)).view(np.int64)
+        both = np.unique(np.stack([under[keep], node[keep]]), axis=1)
+        yield from table({"region": both[0], "node": both[1]})
+
+    return deal(ruled.where(F.octet_length("prefix") > 0).mapInArrow(send, Packer.schema(5)), n, lead, "region long, node long").distinct()
+
+
+def weak_blocks(ruled: DataFrame, scratch: Scratch, level: int) -> DataFrame:
+    """(leaf, node): blocks in which every weak member that is not linked to its region's class meets every weak member."""
+    weak = scratch.save(ruled.where("weak").select("region", "node", "linked"), f"weak{level}")
+    part = lambda of: F.ceil(of / (LEAF // 2)).cast("int")
+    sizes = weak.groupBy("region").agg(part(F.count("*")).alias("parts"), part(F.sum((~F.col("linked")).cast("long"))).alias("lone")).where("lone > 0")
+    dealt = weak.join(if_small(scratch.save(sizes, f"blocks{level}")), "region")
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    rows = dealt.select("region", "node", own("parts").alias("i"), each("lone").alias("j"))
+    lone = dealt.where("not linked").select("region", "node", each("parts").alias("i"), own("lone").alias("j"))
+    return rows.unionAll(lone).select(F.xxhash64("region", "i", "j").alias("leaf"), "node").distinct()
+
+
 def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between nodes, enough to join what the threshold links."""
     n, sets, least = n_shards(nodes), nodes.select("node", "n", "shared"), 1 - percent / 100
@@ -470,13 +626,32 @@ def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndar
     pivots = sizes.select("region", F.col("region").alias("node"))
     found, leaves = [], []
     for level in range(LEVELS):
+        under = None
+        if 0 < level < LEVELS - 1:
+            base = scratch.save(bases(pivots, sets, n), f"bases{level}")
+            if base.limit(1).count():
+                dense = if_small(base.select("region"))
+                mine = scratch.save(members.join(dense, "region", "left_semi"), f"dense{level}")
+                members, sizes, pivots = (x.join(dense, "region", "left_anti") for x in (members, sizes, pivots))
+                leads = scratch.save(nearest(mine, base, sets), f"leads{level}")
+                of = mine.groupBy("region").agg(F.count("*").alias("members"))
+                tied = scratch.save(settled(mine, leads, base, scratch.save(of, f"densesizes{level}"), sets, n, percent), f"settled{level}")
+                found.append(tied.where("linked and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+                ruled = scratch.save(outer_prefixes(tied, percent), f"ruled{level}")
+                leaves.append(weak_blocks(ruled, scratch, level))
+                under = scratch.save(outer_regions(ruled, n), f"under{level}")
+                over = if_small(scratch.save(under.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > LEAF).select("region"), f"over{level}"))
+                leaves.append(under.join(over, "region", "left_anti").select(F.col("region").alias("leaf"), "node"))
+                under = under.join(over, "region", "left_semi")
+                if not sizes.limit(1).count() and not under.limit(1).count():
+                    break
         far = scratch.save(measured(members, pivots, sizes, sets, n, percent), f"far{level}")
         found.append(far.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         edge = far.where("not linked").groupBy("cell").agg((F.min("distance") - least - 1e-9).alias("edge"), F.max("pivot").alias("pivot"), F.max("distance").alias("most"))
         edge = scratch.save(edge.where(F.col("pivot").isNotNull() | (F.col("most") > beyond(percent))).select("cell", "edge"), f"edges{level}")
         window = scratch.save(far.join(if_small(edge), "cell").where("not linked or distance >= edge").select("region", "cell", "node", "linked"), f"window{level}")
         cells = scratch.save(window.groupBy("region", "cell").agg(F.count("*").alias("held")), f"cells{level}")
-        if not cells.where(F.col("held") > LEAF).limit(1).count():
+        if under is None and not cells.where(F.col("held") > LEAF).limit(1).count():
             leaves.append(window.select(F.col("cell").alias("leaf"), "node"))
             break
         whole = sizes.join(cells.groupBy("region").agg(F.sum("held").alias("total"), F.max("held").alias("largest")), "region")
@@ -490,7 +665,8 @@ def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndar
         rest = window.join(if_small(whole.where("stuck").select("region")), "region", "left_anti")
         large = scratch.save(cells.where(F.col("held") > LEAF).select("cell", F.col("held").alias("members")), f"large{level}")
         leaves.append(rest.join(if_small(large), "cell", "left_anti").select(F.col("cell").alias("leaf"), "node"))
-        members = scratch.save(rest.join(if_small(large), "cell").select(F.col("cell").alias("region"), "node"), f"members{level + 1}")
+        members = rest.join(if_small(large), "cell").select(F.col("cell").alias("region"), "node")
+        members = scratch.save(members if under is None else members.unionAll(under), f"members{level + 1}")
         sizes = scratch.save(members.groupBy("region").agg(F.count("*").alias("members")), f"sizes{level + 1}")
         first = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node"))
         pivots = scratch.save(members.withColumn("r", first).where(F.col("r") <= PIVOTS).select("region", "node"), f"pivots{level + 1}")
@@ -523,7 +699,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFram
     heavy = heavy_shingles(sets, scratch)
     nodes = scratch.save(shared_sets(sets, percent, heavy), "nodes")
     linked = scratch.save(components(links(nodes, scratch, percent, heavy), scratch), "linked")
-    scratch.drop("met", "reported", "nodes", *(f"{x}{k}" for k in range(LEVELS + 1) for x in ("members", "sizes", "far", "edges", "window", "cells", "whole", "large", "pivots")))
+    scratch.drop("met", "reported", "nodes", *(f"{x}{k}" for k in range(LEVELS + 1) for x in ("members", "sizes", "far", "edges", "window", "cells", "whole", "large", "pivots", "bases", "dense", "leads", "densesizes", "settled", "ruled", "weak", "blocks", "under", "over")))
     rows = sets.select("doc_id", "row", "n_shingles", "node", "twin")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     first = some.groupBy("node", "twin").agg(F.min(F.struct("doc_id", "row")).alias("first")).join(linked.select("node", "root"), "node", "left")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import textwrap
@@ -649,6 +650,51 @@ def test_voronoi_regions(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == plain_components([*range(len(texts))], texts)
 
 
+def variants(rng, n, words, edits):
+    """A text and copies of it with up to so many words put in place of others, of few words, so that some edits agree."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = [" ".join(base)] if n % 2 else []
+    while len(out) < n:
+        w = base[:]
+        for k in rng.sample(range(words), rng.randint(1, edits)):
+            w[k] = f"e{rng.randrange(40)}"
+        out.append(" ".join(w[: words - rng.randint(0, 2)]))
+    return out
+
+
+def test_rows_for_a_large_group_of_variants(spark, monkeypatch):
+    """Of one text's variants, all about as far from each other, none is led to many cells or blocks; what is beyond the threshold stays apart."""
+    monkeypatch.setattr(jaccard, "LEAF", 32)
+    monkeypatch.setattr(jaccard, "PART", 16)
+    texts = variants(random.Random(31), 301, 120, 9)
+    docs = frame(spark, texts)
+    scratch, _, _ = found_links(spark, docs.select("doc_id", "text"))
+    tables = [x for x in os.listdir(scratch.root.removeprefix("file://")) if re.fullmatch("(far|window|settled|under|weak)[1-9]", x)]
+    led = sum(spark.read.parquet(f"{scratch.root}/{x}").count() for x in tables)
+    assert 0 < led < 4 * spark.read.parquet(f"{scratch.root}/members1").count()
+    want = plain_components([*range(len(texts))], texts)
+    assert len({x for _, _, x in want}) > 20
+    rows = jaccard.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == want
+
+
+@pytest.mark.parametrize(("leaf", "percent", "words"), [(6, 75, 40), (5, 60, 60)])
+def test_variants_against_all_pairs(spark, monkeypatch, leaf, percent, words):
+    """Blocks of weak members and regions that are settled again, with several groups in a region and other thresholds."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "PART", 5)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    rng = random.Random(leaf)
+    texts = [x for n in (60, 41, 9) for x in variants(rng, n, words, max(4, words // 12))]
+    sets, root = plain_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    rows = jaccard.near_duplicates(frame(spark, texts), percent=percent).collect()
+    assert [x.component_id for x in sorted(rows, key=lambda x: x.doc_id)] == root
+
+
 def test_meetings_known_in_a_task():
     h = np.array([7, 7, 7, 9, 9, 4, 4], np.uint64)
     doc = np.array([2, 5, 5, 5, 2, 8, 8])
