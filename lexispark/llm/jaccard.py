@@ -483,10 +483,10 @@ def bases(pivots: DataFrame, sets: DataFrame, n: int) -> DataFrame:
             if 2 * sum(2 * np.isin(x, base).sum() >= len(x) for x in data) >= len(data):
                 yield pa.RecordBatch.from_pydict({"region": [g.column("region")[0].as_py()], "base": [base.tobytes()]})
 
-    return pivots.join(sets, "node").repartition(n, "region").sortWithinPartitions("region").mapInArrow(vote, "region long, base binary")
+    return sets.join(if_small(pivots), "node").repartition(n, "region").sortWithinPartitions("region").mapInArrow(vote, "region long, base binary")
 
 
-def nearest(members: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
+def nearest(members: DataFrame, base: DataFrame) -> DataFrame:
     """(region, node): of each region the PIVOTS members nearest to the base."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,19 +494,18 @@ def nearest(members: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
             far = [n - 2 * int(np.isin(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")).sum()) for n, x, y in zip(*(b.column(c).to_pylist() for c in ("n", "shared", "base")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("region"), b.column("node"), pa.array(far, pa.int64())], names=["region", "node", "far"])
 
-    rows = members.join(sets, "node").join(if_small(base), "region").select("region", "node", "n", "shared", "base").mapInArrow(measure, "region long, node long, far long")
+    rows = members.join(if_small(base), "region").select("region", "node", "n", "shared", "base").mapInArrow(measure, "region long, node long, far long")
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy("far", "node"))).where(F.col("r") <= PIVOTS).select("region", "node")
 
 
-def settled(members: DataFrame, leads: DataFrame, base: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+def settled(members: DataFrame, leads: DataFrame, base: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """(region, node, n, held, outside, root, linked) of each member: how much of the base it has, its other shared shingles, and whether it is
-    linked with one of the largest class of linked leads, of which root is the smallest."""
+    linked with one of the largest class of linked leads, of which root is the smallest. members: (region, node, n, shared); leads: (region, node) of some."""
     parts = if_small(sizes.select("region", F.ceil(F.col("members") / PART).cast("int").alias("parts")))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    own = members.join(parts, "region").select("region", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(0).alias("kind"))
-    lead = leads.join(parts, "region").select("region", every, "node", F.lit(1).alias("kind"))
-    rows = own.unionAll(lead).join(sets, "node").select("region", "part", "node", "kind", "n", "shared")
-    rows = rows.unionAll(base.join(parts, "region").select("region", every, F.lit(0).cast("long"), F.lit(2), F.lit(0).cast("long"), "base"))
+    own = members.join(parts, "region").select("region", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(0).alias("kind"), "n", "shared")
+    lead = members.join(if_small(leads), ["region", "node"], "left_semi").join(parts, "region").select("region", every, "node", F.lit(1), "n", "shared")
+    rows = own.unionAll(lead).unionAll(base.join(parts, "region").select("region", every, F.lit(0).cast("long"), F.lit(2), F.lit(0).cast("long"), "base"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "region", "part"):
@@ -631,11 +630,11 @@ def links(nodes: DataFrame, scratch: Scratch, percent: int, heavy: tuple[np.ndar
             base = scratch.save(bases(pivots, sets, n), f"bases{level}")
             if base.limit(1).count():
                 dense = if_small(base.select("region"))
-                mine = scratch.save(members.join(dense, "region", "left_semi"), f"dense{level}")
+                mine = scratch.save(members.join(dense, "region", "left_semi").join(sets, "node").select("region", "node", "n", "shared"), f"dense{level}")
                 members, sizes, pivots = (x.join(dense, "region", "left_anti") for x in (members, sizes, pivots))
-                leads = scratch.save(nearest(mine, base, sets), f"leads{level}")
+                leads = scratch.save(nearest(mine, base), f"leads{level}")
                 of = mine.groupBy("region").agg(F.count("*").alias("members"))
-                tied = scratch.save(settled(mine, leads, base, scratch.save(of, f"densesizes{level}"), sets, n, percent), f"settled{level}")
+                tied = scratch.save(settled(mine, leads, base, scratch.save(of, f"densesizes{level}"), n, percent), f"settled{level}")
                 found.append(tied.where("linked and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
                 ruled = scratch.save(outer_prefixes(tied, percent), f"ruled{level}")
                 leaves.append(weak_blocks(ruled, scratch, level))
