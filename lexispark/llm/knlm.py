@@ -129,7 +129,7 @@ class Words:
 
 def mapped(path: str, dtype) -> np.ndarray:
     try:
-        return np.memmap(path, dtype, "r")
+        return np.memmap(path, dtype, "r").view(np.ndarray)  # indexing a memmap itself costs more
     except ValueError:  # an empty file can't be mapped
         return np.zeros(0, dtype)
 
@@ -197,6 +197,10 @@ class Grams:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of values of the keys; zeros for those that are not there."""
         ask, back = np.unique(keys, return_inverse=True)
+        return self.find_sorted(ask)[back]
+
+    def find_sorted(self, ask: np.ndarray) -> np.ndarray:
+        """As find, for keys that are sorted and distinct."""
         out = np.zeros((len(ask), self.columns), np.uint64)
         cuts = np.searchsorted(by_range(ask, self.n), np.arange(self.n + 1))
         for i in np.flatnonzero(np.diff(cuts)):
@@ -205,7 +209,7 @@ class Grams:
                 hit, values = self._look_up(ask[left], *part)
                 out[left[hit]] = values
                 left = left[~hit]
-        return out[back]
+        return out
 
     def _look_up(self, keys: np.ndarray, rows: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, code: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are there, and the values of those."""
@@ -215,15 +219,16 @@ class Grams:
             return np.zeros(len(keys), bool), rows[:0]
 
         def hashes(i: np.ndarray) -> np.ndarray:
-            i = np.minimum(i, len(low) - 1)
             return (high[i].astype(np.uint32) << np.uint32(16)) | low[i]
 
-        hi = end
-        while (live := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = hashes(mid) < want
-            lo, hi = np.where(live & less, mid + 1, lo), np.where(live & ~less, mid, hi)
-        hit = (lo < end) & (hashes(lo) == want)
+        # Halves of buckets; with less than two entries left nothing moves, and what is read then doesn't matter.
+        left = end - lo
+        for _ in range(int(left.max(initial=0)).bit_length()):
+            half = left >> 1
+            lo += half * (hashes(lo + half - 1) < want)
+            left -= half
+        lo += (left == 1) & (hashes(np.minimum(lo, len(low) - 1)) < want)
+        hit = (lo < end) & (hashes(np.minimum(lo, len(low) - 1)) == want)
         return hit, np.repeat(rows[:1], hit.sum(), axis=0) if code is None else rows[code[lo[hit]]]
 
 
@@ -265,6 +270,12 @@ class Model:
         found = self.context(ids)
         return np.stack([found[x].astype(np.float64) for x in _CTX.names], axis=1)[back]
 
+    def numbers_of_ends(self, grams: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is kept of the last k ids of each n-gram, and of the k before the last: mostly the same ones, so they are looked up together."""
+        m = len(grams[0])
+        found = self.numbers([np.concatenate([x, y]) for x, y in zip(grams[-k:], grams[-k - 1 : -1], strict=True)])
+        return found[:m], found[m:]
+
     def __getstate__(self):
         return self.__dict__ | {"_ctx": {}}
 
@@ -432,14 +443,22 @@ def log_probs(block: TextBlock, model: Model) -> tuple[np.ndarray, ...]:
     base = np.log10((count + 0.1) / (model.train_tokens + 0.1 * (model.vocabulary + 1)))
     if not model.vocabulary:
         return doc, base, np.zeros(len(count)), count > 0
-    _, first, back = np.unique(gram_key(grams), return_index=True, return_inverse=True)
-    grams = [x[first] for x in grams]
-    before = model.numbers(grams[-1:])[:, 4]
+    keys = gram_key(grams)
+    order = np.argsort(keys)  # np.unique would sort stably, which takes longer, to give first places
+    at = starts([keys], order)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(keys)))
+    keys, grams = keys[order[at]], [x[order[at]] for x in grams]
+    own, context = model.numbers_of_ends(grams, 1)
+    before = own[:, 4]
     p = np.maximum(before - discount(before, model.discounts[1]), 0) / model.predecessors + model.fresh / (model.vocabulary + 1)
     for k in range(2, model.order + 1):
-        d, gram = model.discounts[k], grams[-k:]
-        c = model.numbers(gram)[:, 0 if k == model.order else 4]
-        total, *seen, _ = model.numbers(gram[:-1]).T
+        d, (total, *seen, _) = model.discounts[k], context.T
+        if k == model.order:
+            c = model.grams[k].find_sorted(keys)[:, 0].astype(np.float64)
+        else:
+            own, context = model.numbers_of_ends(grams, k)
+            c = own[:, 4]
         some = np.maximum(total, 1)
         gamma = (d[0] * seen[0] + d[1] * seen[1] + d[2] * seen[2]) / some
         p = np.where(total > 0, np.maximum(c - discount(c, d), 0) / some + gamma * p, p)

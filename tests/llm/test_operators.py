@@ -335,6 +335,16 @@ def test_language_model_rows(spark):
         knlm.train(train, Scratch(spark), 1)
 
 
+def test_each_length_is_looked_up_once(spark, monkeypatch):
+    """n-grams and contexts of a length go together, and the longest, sorted already, aren't sorted again."""
+    texts = [sentences_of(random.Random(i), 3) for i in range(6)]
+    model, calls = knlm.train(frame(spark, texts), Scratch(spark)), []
+    find = knlm.Grams.find
+    monkeypatch.setattr(knlm.Grams, "find", lambda self, keys: calls.append(self.name) or find(self, keys))
+    knlm.log_probs(TextBlock(pa.array(texts), LOWER), model)
+    assert calls == ["g2_"]
+
+
 def test_grams_in_buckets(tmp_path):
     rng = np.random.default_rng(5)
     for n, size in ((1, 1), (1, 5000), (3, 900)):
