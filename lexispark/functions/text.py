@@ -50,6 +50,8 @@ def _matches(x: str, pattern: str, duck: bool) -> str:
 
 def stem_sql(x: str, duck: bool = False) -> str:
     """SQL of the stem of a normalised term; terms that end in none of the rules' letters leave first."""
+    if not duck:
+        return _stem_spark(x)
     whens = [f"when {x} = '{k}' then '{v}'" for k, v in IRREGULAR.items()]
     whens.append(f"when length({x}) <= 3 or right({x}, 1) not in ('s', 'd', 'g') or {_matches(x, '[0-9_]', duck)} then {x}")
     for last, pattern, cut, add in RULES:
@@ -58,6 +60,21 @@ def stem_sql(x: str, duck: bool = False) -> str:
     return f"case {' '.join(whens)} else {x} end"
 
 
+def _stem_spark(x: str) -> str:
+    """The same with few tests for most terms, as Spark interprets what it does to the members of an array: the irregular
+    forms are one look-up in a set, and the rules are dealt by their last letter."""
+    irregular = f"case {' '.join(f'when {x} = {k!r} then {v!r}' for k, v in IRREGULAR.items())} end"
+    cases = []
+    for letter in dict.fromkeys(r[0] for r in RULES):
+        whens = []
+        for last, pattern, cut, add in RULES:
+            if last == letter:
+                out = x if not cut else f"substr({x}, 1, length({x}) - {cut})"
+                whens.append(f"when {_matches(x, pattern, False)} then {f'concat({out}, {add!r})' if add else out}")
+        cases.append(f"when endswith({x}, '{letter}') then case when length({x}) <= 3 or {_matches(x, '[0-9_]', False)} then {x} {' '.join(whens)} else {x} end")
+    return f"case when {x} in ({', '.join(map(repr, IRREGULAR))}) then {irregular} {' '.join(cases)} else {x} end"
+
+
 def strip_sql(x: str, duck: bool = False) -> str:
     return f"regexp_replace(lower({x}), {_literal(chr(92) + 'W', duck)}, ''{', ' + repr('g') if duck else ''})"
 
@@ -72,7 +89,8 @@ def terms_sql(text: str, duck: bool = False, stem: bool = True, accept: bool = T
         out = f"list_transform(regexp_split_to_array({text}, '{SPACE}'), lambda x: {strip_sql('x', True)})"
         out = f"list_transform({out}, lambda x: {stem_sql('x', True)})" if stem else out
         return f"list_filter({out}, lambda x: {accept_sql('x', True)})" if accept else f"list_filter({out}, lambda x: x <> '')"
-    out = f"transform(split({text}, r'{SPACE}'), x -> {strip_sql('x')})"
+    # Lower-casing and stripping leave white space as it is, so a text takes one pass of each instead of one a token.
+    out = f"split(regexp_replace(lower({text}), r'[^\\w{SPACE[1:-2]}]+', ''), r'{SPACE}')"
     out = f"transform({out}, x -> {stem_sql('x')})" if stem else out
     return f"filter({out}, x -> {accept_sql('x') if accept else chr(120) + ' <> ' + chr(39) * 2})"
 
@@ -81,6 +99,11 @@ def terms(text: str = "text", stem: bool = True, accept: bool = True) -> Column:
     return F.expr(terms_sql(text, stem=stem, accept=accept))
 
 
+def accepted(terms: str) -> Column:
+    """The accepted ones of an array of terms that aren't empty."""
+    return F.expr(f"filter({terms}, x -> {accept_sql('x')})")
+
+
 def normalize(column: str) -> Column:
     """The term of a column of tokens, null if it is no word."""
     return F.expr(f"nullif(get(transform(array({strip_sql(column)}), x -> {stem_sql('x')}), 0), '')")

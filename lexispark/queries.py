@@ -12,19 +12,17 @@ from .functions import codec, text
 from .operators import gaps
 from .operators.index import Index, segments, terms_of_segment, tokenize
 from .operators.search import Searcher
-from .sources.library import from_table, ranked, read_library, shared_folder
+from .sources.library import from_table, ranked, read_library, shared_folder, spread
 
 _indexes: dict[tuple[str, str], Index] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n)
+    return spread(from_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """One index a folder and application; its postings are kept."""
+    """One index a folder and application; its tables are made when first used, and kept."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         _indexes[key] = Index.build(from_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))

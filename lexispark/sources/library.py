@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="index-")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents in parts enough for all cores; texts are dealt out anew only where their files give fewer."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    enough = min(n, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    return docs if docs.rdd.getNumPartitions() >= enough else docs.repartition(n)
+
+
 def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     """df with a number from 0 in the order of a unique column, without sorting in one task.
 
