@@ -63,7 +63,7 @@ class Searcher:
         """chain: any adjacent pair is enough, or all pairs are needed."""
         q = parse.positional(query)
         terms = list(dict.fromkeys(q.terms))
-        if None in terms or not q.distances or self.index.vocab.where(F.col("term").isin(terms)).count() < len(terms):
+        if None in terms or not q.distances or self.index.postings.where(F.col("term").isin(terms)).select("term").distinct().count() < len(terms):
             return self._none()
         at = {t: F.col(f"p{i}") for i, t in enumerate(terms)}
         has = self.index.postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(*(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(terms)))
@@ -84,10 +84,10 @@ class Searcher:
             return self._none()
         if combine == "fold":
             words = words[first:]
-        matched = self.index.vocab.select("term", *(self._matches(w).alias(f"w{i}") for i, w in enumerate(words)))
+        # A word is matched against the term of each posting: that costs less than to join the postings with the vocabulary's matches.
+        tests = [self._matches(w) for w in words]
         flags = [F.col(f"w{i}") for i in range(len(words))]
-        matched = matched.where(reduce(or_, flags))
-        has = self.index.postings.select("term", "doc_id").join(matched, "term").groupBy("doc_id").agg(*(F.bool_or(f).alias(f"w{i}") for i, f in enumerate(flags)))
+        has = self.index.postings.where(reduce(or_, tests)).groupBy("doc_id").agg(*(F.bool_or(t).alias(f"w{i}") for i, t in enumerate(tests)))
         if combine == "all":
             return self._named(has.where(reduce(and_, flags)))
         # Whatever the fold does, what is valid at word i are the documents of the words from some word s to i. One row
@@ -112,7 +112,7 @@ class Searcher:
         if w.prefix:
             tests.append(F.col("term").startswith(w.prefix))
         if w.suffix:
-            tests.append(F.col("rev_term").startswith(w.suffix[::-1]))
+            tests.append(F.col("term").endswith(w.suffix))
         if w.middle:
             tests.append(F.col("term").contains(w.middle))
         return reduce(and_, tests)
