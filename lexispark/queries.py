@@ -126,7 +126,8 @@ def stem_terms(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len({text.terms_sql('text', True)}) AS BIGINT) AS accepted, CAST(len({text.terms_sql('text', True, accept=False)}) AS BIGINT) AS words FROM documents")
 def accept_filter(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", F.size(text.terms()).cast("long").alias("accepted"), F.size(text.terms(accept=False)).cast("long").alias("words"))
+    words = corpus(spark, sf_dir).select("doc_id", text.terms(accept=False).alias("w"))
+    return words.select("doc_id", F.size(text.accepted("w")).cast("long").alias("accepted"), F.size("w").cast("long").alias("words"))
 
 
 @query(f"SELECT term, count(*) AS n FROM (SELECT unnest({text.terms_sql('text', True, accept=False)}) AS term FROM documents) WHERE NOT ({text.accept_sql('term', True)}) GROUP BY term")
