@@ -211,12 +211,12 @@ _GAPS = "g AS (SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION B
 
 
 def _doc_gaps(spark, sf_dir) -> DataFrame:
-    return gaps.encode(index(spark, sf_dir).postings)
+    return gaps.encode_blocks(index(spark, sf_dir).blocked)
 
 
 @query(sql("SELECT term, doc_id, gap FROM g", _GAPS))
 def doc_gaps(spark, sf_dir):
-    return _doc_gaps(spark, sf_dir)
+    return _doc_gaps(spark, sf_dir).select("term", "doc_id", "gap")
 
 
 _ALL_POS_GAPS = "apg AS (SELECT term, doc_id, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS gap, pos FROM tokens)"
@@ -229,7 +229,7 @@ def pos_gaps(spark, sf_dir):
 
 @query(sql("SELECT term, doc_id, CAST(sum(gap) OVER (PARTITION BY term ORDER BY doc_id) AS BIGINT) AS decoded FROM g", _GAPS))
 def gap_decode(spark, sf_dir):
-    return gaps.decode(_doc_gaps(spark, sf_dir))
+    return gaps.decode_blocks(_doc_gaps(spark, sf_dir))
 
 
 _SIZE = "CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END"
